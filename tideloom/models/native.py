@@ -43,9 +43,10 @@ def sma(hist: Column, h: int, n: int) -> Column:
 def wma(hist: Column, h: int, n: int) -> Column:
     """Weights 1..n, newest heaviest; a short history keeps the largest weights."""
     last = sa.tail(hist, n)
-    missing = n - F.size(last)
-    weights = F.transform(last, lambda _, i: (i + 1 + missing).cast("double"))
-    return _flat(F.try_divide(sa.dot(last, weights), sa.array_sum(weights)), h)
+    size = F.size(last)
+    weighted = F.transform(last, lambda v, i: v * (i + 1 + n - size))
+    total = (n + (n - size + 1)) * size / 2.0
+    return _flat(F.try_divide(sa.array_sum(weighted), total), h)
 
 
 def ema(hist: Column, h: int, n: int) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import series as sa
+from ..session import parallelism
 
 
 def dates_array(days: Sequence[dt.date]) -> Column:
@@ -45,6 +46,15 @@ def bucket_cells(df: DataFrame, freq: str, value: str = "y") -> DataFrame:
     )
 
 
+def by_series(cells: DataFrame) -> DataFrame:
+    """Hash the aggregated cells by series over all cores.
+
+    This is the exchange the packing needs anyway. Given an explicit width it is not merged
+    into a few partitions for being small: the array work behind it is what costs time.
+    """
+    return cells.repartition(parallelism(cells.sparkSession), "id")
+
+
 def pack(
     df: DataFrame,
     freq: str,
@@ -58,7 +68,7 @@ def pack(
     with zeros but never cut it.
     """
     packed = (
-        bucket_cells(df, freq, value)
+        by_series(bucket_cells(df, freq, value))
         .groupBy("id")
         .agg(
             F.min("first_ds").alias("act_st"),
@@ -203,7 +213,7 @@ def _pack_with_cuts(y: DataFrame, mid: Sequence[dt.date], last: dt.date, freq: s
         F.min("first_ds").alias("first_ds"),
         F.collect_list(F.struct("cut", "v")).alias("segs"),
     )
-    packed = cells.groupBy("id").agg(
+    packed = by_series(cells).groupBy("id").agg(
         F.min("first_ds").alias("act_st"),
         F.array_sort(F.collect_list(F.struct("idx", "v", "segs"))).alias("cells"),
     )

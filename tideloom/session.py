@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution coalesces and splits shuffle partitions at run time. Rows that
 # carry whole series arrays go to Python in small Arrow batches.
@@ -30,15 +31,28 @@ def local_session(cores: int | str = "*", app: str = "tideloom", memory: str = "
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a scratch folder in local mode."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+def parallelism(spark: SparkSession) -> int:
+    """Partitions for compute-heavy stages: all cores, or more when the session asks for more."""
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions", "0"))
+    return max(spark.sparkContext.defaultParallelism, asked)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a scratch folder only in local mode."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir"
+    )
     if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tideloom-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        return configured
+    if spark.sparkContext.master.startswith("local"):
+        configured = tempfile.mkdtemp(prefix="tideloom-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+        return configured
+    raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the written table."""
+    path = f"{shared_folder(df.sparkSession)}/tideloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,6 +20,7 @@ NATIVE = (
     "sma01", "sma02", "sma03", "wma01", "wma02", "wma03", "ema01", "ema02", "ema03",
 )
 SMOOTHING = ("expo01", "expo02", "expo03")
+MODELS = NATIVE + SMOOTHING
 LOG_COLUMNS = ["id", "ds", "dsr", "period", "model", "forecast", "time"]
 
 

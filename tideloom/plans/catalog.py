@@ -7,13 +7,14 @@ to 6 in the results, so that two engines agree in spite of the order of addition
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..models import native, registry
+from ..models import registry
 from ..operators import accuracy, features, growth, panel, selection
 from ..session import cut_lineage, shared_folder
 from ..sources import config, io, panels, roles
@@ -99,8 +100,6 @@ def tidy(df: DataFrame, **digits: int) -> DataFrame:
 
 
 def scratch(spark, name: str) -> str:
-    import uuid
-
     return f"{shared_folder(spark)}/tideloom-{name}-{uuid.uuid4().hex}"
 
 
@@ -331,7 +330,7 @@ def _(spark, d):
 def _decompose(lag):
     def run(spark, d):
         f = features.decompose(panel_m(spark, d), lag)
-        return tidy(f, dec_trend=4, dec_seasonal=4, dec_residual=4)
+        return tidy(f, dec_trend=5, dec_seasonal=5, dec_residual=5)
 
     return run
 
@@ -359,7 +358,7 @@ def _(spark, d):
     keep = features.feature_set("y")
     return tidy(
         features.select_features(f, keep, dt.date(1999, 1, 1), dt.date(2000, 12, 1)),
-        last_period=4, dec_trend=4, dec_seasonal=4, dec_residual=4,
+        last_period=4, dec_trend=5, dec_seasonal=5, dec_residual=5,
     )
 
 
@@ -464,7 +463,7 @@ def _(spark, d):
 
 @query("f3_rank_models_median")
 def _(spark, d):
-    return tidy(ranks(spark, d, error_ens="median", error_dsp="mae"), error=4)
+    return tidy(ranks(spark, d, error_ens="median", error_dsp="mae"), error=5)
 
 
 @query("f4_ensemble")
@@ -497,7 +496,7 @@ def _(spark, d):
     log = native_log(spark, d)
     rank = ranks(spark, d, log, error_ens="median", error_dsp="mae")
     return _flat_list(
-        accuracy.ensemble_log(log, rank, fcst_ens="median", error_ens="median"), error=4
+        accuracy.ensemble_log(log, rank, fcst_ens="median", error_ens="median"), error=5
     )
 
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..operators import panel
-from ..session import parallelism
-from . import native, smoothing
+from ..operators.skew import hot_join
+from ..session import cut_lineage, parallelism
+from . import additive, arima, native, regression, smoothing, trees
 
 # The model names a job may ask for.
 NATIVE = (
@@ -20,7 +21,6 @@ NATIVE = (
     "sma01", "sma02", "sma03", "wma01", "wma02", "wma03", "ema01", "ema02", "ema03",
 )
 SMOOTHING = ("expo01", "expo02", "expo03")
-MODELS = NATIVE + SMOOTHING
 LOG_COLUMNS = ["id", "ds", "dsr", "period", "model", "forecast", "time"]
 
 
@@ -68,30 +68,123 @@ def to_log(rows: DataFrame, forecasts: dict[str, Column], req: Request) -> DataF
     )
 
 
+def with_external(rows: DataFrame, req: Request) -> DataFrame:
+    """Add ``xs``: the external series of each target as known at the origin.
+
+    ``start`` is the period index, on the target's axis, of the first value after the lag is
+    applied. The list is empty for a target without external series.
+    """
+    x, lag = req.x, req.lag.select(F.col("id_y").alias("id"), "id_x", F.col("lag").cast("int").alias("lag"))
+    cells = panel.bucket_cells(x, req.freq, "x")
+    seen = cells.groupBy("id").agg(F.array_sort(F.collect_list("idx")).alias("seen"))
+    packed = panel.pack(x, req.freq, "x").join(seen, "id").select(
+        F.col("id").alias("id_x"), "b0", "values", "seen"
+    )
+    per_target = (
+        hot_join(lag, packed, ["id_x"], ["id"])
+        .groupBy("id")
+        .agg(F.array_sort(F.collect_list(F.struct("id_x", "lag", "b0", "values", "seen"))).alias("_x"))
+    )
+    o_idx = cal.period_index(F.col("dsr"), req.freq)
+    last = lambda x: F.array_max(F.filter(x["seen"], lambda s: s < o_idx))
+    known = F.transform(
+        F.coalesce("_x", F.array().cast(dict(per_target.dtypes)["_x"])),
+        lambda x: F.struct(
+            (x["b0"] + x["lag"]).alias("start"),
+            F.slice(x["values"], 1, F.coalesce(last(x) - x["b0"] + 1, F.lit(0))).alias("vals"),
+        ),
+    )
+    return rows.join(per_target, "id", "left").withColumn("xs", known).drop("_x")
+
+
+def needs_x(name: str) -> bool:
+    if name in regression.MODELS:
+        return regression.MODELS[name][1]
+    if name in arima.MODELS:
+        return arima.MODELS[name][1]
+    return name in trees.MODELS and trees.MODELS[name][2]
+
+
 def array_models(req: Request, names: Sequence[str]) -> DataFrame:
-    """Native and smoothing models: one pass over the histories for all of them."""
+    """All models that are expressions on a history row, evaluated in one pass."""
     rows = req.history()
-    smooth = [n for n in names if n in SMOOTHING]
-    if smooth:
-        fitted = smoothing.expressions(F.col("hist"), req.h, req.freq, smooth)
-        rows = spread(rows).select("*", *[e.alias(f"_{n}") for n, e in fitted.items()])
+    fitted = [n for n in names if n not in NATIVE]
+    if any(needs_x(n) for n in fitted):
+        rows = with_external(rows, req)
+    out: dict[str, Column] = {}
+    if fitted:
+        rows = spread(rows)
+        smooth = [n for n in fitted if n in SMOOTHING]
+        if smooth:
+            out.update(smoothing.expressions(F.col("hist"), req.h, req.freq, smooth))
+        out.update({n: arima.expression(n, req.freq, req.h) for n in fitted if n in arima.MODELS})
+        linear = [n for n in fitted if n in regression.MODELS]
+        if linear:
+            rows, exprs = regression.expressions(rows, linear, req.freq, req.h)
+            out.update(exprs)
+        # the arrays are read once per model below, so they become columns first
+        rows = rows.withColumns({f"_f_{n}": e for n, e in out.items()})
+        out = {n: F.col(f"_f_{n}") for n in out}
     known = native.expressions(F.col("hist"), req.h, req.freq)
-    known.update({n: F.col(f"_{n}") for n in smooth})
+    known.update(out)
     return to_log(rows, {n: known[n] for n in names}, req)
 
 
-def forecast(req: Request, names: Sequence[str]) -> DataFrame:
-    """Forecast log of all requested models."""
-    families = {array_models: NATIVE + SMOOTHING}
-    unknown = [n for n in names if not any(n in f for f in families.values())]
-    if unknown:
-        raise ValueError(f"unknown models: {unknown}")
-    parts = [
-        build(req, [n for n in dict.fromkeys(names) if n in family])
-        for build, family in families.items()
-        if any(n in family for n in names)
-    ]
+def daily_models(req: Request, names: Sequence[str]) -> DataFrame:
+    """Models fitted on daily histories."""
+    daily = spread(panel.history(req.y, req.origins, "d"))
+    f = additive.forecasts(daily, req.freq, req.h)
+    return to_log(f, {n: F.col("f") for n in names}, req)
+
+
+def pooled_models(req: Request, names: Sequence[str]) -> DataFrame:
+    """Models trained across series, one fit per origin."""
+    rows = req.history()
+    if any(needs_x(n) for n in names):
+        rows = with_external(rows, req)
+    parts = []
+    for n in names:
+        f = trees.forecasts(rows, req.origins, n, req.freq, req.h, req.options)
+        if f is not None:
+            parts.append(to_log(f, {n: F.col("f")}, req))
+    return _union(parts) if parts else to_log(rows, {names[0]: F.lit(None).cast("array<double>")}, req)
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(*LOG_COLUMNS)
+    return out
+
+
+FAMILIES = {
+    array_models: NATIVE + SMOOTHING + tuple(arima.MODELS) + tuple(regression.MODELS),
+    daily_models: additive.MODELS,
+    pooled_models: tuple(trees.MODELS),
+}
+MODELS = tuple(n for names in FAMILIES.values() for n in names)
+
+
+def forecast(req: Request, names: Sequence[str]) -> DataFrame:
+    """Forecast log of all requested models.
+
+    Models with external series give no rows when the request has none. When more than one
+    family is asked for, the panel is first summed to the buckets they need and written once.
+    """
+    names = list(dict.fromkeys(names))
+    unknown = [n for n in names if n not in MODELS]
+    if unknown:
+        raise ValueError(f"unknown models: {unknown}")
+    if req.x is None or req.lag is None:
+        usable = [n for n in names if not needs_x(n)]
+    else:
+        usable = names
+    chosen = {b: [n for n in usable if n in family] for b, family in FAMILIES.items()}
+    chosen = {b: n for b, n in chosen.items() if n}
+    if not chosen:
+        none = {"naive01": F.lit(None).cast("array<double>")}
+        return to_log(req.history(), none, req)
+    if len(chosen) > 1:
+        freq = "d" if daily_models in chosen else req.freq
+        req = replace(req, y=cut_lineage(panel.compact(req.y, req.origins, freq)))
+    return _union([build(req, n) for build, n in chosen.items()]).select(*LOG_COLUMNS)

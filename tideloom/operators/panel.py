@@ -196,16 +196,31 @@ def history(y: DataFrame, origins: Sequence[dt.date], freq: str) -> DataFrame:
     )
 
 
-def _pack_with_cuts(y: DataFrame, mid: Sequence[dt.date], last: dt.date, freq: str) -> DataFrame:
+def _cut_start(mid: Sequence[dt.date], freq: str) -> Column:
+    """Start of the piece of its bucket that a row belongs to, pieces split at ``mid`` origins."""
     ds = F.col("ds")
     start = cal.bucket(ds, freq)
-    cut = F.array_max(
-        F.array_append(
-            F.filter(dates_array(mid), lambda o: (o <= ds) & (o >= start)), start
-        )
+    if not mid:
+        return start
+    return F.array_max(
+        F.array_append(F.filter(dates_array(mid), lambda o: (o <= ds) & (o >= start)), start)
     )
-    idx = cal.period_index(ds, freq).cast("int")
-    segments = y.groupBy("id", idx.alias("idx"), cut.alias("cut")).agg(
+
+
+def compact(y: DataFrame, origins: Sequence[dt.date], freq: str) -> DataFrame:
+    """The panel summed as far as the histories at ``origins`` allow; same columns, fewer rows."""
+    mid = [o for o in origins if cal.bucket_of(o, freq) != o]
+    return (
+        y.filter(F.col("ds") < F.lit(max(origins)))
+        .groupBy("id", _cut_start(mid, freq).alias("cut"))
+        .agg(F.coalesce(F.sum("y"), sa.zero()).alias("y"))
+        .select("id", F.col("cut").alias("ds"), "y")
+    )
+
+
+def _pack_with_cuts(y: DataFrame, mid: Sequence[dt.date], last: dt.date, freq: str) -> DataFrame:
+    idx = cal.period_index(F.col("ds"), freq).cast("int")
+    segments = y.groupBy("id", idx.alias("idx"), _cut_start(mid, freq).alias("cut")).agg(
         F.coalesce(F.sum("y"), sa.zero()).cast("double").alias("v"), F.min("ds").alias("first_ds")
     )
     cells = segments.groupBy("id", "idx").agg(

@@ -463,7 +463,7 @@ def _(spark, d):
 
 @query("f3_rank_models_median")
 def _(spark, d):
-    return tidy(ranks(spark, d, error_ens="median", error_dsp="mae"), error=5)
+    return tidy(ranks(spark, d, error_ens="median"))
 
 
 @query("f4_ensemble")

@@ -27,6 +27,7 @@ class InitResult:
 class ProdResult:
     forecastlog: DataFrame
     forecast: DataFrame
+    skipped: tuple[str, ...]  # models of the log that are not available here
 
 
 def _given(**tables: DataFrame | None) -> list[str]:
@@ -69,7 +70,8 @@ def forecast_prod(
     freq = conf.forecast_frequency
     past = log.filter(F.col("dsr") < F.lit(conf.forecast_start))
     # the distinct model names: at most the size of the registry
-    models = sorted(r["model"] for r in past.select("model").distinct().collect())
+    named = sorted(r["model"] for r in past.select("model").distinct().collect())
+    models = [m for m in named if m in registry.MODELS]
     rank = accuracy.rank_models(
         past, panel.actuals(y, freq), freq,
         conf.test_back, conf.error_ensemble, conf.error_display,
@@ -82,7 +84,8 @@ def forecast_prod(
         new, rank, top_model=conf.top_model,
         fcst_ens=conf.forecast_ensemble, error_ens=conf.error_ensemble,
     )
-    return ProdResult(union_log(new, past, conf.forecast_start), ens)
+    skipped = tuple(m for m in named if m not in registry.MODELS)
+    return ProdResult(union_log(new, past, conf.forecast_start), ens, skipped)
 
 
 def feat_selection(y: DataFrame, x: DataFrame, conf: SelectConfig) -> DataFrame:

@@ -459,7 +459,7 @@ ENS_OUT = """SELECT id, ds, dsr, period, round(forecast, 4) AS forecast, round(e
   round(test_back, 6) AS test_back FROM ens"""
 
 SQL["f3_rank_models"] = _with(*BACKTEST, _rank()) + RANK_OUT.format(6)
-SQL["f3_rank_models_median"] = _with(*BACKTEST, _rank("median", "mae")) + RANK_OUT.format(5)
+SQL["f3_rank_models_median"] = _with(*BACKTEST, _rank("median")) + RANK_OUT.format(6)
 SQL["f5_ensemble_log"] = _with(*BACKTEST, _rank(), _ens("log")) + ENS_OUT.format(6)
 SQL["f7_median_ensemble"] = (
     _with(*BACKTEST, _rank("median", "mae"), _ens("log", "median")) + ENS_OUT.format(5)

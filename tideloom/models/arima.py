@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import series as sa
 from ..functions.calendar import season_length
 from . import design as dz
 
@@ -176,36 +175,24 @@ def expression(name: str, freq: str, h: int) -> Column:
     need = MIN_LENGTH[(with_x, automatic)]
     hist, b0 = F.col("hist"), F.col("b0")
     y = dz.growth_values(hist, b0, freq) if growth else hist
-    skip = F.lit(season if growth else 0)  # first position of y on the history axis
-    n = F.size(hist)
-
-    def x_at(xs: Column, t: Column) -> Column:
-        return F.transform(xs, lambda x: sa.at(x["vals"], b0 + t - x["start"]))
+    skip = season if growth else 0  # first position of y on the history axis
 
     if with_x:
-        xs = F.col("xs")
-        seen = F.when(n > skip, F.sequence(skip, F.greatest(n - 1, skip))).otherwise(
-            F.array().cast("array<int>")
-        )
-        train = F.flatten(
-            F.transform(seen, lambda t: F.transform(x_at(xs, t), lambda v: F.coalesce(v, sa.zero())))
-        )
-        ahead = F.flatten(F.transform(F.sequence(n, n + h - 1), lambda t: x_at(xs, t)))
 
         @F.pandas_udf("array<double>")
-        def solve(y: pd.Series, train: pd.Series, ahead: pd.Series) -> pd.Series:
+        def solve(y: pd.Series, xs: pd.Series) -> pd.Series:
             out = []
-            for s, a, b in zip(y, train, ahead):
-                s = np.asarray(s, dtype=float)
+            for s, x in zip(y, xs):
+                s, x = np.asarray(s, dtype=float), np.asarray(x, dtype=float)
                 if len(s) < need:
                     out.append(None)
                     continue
-                a = np.asarray(a, dtype=float).reshape(len(s), -1)
-                b = np.asarray(b, dtype=float).reshape(h, a.shape[1])
-                out.append(with_switch(s, a, b, h, d, auto))
+                # the last len(s) + h positions, one column per external series
+                x = x.reshape(-1, skip + len(s) + h).T[skip:]
+                out.append(with_switch(s, np.nan_to_num(x[: len(s)]), x[len(s) :], h, d, auto))
             return pd.Series(out, dtype=object)
 
-        f = solve(y, train, ahead)
+        f = solve(y, F.flatten("xs"))
     else:
 
         @F.pandas_udf("array<double>")

@@ -71,8 +71,9 @@ def to_log(rows: DataFrame, forecasts: dict[str, Column], req: Request) -> DataF
 def with_external(rows: DataFrame, req: Request) -> DataFrame:
     """Add ``xs``: the external series of each target as known at the origin.
 
-    ``start`` is the period index, on the target's axis, of the first value after the lag is
-    applied. The list is empty for a target without external series.
+    One array per series, laid on the positions of ``hist`` and ``h`` positions beyond, after
+    the lag is applied; NULL where there is no value. A target without external series has
+    none of them.
     """
     x, lag = req.x, req.lag.select(F.col("id_y").alias("id"), "id_x", F.col("lag").cast("int").alias("lag"))
     cells = panel.bucket_cells(x, req.freq, "x")
@@ -86,15 +87,25 @@ def with_external(rows: DataFrame, req: Request) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("id_x", "lag", "b0", "values", "seen"))).alias("_x"))
     )
     o_idx = cal.period_index(F.col("dsr"), req.freq)
-    last = lambda x: F.array_max(F.filter(x["seen"], lambda s: s < o_idx))
-    known = F.transform(
-        F.coalesce("_x", F.array().cast(dict(per_target.dtypes)["_x"])),
-        lambda x: F.struct(
-            (x["b0"] + x["lag"]).alias("start"),
-            F.slice(x["values"], 1, F.coalesce(last(x) - x["b0"] + 1, F.lit(0))).alias("vals"),
-        ),
-    )
-    return rows.join(per_target, "id", "left").withColumn("xs", known).drop("_x")
+    length = F.size("hist") + req.h
+    null = F.lit(None).cast("double")
+
+    def known(x):
+        last = F.array_max(F.filter(x["seen"], lambda s: s < o_idx))
+        return F.slice(x["values"], 1, F.coalesce(last - x["b0"] + 1, F.lit(0)))
+
+    def aligned(x):
+        ahead = x["b0"] + x["lag"] - F.col("b0")  # positions before the first value
+        vals = known(x)
+        core = F.when(
+            ahead >= 0, F.concat(F.array_repeat(null, F.greatest(ahead, F.lit(0))), vals)
+        ).otherwise(F.slice(vals, F.greatest(1 - ahead, F.lit(1)), F.size(vals)))
+        fill = F.array_repeat(null, F.greatest(length - F.size(core), F.lit(0)))
+        return F.slice(F.concat(core, fill), 1, length)
+
+    none = F.array().cast(dict(per_target.dtypes)["_x"])
+    xs = F.transform(F.coalesce("_x", none), aligned)
+    return rows.join(per_target, "id", "left").withColumn("xs", xs).drop("_x")
 
 
 def needs_x(name: str) -> bool:

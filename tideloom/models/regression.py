@@ -65,18 +65,24 @@ def _equations(num: np.ndarray, cat: np.ndarray, y: np.ndarray, dummies: int):
     return z.T @ z / len(y), z.T @ (y - y.mean()) / len(y), mean, sd, y.mean()
 
 
-def fit_rows(num, cat, y, widths, n_codes: int, dummies: int) -> list[np.ndarray | None]:
-    """Coefficients (intercept, dummies, numeric) per series; rows of equal width solve together."""
+def fit_rows(num, cat, y, xs, first: int, h: int, n_numeric: int, n_codes: int, dummies: int):
+    """Coefficients (intercept, dummies, numeric, external) per series, None where none can be fitted.
+
+    ``xs`` holds the external values of all positions of a series, ``first`` is the first
+    training position. Series with equally many columns are solved together.
+    """
     out: list[np.ndarray | None] = [None] * len(y)
     by_width: dict[int, list[tuple]] = {}
-    for i, (a, c, t, k) in enumerate(zip(num, cat, y, widths)):
+    for i, (a, c, t, x) in enumerate(zip(num, cat, y, xs)):
         t = np.asarray(t, dtype=float)
-        if len(t):
-            a = np.asarray(a, dtype=float).reshape(len(t), int(k))
-            c = np.asarray(c, dtype=int).reshape(len(t), n_codes)
-            eq = _equations(a, c, t, dummies)
+        n = len(t)
+        if n:
+            a = np.asarray(a, dtype=float).reshape(n, n_numeric)
+            c = np.asarray(c, dtype=int).reshape(n, n_codes)
+            x = np.asarray(x, dtype=float).reshape(-1, first + n + h).T[first : first + n]
+            eq = _equations(np.hstack([a, x]), c, t, dummies)
             if eq is not None:
-                by_width.setdefault(int(k), []).append((i, *eq))
+                by_width.setdefault(x.shape[1], []).append((i, *eq))
     for members in by_width.values():
         gram = np.stack([m[1] for m in members])
         w = lasso(gram, np.stack([m[2] for m in members]), PENALTY, SWEEPS)
@@ -86,36 +92,24 @@ def fit_rows(num, cat, y, widths, n_codes: int, dummies: int) -> list[np.ndarray
     return out
 
 
-def _external(xs: Column, idx: Column) -> Column:
-    """Values of the external series at a period index, NULL where they are not known."""
-    return F.transform(xs, lambda x: sa.at(x["vals"], idx - x["start"]))
-
-
-def _coefficients(rows: DataFrame, d: dz.Design, with_x: bool, out: str) -> DataFrame:
+def _coefficients(rows: DataFrame, d: dz.Design, h: int, with_x: bool, out: str) -> DataFrame:
     """Add the fitted coefficients of one model to every (id, dsr) row."""
     n_codes, dummies = len(dz.PARTS[d.freq]), dz.n_dummies(d.freq)
 
     @F.pandas_udf("array<double>")
-    def solve(num: pd.Series, cat: pd.Series, y: pd.Series, width: pd.Series) -> pd.Series:
-        return pd.Series(fit_rows(num, cat, y, width, n_codes, dummies), dtype=object)
+    def solve(num: pd.Series, cat: pd.Series, y: pd.Series, xs: pd.Series) -> pd.Series:
+        coef = fit_rows(num, cat, y, xs, d.first, h, d.n_numeric, n_codes, dummies)
+        return pd.Series(coef, dtype=object)
 
     hist, b0, seas = F.col("hist"), F.col("b0"), F.col("seas")
     pos = d.positions(hist)
-
-    def numeric(t):
-        base = F.array(*d.numeric(hist, t, b0, seas))
-        return F.concat(base, _external(F.col("xs"), b0 + t)) if with_x else base
-
-    num = F.flatten(F.transform(pos, numeric))
-    codes = F.array(F.lit(0)).cast("array<int>")
-    cat = (
-        F.flatten(F.transform(pos, lambda t: F.array(*dz.codes(b0 + t, d.freq))))
-        if n_codes
-        else F.slice(codes, 1, 0)
-    )
+    num = F.flatten(F.transform(pos, lambda t: F.array(*d.numeric(hist, t, b0, seas))))
+    cat = F.array().cast("array<int>")
+    if n_codes:
+        cat = F.flatten(F.transform(pos, lambda t: F.array(*dz.codes(b0 + t, d.freq))))
     y = F.transform(pos, lambda t: d.target(hist, t, b0))
-    width = F.lit(d.n_numeric) + (F.size("xs") if with_x else F.lit(0))
-    return rows.withColumn(out, solve(num, cat, y, width))
+    xs = F.flatten("xs") if with_x else F.array().cast("array<double>")
+    return rows.withColumn(out, solve(num, cat, y, xs))
 
 
 def _predict(coef: Column, d: dz.Design, hist: Column, t: Column, b0: Column, seas: Column, extra: Column | None):
@@ -148,7 +142,7 @@ def _fold(d: dz.Design, h: int, coef: Column, coefx: Column | None) -> Column:
         if coefx is None:
             value = _predict(coef, d, past, t, b0, seas, None)
             return F.struct(F.array_append(past, value).alias("hist"), acc["off"].alias("off"))
-        extra = _external(F.col("xs"), b0 + t)
+        extra = F.transform("xs", lambda x: sa.at(x, t))
         off = acc["off"] | F.exists(extra, lambda v: v.isNull())
         value = F.when(off, _predict(coef, d, past, t, b0, seas, None)).otherwise(
             _predict(coefx, d, past, t, b0, seas, extra)
@@ -171,9 +165,9 @@ def expressions(rows: DataFrame, names: Sequence[str], freq: str, h: int) -> tup
         growth, with_x = MODELS[name]
         d = dz.Design(freq, growth)
         coef, coefx = f"_coef_{name}", f"_coefx_{name}"
-        rows = _coefficients(rows, d, False, coef)
+        rows = _coefficients(rows, d, h, False, coef)
         if with_x:
-            rows = _coefficients(rows, d, True, coefx)
+            rows = _coefficients(rows, d, h, True, coefx)
         ready = F.col(coefx if with_x else coef).isNotNull() & (F.size("hist") >= MIN_BUCKETS)
         out[name] = F.when(ready, _fold(d, h, F.col(coef), F.col(coefx) if with_x else None))
     return rows, out

@@ -41,10 +41,11 @@ def _regressor(kind: str, opt: dict):
     return GBTRegressor(maxIter=opt["rounds"], maxDepth=opt["depth"], stepSize=opt["step"], **common)
 
 
-def _x_level(xs: Column, idx: Column) -> Column:
-    """Mean of the external values at an index, each relative to its own level; NULL if one is unknown."""
+def _x_level(xs: Column, t: Column) -> Column:
+    """Mean of the external values at a position, each relative to its own level; NULL if one is unknown."""
     values = F.transform(
-        xs, lambda x: F.try_divide(sa.at(x["vals"], idx - x["start"]), sa.array_mean(x["vals"]))
+        xs,
+        lambda x: F.try_divide(sa.at(x, t), sa.array_mean(F.filter(x, lambda v: v.isNotNull()))),
     )
     known = ~F.exists(values, lambda v: v.isNull())
     return F.when(known, F.coalesce(sa.array_mean(values), sa.zero()))
@@ -59,7 +60,7 @@ def _features(d: dz.Design, hist: Column, t: Column, with_x: bool) -> Column:
         level[0] = numeric[0] if d.growth else numeric[0] / scale
         level[1:] = [v / scale for v in numeric[1:]]
     codes = [c.cast("double") for c in dz.codes(b0 + t, d.freq)]
-    extra = [_x_level(F.col("xs"), b0 + t)] if with_x else []
+    extra = [_x_level(F.col("xs"), t)] if with_x else []
     return F.array(*codes, *level, *extra)
 
 
@@ -120,7 +121,7 @@ def forecasts(
             pred = F.col("p0")
             if with_x:
                 cur = _step(cur, rich, d, True, "p1")
-                unknown = _x_level(F.col("xs"), F.col("b0") + F.size("past")).isNull()
+                unknown = _x_level(F.col("xs"), F.size("past")).isNull()
                 cur = cur.withColumn("off", F.col("off") | unknown)
                 pred = F.when(F.col("off"), F.col("p0")).otherwise(F.col("p1"))
             cur = cur.withColumn("past", F.array_append("past", _value(pred, d))).drop("p0", "p1")

@@ -423,6 +423,37 @@ QUERIES["e7_expo02"] = log_of(["expo02"])
 QUERIES["e8_expo03"] = log_of(["expo03"])
 
 
+QUERIES["e9_linear"] = log_of(["linear01", "linear02"])
+QUERIES["e15_arima"] = log_of(["arima01", "arima02"])
+QUERIES["e17_autoarima"] = log_of(["autoarima01", "autoarima02"])
+QUERIES["e19_prophet01"] = log_of(["prophet01"])
+
+
+def _with_x(names, **kw) -> Query:
+    def run(spark, d):
+        req = request(spark, d, x=x_m(spark, d), lag=lag_map(spark, d), **kw)
+        return tidy(registry.forecast(req, names)).drop("time")
+
+    return run
+
+
+QUERIES["e10_linearx"] = _with_x(["linearx01", "linearx02"])
+QUERIES["e16_arimax"] = _with_x(["arimax01", "arimax02"])
+QUERIES["e18_autoarimax"] = _with_x(["autoarimax01", "autoarimax02"])
+# tree ensembles: every origin is a separate fit, so one origin here; all series, small ensembles
+SMALL = dict(origins=(PROD_START,), options={"trees": 10, "rounds": 5, "depth": 4})
+QUERIES["e11_randomforest"] = _with_x(["randomforest01", "randomforest02"], **SMALL)
+QUERIES["e12_randomforestx"] = _with_x(["randomforestx01"], **SMALL)
+QUERIES["e13_xgboost"] = _with_x(["xgboost01"], **SMALL)
+QUERIES["e14_xgboostx"] = _with_x(["xgboostx01"], **SMALL)
+
+
+@query("e9_linear_customers")
+def _(spark, d):
+    req = request(spark, d, y=y_cust(spark, d), origins=(CUT,))
+    return tidy(registry.forecast(req, ["linear01", "arima01", "expo03"])).drop("time")
+
+
 @query("e1_e5_customers")
 def _(spark, d):
     req = request(spark, d, y=y_cust(spark, d), origins=(CUT, PROD_START))
@@ -596,6 +627,13 @@ def _(spark, d):
     return _flat_list(r.evaluate)
 
 
+@query("h1_forecast_init_x")
+def _(spark, d):
+    conf = config.InitConfig(**{**INIT, "test_model": ["naive01", "linearx01", "arimax01", "prophet01"]})
+    r = jobs.forecast_init(y_m(spark, d), conf, x_m(spark, d), lag_map(spark, d))
+    return _flat_list(r.forecast)
+
+
 @query("h2_forecast_prod")
 def _(spark, d):
     conf = config.ProdConfig(forecast_start=PROD_START, forecast_period=H)

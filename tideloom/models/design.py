@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -112,16 +112,23 @@ def _trend(hist: Column, t: Column) -> Column:
     ) / 8
 
 
-def seasonal_means(hist: Column) -> Column:
-    """Mean deviation from the trend by position modulo 4, centred on zero."""
-    inner = F.sequence(F.lit(2), F.greatest(F.size(hist) - 3, F.lit(2)))
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(3)),
-        lambda k: sa.array_mean(
-            F.transform(F.filter(inner, lambda t: t % 4 == k), lambda t: sa.at(hist, t) - _trend(hist, t))
-        ),
+def with_seasonal_means(rows: DataFrame) -> DataFrame:
+    """Add ``seas``: mean deviation from the trend by position modulo 4, centred on zero."""
+    hist = F.col("hist")
+    last = F.size(hist) - 3
+
+    def mean_deviation(first: int) -> Column:
+        places = F.sequence(F.lit(first), F.greatest(last, F.lit(first)), F.lit(4))
+        return sa.array_mean(F.transform(places, lambda t: sa.at(hist, t) - _trend(hist, t)))
+
+    raw = F.array(*[mean_deviation(k) for k in (4, 5, 2, 3)])
+    # two steps, so that the four means are computed once and not once per use
+    return (
+        rows.withColumn("_raw", raw)
+        .withColumn("_mean", sa.array_mean(F.col("_raw")))
+        .withColumn("seas", F.transform("_raw", lambda v: v - F.col("_mean")))
+        .drop("_raw", "_mean")
     )
-    return F.transform(raw, lambda v: v - sa.array_mean(raw))
 
 
 @dataclass(frozen=True)

@@ -159,7 +159,7 @@ def _fold(d: dz.Design, h: int, coef: Column, coefx: Column | None) -> Column:
 
 def expressions(rows: DataFrame, names: Sequence[str], freq: str, h: int) -> tuple[DataFrame, dict[str, Column]]:
     """Rows with the fitted coefficients added, and the forecast array of every model."""
-    rows = rows.withColumn("seas", dz.seasonal_means(F.col("hist")))
+    rows = dz.with_seasonal_means(rows)
     out = {}
     for name in names:
         growth, with_x = MODELS[name]

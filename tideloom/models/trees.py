@@ -104,9 +104,11 @@ def forecasts(
     opt = {**DEFAULTS, **options}
     level = sa.array_mean(F.transform("hist", F.abs))
     rows = cut_lineage(
-        rows.filter((F.size("hist") >= 8) & (F.size("hist") - d.first > 1))
-        .withColumn("scale", F.when(level > 0, level).otherwise(1.0))
-        .withColumn("seas", dz.seasonal_means(F.col("hist")))
+        dz.with_seasonal_means(
+            rows.filter((F.size("hist") >= 8) & (F.size("hist") - d.first > 1)).withColumn(
+                "scale", F.when(level > 0, level).otherwise(1.0)
+            )
+        )
     )
     parts = []
     for origin in origins:

@@ -36,7 +36,7 @@ def data(panel_of):
     rng = np.random.default_rng(3)
     xs = {f"x{i:02d}": list(rng.normal(10, 3, 60)) for i in range(8)}
     xs["const"] = [5.1] * 60
-    xs["short"] = [None] * 40 + list(rng.normal(0, 1, 20))
+    xs["short"] = [None] * 25 + list(rng.normal(0, 1, 35))
     base = np.array(xs["x03"])
     ys = {
         "a": list(20 + np.concatenate([rng.normal(0, 1, 4), base[:-4]]) * 2 + rng.normal(0, 0.3, 60)),
@@ -74,7 +74,9 @@ def test_best_lag_and_blocks(data, monkeypatch):
     assert not any(r[1] == "const" for r in one)
     assert len(one) == len(ys) * (len(xs) - 1)
     monkeypatch.setattr(selection, "BLOCK", 2)  # many small blocks give the same pairs
-    assert sorted(tuple(r) for r in selection.best_lag(y, x, 0, 9).collect()) == one
+    many = sorted(tuple(r) for r in selection.best_lag(y, x, 0, 9).collect())
+    assert [r[:3] for r in many] == [r[:3] for r in one]
+    assert [r[3] for r in many] == pytest.approx([r[3] for r in one])
 
 
 def test_smallest_lag_wins_a_tie(panel_of):

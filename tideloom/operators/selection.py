@@ -249,9 +249,11 @@ def ols_scores(design: np.ndarray, y: np.ndarray, method: str) -> np.ndarray:
         moment = np.einsum("bip,bi->bp", x, t)
         coef = np.einsum("bpq,bq->bp", np.linalg.pinv(gram, hermitian=True), moment)
         rss = ((t - np.einsum("bip,bp->bi", x, coef)) ** 2).sum(axis=1)
+        tss = (t * t).sum(axis=1)
+        rss = np.maximum(rss, 1e-30 * tss)  # a perfect fit scores very high, not undefined
         free = n - p - 1
         if method == "R2-adj":
-            r2 = 1 - rss / (t * t).sum(axis=1)
+            r2 = 1 - rss / tss
             score = np.where(free != 0, 1 - (1 - r2) * (n - p) / free, np.nan)
         else:
             var = rss / n

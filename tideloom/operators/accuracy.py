@@ -7,6 +7,8 @@ of calendar dates, not of series.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,32 +38,43 @@ def rank_models(
     error_ens: str = "mean",
     error_dsp: str = "mape",
     rank_by: str = "mae",
+    only: dt.date | None = None,
 ) -> DataFrame:
     """Dense rank of the models per (id, period) at every rank origin.
 
     A rank origin is one period after a log origin. It sees log rows with ``dsr`` before it and
-    ``ds`` not older than ``test_back`` periods, and actuals dated before it.
+    ``ds`` not older than ``test_back`` periods, and actuals dated before it. ``only`` asks for
+    a single rank origin and lets the scan of the log skip everything older.
     """
     origins = (
         log.select("dsr").distinct()
         .select(cal.shift_period(F.col("dsr"), 1, freq).alias("rank_dsr")).distinct()
         .withColumn("since", cal.shift_period(F.col("rank_dsr"), -test_back, freq))
     )
+    if only is not None:
+        day = F.lit(only)
+        origins = origins.filter(F.col("rank_dsr") == day)
+        since = cal.shift_period(day, -test_back, freq)
+        log = log.filter((F.col("dsr") < day) & (F.col("ds") >= since))
+        actual = actual.filter((F.col("ds") < day) & (F.col("ds") >= since))
     scored = score_log(log.select("id", "ds", "dsr", "period", "model", "forecast"), actual)
     seen = scored.join(
         F.broadcast(origins),
         (F.col("dsr") < F.col("rank_dsr")) & (F.col("ds") >= F.col("since")),
     )
     known = (F.col("ds") < F.col("rank_dsr")) & F.col("actual").isNotNull()
-    per_model = seen.groupBy("id", "rank_dsr", "period", "model").agg(
+    # rows of one log entry go to different rank origins, so combining them before the exchange
+    # would gain nothing; partitioned by the rank group, aggregation and rank share one exchange
+    placed = seen.repartition("id", "rank_dsr", "period")
+    per_model = placed.groupBy("id", "rank_dsr", "period", "model").agg(
         ensemble_agg(error_ens, F.when(known, F.col("mae"))).alias("mae"),
         ensemble_agg(error_ens, F.when(known, F.col("mape"))).alias("mape"),
         F.nullif(F.count_if(known), F.lit(0)).alias("test_back"),
     )
-    # (origin, period) pairs for which no series at all has an actual: every model ranks first
-    evidence = per_model.groupBy("rank_dsr", "period").agg(
-        F.max(F.col("test_back").isNotNull()).alias("_any")
-    )
+    # (origin, period) pairs for which no series at all has an actual: every model ranks first.
+    # It asks for all columns of the aggregate, so that both uses share one exchange.
+    known_any = F.coalesce(F.col("test_back").cast("double"), "mae", "mape").isNotNull()
+    evidence = per_model.groupBy("rank_dsr", "period").agg(F.max(known_any).alias("_any"))
     w = Window.partitionBy("id", "rank_dsr", "period").orderBy(F.asc_nulls_last(rank_by))
     return (
         per_model.withColumn("_rank", F.dense_rank().over(w))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from . import growth, panel
+from .skew import hot_join
 
 # Domains of the calendar dummies.
 PART_DOMAINS = {
@@ -142,17 +143,13 @@ def decompose(df: DataFrame, lag: int = 3, keys: Sequence[str] = ("id",)) -> Dat
 def _lagged(df: DataFrame, x: DataFrame, shifts: DataFrame, freq: str, out: str) -> DataFrame:
     """Left join of x moved forward by ``shift`` periods: one row per (id, ds, id_x).
 
-    The join key is (id_x, source bucket), so an external series used by very many targets
-    is spread over its dates; what is still skewed is on the left side of a left join, which
-    adaptive execution can split.
+    The join key is (id_x, source bucket), which spreads an external series over its dates;
+    one that is used by very many targets is split further.
     """
     wide = df.join(shifts.select(F.col("id_y").alias("id"), "id_x", "shift"), "id")
     src = wide.withColumn("_src", cal.shift_period(F.col("ds"), -F.col("shift"), freq))
-    return src.join(
-        x.select(F.col("id").alias("id_x"), F.col("ds").alias("_src"), F.col("x").alias(out)),
-        ["id_x", "_src"],
-        "left",
-    ).drop("_src", "shift")
+    values = x.select(F.col("id").alias("id_x"), F.col("ds").alias("_src"), F.col("x").alias(out))
+    return hot_join(src, values, ["id_x", "_src"], ["id"], "left").drop("_src", "shift")
 
 
 def join_x_lagged(df: DataFrame, x: DataFrame, lag: DataFrame, freq: str) -> DataFrame:
@@ -168,8 +165,7 @@ def join_x_rnn(
     last = x.groupBy(F.col("id").alias("id_x")).agg(F.max("ds").alias("_last"))
     periods = F.lit(cal.index_of(origin, freq)) - cal.period_index(F.col("_last"), freq)
     shifts = (
-        lag.select("id_y", "id_x")
-        .join(last, "id_x")
+        hot_join(lag.select("id_y", "id_x"), last, ["id_x"], ["id_y"])
         .select("id_y", "id_x", F.greatest(periods, F.lit(delay)).cast("int").alias("shift"))
     )
     return _lagged(df, x, shifts, freq, "xrnn")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..session import cut_lineage
 from . import growth as gr
+from .skew import hot_join
 
 BLOCK = 256  # series per block; one task holds two blocks of packed series
 
@@ -83,12 +84,11 @@ def align_lagged(
     """Rows ``id_y, id_x, lag, ds, y, x`` on the dates of x, x shifted by ``lag`` rows, complete rows only."""
     rn = F.row_number().over(Window.partitionBy("id").orderBy("ds"))
     pos = x.select(F.col("id").alias("id_x"), "ds", "x", rn.alias("pos"))
-    targets = lags.join(pos.select("id_x", "ds", "pos"), "id_x").withColumn(
+    targets = hot_join(lags, pos.select("id_x", "ds", "pos"), ["id_x"], ["id_y"]).withColumn(
         "src", F.col("pos") - F.col("lag")
     )
-    shifted = targets.join(
-        pos.select("id_x", F.col("pos").alias("src"), "x"), ["id_x", "src"]
-    )
+    values = pos.select("id_x", F.col("pos").alias("src"), "x")
+    shifted = hot_join(targets, values, ["id_x", "src"], ["id_y"])
     return (
         shifted.join(y.select(F.col("id").alias("id_y"), "ds", "y"), ["id_y", "ds"])
         .select("id_y", "id_x", "lag", "ds", "y", "x")
@@ -109,9 +109,10 @@ def _packed(df: DataFrame, value: str, key: str) -> DataFrame:
     )
 
 
-def _n_blocks(df: DataFrame, key: str) -> int:
-    n = df.select(key).distinct().count()
-    return max(1, math.ceil(n / BLOCK))
+def _written(packed: DataFrame) -> tuple[DataFrame, int]:
+    """Packed series as a written table, and how many blocks they fill."""
+    table = cut_lineage(packed)
+    return table, max(1, math.ceil(table.count() / BLOCK))
 
 
 def _block(key: str, n: int) -> Column:
@@ -201,8 +202,8 @@ def _corr_block(min_lag: int, max_lag: int, best_only: bool):
 def _correlate(
     y: DataFrame, x: DataFrame, min_lag: int, max_lag: int, best_only: bool
 ) -> DataFrame:
-    yp, xp = _packed(y, "y", "id_y"), _packed(x, "x", "id_x")
-    ny, nx = _n_blocks(y, "id"), _n_blocks(x, "id")
+    yp, ny = _written(_packed(y, "y", "id_y"))
+    xp, nx = _written(_packed(x, "x", "id_x"))
     left = yp.withColumn("yb", _block("id_y", ny)).withColumn("xb", _all_blocks(nx))
     right = xp.withColumn("xb", _block("id_x", nx)).withColumn("yb", _all_blocks(ny))
     return (
@@ -313,23 +314,24 @@ def _score(
     )
 
 
-def _start_state(y: DataFrame) -> DataFrame:
-    return y.select(F.col("id").alias("id_y"), "ds", F.array(F.col("y")).alias("f"))
+def _start(y: DataFrame) -> tuple[DataFrame, int]:
+    """State before the first round (``f`` holds y alone), and the number of target blocks."""
+    state = cut_lineage(y.select(F.col("id").alias("id_y"), "ds", F.array(F.col("y")).alias("f")))
+    n = state.select("id_y").distinct().count()
+    return state, max(1, math.ceil(n / BLOCK))
 
 
 def score_first(y: DataFrame, x: DataFrame, lags: DataFrame, method: str = "AICc") -> DataFrame:
     """Scores of all one-feature regressions: the first round of the forward selection."""
-    ny, nx = _n_blocks(y, "id"), _n_blocks(x, "id")
-    return _score(
-        _start_state(y), _packed(x, "x", "id_x"), lags.select("id_y", "id_x", "lag"),
-        method, ny, nx, best_only=False,
-    )
+    xp, nx = _written(_packed(x, "x", "id_x"))
+    state, ny = _start(y)
+    return _score(state, xp, lags.select("id_y", "id_x", "lag"), method, ny, nx, best_only=False)
 
 
 def _extend_state(state: DataFrame, chosen: DataFrame, x_packed: DataFrame) -> DataFrame:
     """Append the chosen lagged series to each target; rows without it are dropped."""
     col = (
-        chosen.join(x_packed, "id_x")
+        hot_join(chosen.select("id_y", "id_x", "lag"), x_packed, ["id_x"], ["id_y"])
         .select("id_y", "lag", "vals", F.posexplode("days").alias("pos", "d"))
         .select(
             "id_y",
@@ -352,9 +354,8 @@ def forward_select(
     in the round before. A candidate must be strictly better than the best score so far.
     Each round is written once to the shared folder, which cuts its lineage.
     """
-    ny, nx = _n_blocks(y, "id"), _n_blocks(x, "id")
-    x_packed = cut_lineage(_packed(x, "x", "id_x"))
-    state = cut_lineage(_start_state(y))
+    x_packed, nx = _written(_packed(x, "x", "id_x"))
+    state, ny = _start(y)
     left = cut_lineage(lags.select("id_y", "id_x", "lag"))
     best = left.select("id_y").distinct().withColumn("best", F.lit(START_SCORE))
     rounds: list[DataFrame] = []

@@ -11,9 +11,14 @@ HOT_ROWS = 100_000  # rows of one key that a single task may take
 
 
 def hot_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Sequence[str], hot_rows: int = HOT_ROWS
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    spread_by: Sequence[str],
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Inner join with the hot keys of ``left`` salted.
+    """Inner or left join with the hot keys of ``left`` salted.
 
     A key with more than ``hot_rows`` rows is split into as many parts as it needs, by a hash
     of ``spread_by``; the matching rows of ``right`` are copied once per part. Only the list
@@ -30,4 +35,4 @@ def hot_join(
     salted = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", hashed).drop("_parts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
     copied = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", copies).drop("_parts")
-    return salted.join(copied, [*keys, "_salt"]).drop("_salt")
+    return salted.join(copied, [*keys, "_salt"], how).drop("_salt")

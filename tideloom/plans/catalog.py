@@ -539,11 +539,11 @@ def _flat_list(df: DataFrame, **digits) -> DataFrame:
 # -- G: feature selection -------------------------------------------------------------------
 
 
-def prepared(spark, d):
-    return (
-        selection.prepare_y(y_m(spark, d), "m"),
-        selection.prepare_x(x_m(spark, d), "m", True, 48),
-    )
+def prepared(spark, d, written: bool = True):
+    """Cleaned targets and external series; written once when a query reads them repeatedly."""
+    y = selection.prepare_y(y_m(spark, d), "m")
+    x = selection.prepare_x(x_m(spark, d), "m", True, 48)
+    return (cut_lineage(y), cut_lineage(x)) if written else (y, x)
 
 
 @query("g1_clean_after_gap")
@@ -553,17 +553,17 @@ def _(spark, d):
 
 @query("g2_prepare_x")
 def _(spark, d):
-    return tidy(prepared(spark, d)[1], x=6)
+    return tidy(prepared(spark, d, False)[1], x=6)
 
 
 @query("g2_x_report")
 def _(spark, d):
-    return selection.x_report(x_m(spark, d), prepared(spark, d)[1])
+    return selection.x_report(x_m(spark, d), prepared(spark, d, False)[1])
 
 
 @query("g3_prepare_y")
 def _(spark, d):
-    return tidy(prepared(spark, d)[0], y=6)
+    return tidy(prepared(spark, d, False)[0], y=6)
 
 
 @query("g4_lag_corr")
@@ -608,7 +608,7 @@ def _(spark, d):
 
 def _by_name(name):
     def run(spark, d):
-        y, x = (cut_lineage(t) for t in prepared(spark, d))
+        y, x = prepared(spark, d)
         return tidy(selection.fit(name, y, x, selection.best_lag(y, x), max_features=2))
 
     return run

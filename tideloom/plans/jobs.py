@@ -74,8 +74,8 @@ def forecast_prod(
     models = [m for m in named if m in registry.MODELS]
     rank = accuracy.rank_models(
         past, panel.actuals(y, freq), freq,
-        conf.test_back, conf.error_ensemble, conf.error_display,
-    ).filter(F.col("dsr") == F.lit(conf.forecast_start))
+        conf.test_back, conf.error_ensemble, conf.error_display, only=conf.forecast_start,
+    )
     req = registry.Request(
         y, (conf.forecast_start,), freq, conf.forecast_period, conf.period_start, x, lag
     )

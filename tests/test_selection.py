@@ -158,3 +158,9 @@ def test_hot_join_equals_a_plain_join(spark):
     want = sorted(tuple(r) for r in left.join(right, "k").collect())
     got = sorted(tuple(r) for r in skew.hot_join(left, right, ["k"], ["a"], hot_rows=100).select("k", "a", "b").collect())
     assert got == want
+    counted = skew.hot_join(
+        left, right.filter("k < 40"), ["k"], ["a"], "left", hot_rows=100, count=left.select("k")
+    )
+    assert sorted(tuple(r) for r in counted.select("k", "a", "b").fillna(-1).collect()) == sorted(
+        tuple(r) for r in left.join(right.filter("k < 40"), "k", "left").fillna(-1).collect()
+    )

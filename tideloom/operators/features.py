@@ -149,7 +149,7 @@ def _lagged(df: DataFrame, x: DataFrame, shifts: DataFrame, freq: str, out: str)
     wide = df.join(shifts.select(F.col("id_y").alias("id"), "id_x", "shift"), "id")
     src = wide.withColumn("_src", cal.shift_period(F.col("ds"), -F.col("shift"), freq))
     values = x.select(F.col("id").alias("id_x"), F.col("ds").alias("_src"), F.col("x").alias(out))
-    return hot_join(src, values, ["id_x", "_src"], ["id"], "left").drop("_src", "shift")
+    return hot_join(src, values, ["id_x", "_src"], ["id"], "left", count=shifts).drop("_src", "shift")
 
 
 def join_x_lagged(df: DataFrame, x: DataFrame, lag: DataFrame, freq: str) -> DataFrame:

@@ -88,7 +88,7 @@ def align_lagged(
         "src", F.col("pos") - F.col("lag")
     )
     values = pos.select("id_x", F.col("pos").alias("src"), "x")
-    shifted = hot_join(targets, values, ["id_x", "src"], ["id_y"])
+    shifted = hot_join(targets, values, ["id_x", "src"], ["id_y"], count=lags)
     return (
         shifted.join(y.select(F.col("id").alias("id_y"), "ds", "y"), ["id_y", "ds"])
         .select("id_y", "id_x", "lag", "ds", "y", "x")

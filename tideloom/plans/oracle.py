@@ -415,6 +415,34 @@ SQL["e7_expo02"] = _with(
     Y_M, ORIGINS, _hist("ym"), HIST_LIST, _smooth(_HOLT, True, "s[1] + (step + 1) * s[2]")
 )
 
+# state: level, trend, squared error, then the season as a queue, oldest first
+_HW = """list_reduce(list_prepend(
+    list_concat([list_avg(ys[1:12]), (list_avg(ys[13:24]) - list_avg(ys[1:12])) / 12, 0.0],
+                list_transform(ys[1:12], lambda u: u - list_avg(ys[1:12]))),
+    list_transform(ys[13:], lambda v: [v])),
+  lambda s, v: list_concat(
+    [s[1] + s[2] + a * (v[1] - s[1] - s[2] - s[4]),
+     s[2] + b * ((s[1] + s[2] + a * (v[1] - s[1] - s[2] - s[4])) - s[1] - s[2]),
+     s[3] + (v[1] - s[1] - s[2] - s[4]) * (v[1] - s[1] - s[2] - s[4])],
+    list_concat(s[5:15], [s[4] + g * (v[1] - s[1] - s[2] - s[4])])))"""
+_CLIP = "least(greatest(round({0}, 2), 0.01), 0.99)::DOUBLE"
+_COARSE = "SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS v, unnest(range(5)) AS k"
+_NEAR = "SELECT unnest([-0.1, 0.0, 0.1])::DOUBLE AS m, unnest(range(3)) AS k"
+SQL["e8_expo03"] = _with(
+    Y_M, ORIGINS, _hist("ym"), HIST_LIST,
+    f"""c AS (SELECT id, dsr, ys, g1.v AS a, g2.v AS b, g3.v AS g, g1.k AS k1, g2.k AS k2, g3.k AS k3
+  FROM hl, ({_COARSE}) g1, ({_COARSE}) g2, ({_COARSE}) g3 WHERE len(ys) >= 24)""",
+    f"cs AS (SELECT *, {_HW} AS s FROM c)",
+    "w AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY id, dsr ORDER BY s[3], k1, k2, k3) = 1)",
+    f"""n AS (SELECT id, dsr, ys, {_CLIP.format('w.a + m1.m')} AS a, {_CLIP.format('w.b + m2.m')} AS b,
+    {_CLIP.format('w.g + m3.m')} AS g, m1.k AS k1, m2.k AS k2, m3.k AS k3
+  FROM w, ({_NEAR}) m1, ({_NEAR}) m2, ({_NEAR}) m3)""",
+    f"ns AS (SELECT id, dsr, k1, k2, k3, {_HW} AS s FROM n)",
+    "best AS (SELECT * FROM ns QUALIFY row_number() OVER (PARTITION BY id, dsr ORDER BY s[3], k1, k2, k3) = 1)",
+) + """SELECT id, CAST(dsr + to_months(step) AS DATE) AS ds, dsr, step AS period, 'expo03' AS model,
+  round(s[1] + (step + 1) * s[2] + s[4 + step % 12], 4) AS forecast
+FROM best, (SELECT CAST(unnest(range(4)) AS INTEGER) AS step)"""
+
 # -- F ------------------------------------------------------------------------------------
 
 APE = """CASE WHEN actual IS NULL OR forecast IS NULL THEN NULL WHEN actual = 0 AND forecast = 0 THEN 0.0
@@ -575,3 +603,34 @@ SQL["g9_forward_round1"] = (
     + """SELECT id_y, id_x, lag, CAST(1 AS INTEGER) AS step, round(score, 5) AS score FROM sr
 QUALIFY row_number() OVER (PARTITION BY id_y ORDER BY score DESC, id_x) = 1"""
 )
+
+
+# two rounds of the selection: one regressor by its moments, two by the pairwise correlations
+def _two_rounds(p1: str, p2: str) -> str:
+    return f"""s1 AS (SELECT id_y, id_x, lag, {p1} AS score FROM sc),
+c1 AS (SELECT * FROM s1 WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id_y ORDER BY score DESC, id_x) = 1),
+a1 AS (SELECT al.* FROM al JOIN c1 ON c1.id_y = al.id_y AND c1.id_x = al.id_x),
+m2 AS (SELECT b.id_y, b.id_x, b.lag, count(*) AS n, regr_syy(a1.y, a1.x) AS syy,
+    corr(a1.y, a1.x) AS r1, corr(b.y, b.x) AS r2, corr(a1.x, b.x) AS r12
+  FROM al b JOIN a1 ON a1.id_y = b.id_y AND a1.ds = b.ds AND a1.id_x <> b.id_x GROUP BY 1, 2, 3),
+f2 AS (SELECT id_y, id_x, lag, n, syy, (r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12) AS fit FROM m2),
+s2 AS (SELECT id_y, id_x, lag, {p2} AS score FROM f2),
+c2 AS (SELECT s2.* FROM s2 JOIN c1 ON c1.id_y = s2.id_y WHERE s2.score > c1.score
+  QUALIFY row_number() OVER (PARTITION BY s2.id_y ORDER BY s2.score DESC, s2.id_x) = 1),
+chosen AS (SELECT id_y, id_x, lag, CAST(1 AS INTEGER) AS step, score FROM c1
+  UNION ALL SELECT id_y, id_x, lag, CAST(2 AS INTEGER), score FROM c2)"""
+
+
+_LOG1 = "n * -ln(2 * pi() * (rss / n)) - n"
+_LOG2 = "n * -ln(2 * pi() * (syy * (1 - fit) / n)) - n"
+_SELECT = (*PREP_Y, *PREP_X, CORR, BEST, _aligned("bl"))
+_CHOSEN = "SELECT id_y, id_x, lag, step, round(score, {}) AS score FROM chosen"
+SQL["g10_aic01"] = _with(*_SELECT, _two_rounds(f"{_LOG1} - 2", f"{_LOG2} - 4")) + _CHOSEN.format(5)
+SQL["g10_r2adj01"] = (
+    _with(*_SELECT, _two_rounds("1 - (1 - r2) * (n - 1) / (n - 2)", "1 - (1 - fit) * (n - 2) / (n - 3)"))
+    + _CHOSEN.format(6)
+)
+SQL["g9_forward_round2"] = (
+    _with(*_SELECT, _two_rounds(f"{_LOG1} - 2 - 4.0 / (n - 2)", f"{_LOG2} - 4 - 12.0 / (n - 3)")) + _CHOSEN.format(5)
+)
+SQL["h3_feat_selection"] = SQL["g9_forward_round2"].replace(_CHOSEN.format(5), "SELECT id_y, id_x, lag FROM chosen")

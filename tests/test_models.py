@@ -223,9 +223,11 @@ def world(spark, panel_of):
 def test_every_model_gives_h_rows_no_null_and_repeats(world):
     y, x, lag = world
     opt = {"trees": 3, "rounds": 2, "depth": 3}
-    run = lambda: log_of(y, registry.MODELS, [month(48)], x=x, lag=lag, options=opt)
+    slow = ("randomforest02", "randomforestx02", "xgboost01", "xgboostx01")
+    names = [n for n in registry.MODELS if n not in slow]
+    run = lambda: log_of(y, names, [month(48)], h=2, x=x, lag=lag, options=opt)
     first = as_dict(run(), "id", "model", "period")
-    assert len(first) == len(registry.MODELS) * 2 * 4
+    assert len(first) == len(names) * 2 * 2
     assert all(v is not None and np.isfinite(v) for v in first.values())
     assert as_dict(run(), "id", "model", "period") == pytest.approx(first)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import series as sa
-from ..session import cut_lineage
+from ..session import cut_lineage, parallelism
 from . import design as dz
 
 # Model name -> (kind, growth target, external series).
@@ -70,8 +70,10 @@ def _train(rows: DataFrame, d: dz.Design, with_x: bool, kind: str, opt: dict):
     cells = F.transform(
         d.positions(hist), lambda t: F.struct(_features(d, hist, t, with_x).alias("f"), label(t).alias("label"))
     )
+    # bootstrap samples follow partitions and row order: fix both, so that a fit repeats
+    placed = rows.repartition(parallelism(rows.sparkSession), "id").sortWithinPartitions("id")
     data = (
-        rows.select(F.explode(cells).alias("c"))
+        placed.select(F.explode(cells).alias("c"))
         .filter(F.col("c.label").isNotNull() & ~F.exists("c.f", lambda v: v.isNull()))
         .select(array_to_vector("c.f").alias("features"), F.col("c.label").alias("label"))
     )

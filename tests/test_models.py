@@ -223,13 +223,15 @@ def world(spark, panel_of):
 def test_every_model_gives_h_rows_no_null_and_repeats(world):
     y, x, lag = world
     opt = {"trees": 3, "rounds": 2, "depth": 3}
-    slow = ("randomforest02", "randomforestx02", "xgboost01", "xgboostx01")
+    slow = ("randomforest02", "randomforestx01", "randomforestx02", "xgboost01", "xgboost02", "xgboostx01")
     names = [n for n in registry.MODELS if n not in slow]
-    run = lambda: log_of(y, names, [month(48)], h=2, x=x, lag=lag, options=opt)
-    first = as_dict(run(), "id", "model", "period")
+    run = lambda some: log_of(y, some, [month(48)], h=2, x=x, lag=lag, options=opt)
+    first = as_dict(run(names), "id", "model", "period")
     assert len(first) == len(names) * 2 * 2
     assert all(v is not None and np.isfinite(v) for v in first.values())
-    assert as_dict(run(), "id", "model", "period") == pytest.approx(first)
+    some = ["expo03", "autoarimax01", "linearx01", "randomforest01"]
+    again = as_dict(run(some), "id", "model", "period")
+    assert again == pytest.approx({k: v for k, v in first.items() if k[1] in some})
 
 
 def test_no_model_sees_the_future(world):

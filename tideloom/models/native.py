@@ -7,6 +7,8 @@ projection, so adding a model adds no shuffle and no second pass over the panel.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,11 +65,16 @@ def ema(hist: Column, h: int, n: int) -> Column:
     return _flat(acc, h)
 
 
-def expressions(hist: Column, h: int, freq: str) -> dict[str, Column]:
-    """All native models by name."""
-    out = {"naive01": naive(hist, h), "snaive01": seasonal_naive(hist, h, freq)}
-    for size, by_freq in WINDOWS.items():
-        out[f"sma{size}"] = sma(hist, h, by_freq[freq])
-        out[f"wma{size}"] = wma(hist, h, by_freq[freq])
-        out[f"ema{size}"] = ema(hist, h, by_freq[freq])
+def expressions(hist: Column, h: int, freq: str, names: Sequence[str]) -> dict[str, Column]:
+    """Forecast arrays of the native models among ``names``."""
+    averages = {"sma": sma, "wma": wma, "ema": ema}
+    out = {}
+    for name in names:
+        kind, size = name[:-2], name[-2:]
+        if name == "naive01":
+            out[name] = naive(hist, h)
+        elif name == "snaive01":
+            out[name] = seasonal_naive(hist, h, freq)
+        elif kind in averages:
+            out[name] = averages[kind](hist, h, WINDOWS[size][freq])
     return out

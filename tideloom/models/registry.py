@@ -136,8 +136,7 @@ def array_models(req: Request, names: Sequence[str]) -> DataFrame:
         # the arrays are read once per model below, so they become columns first
         rows = rows.withColumns({f"_f_{n}": e for n, e in out.items()})
         out = {n: F.col(f"_f_{n}") for n in out}
-    known = native.expressions(F.col("hist"), req.h, req.freq)
-    known.update(out)
+    known = {**native.expressions(F.col("hist"), req.h, req.freq, names), **out}
     return to_log(rows, {n: known[n] for n in names}, req)
 
 

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # recording a Python call site per column operation slows the building of large plans
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -113,3 +113,11 @@ def test_feature_selection_feeds_the_lag_role(spark, panel_of):
     lag = jobs.feat_selection(panel_of(y), panel_of(x, value="x"), conf)
     assert [tuple(r) for r in lag.collect()] == [("a", "x2", 3)]
     assert roles.schema_ok(lag, "lag")
+
+
+def test_parallelism_where_the_session_sets_nothing(spark):
+    from tideloom.session import parallelism
+
+    other = spark.newSession()
+    other.conf.unset("spark.sql.shuffle.partitions")
+    assert parallelism(other) == spark.sparkContext.defaultParallelism

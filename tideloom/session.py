@@ -35,7 +35,7 @@ def local_session(cores: int | str = "*", app: str = "tideloom", memory: str = "
 
 def parallelism(spark: SparkSession) -> int:
     """Partitions for compute-heavy stages: all cores, or more when the session asks for more."""
-    asked = int(spark.conf.get("spark.sql.shuffle.partitions", "0"))
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions", "1"))  # 1 where it is not set
     return max(spark.sparkContext.defaultParallelism, asked)
 
 

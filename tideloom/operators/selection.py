@@ -74,8 +74,11 @@ def prepare_x(
 
 def x_report(x: DataFrame, kept: DataFrame) -> DataFrame:
     """How many external series were given and how many are usable."""
-    total = x.agg(F.count_distinct("id").alias("total_x"))
-    return total.crossJoin(kept.agg(F.count_distinct("id").alias("total_test_x")))
+    all_ids = x.select("id", F.lit(None).cast("string").alias("kept"))
+    kept_ids = kept.select("id", F.col("id").alias("kept"))
+    return all_ids.unionByName(kept_ids).agg(
+        F.count_distinct("id").alias("total_x"), F.count_distinct("kept").alias("total_test_x")
+    )
 
 
 def align_lagged(

@@ -57,7 +57,9 @@ def lag_map(spark, d) -> DataFrame:
     no = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
     y = panels.table(spark, d, "customer").select(F.col("c_mktsegment").alias("id_y")).distinct()
     x = panels.table(spark, d, "part").select(F.col("p_brand").alias("id_x"), no.alias("no")).distinct()
-    return y.join(x, F.pmod(F.length("id_y") + F.col("no"), F.lit(8)) == 0).select(
+    y = y.withColumn("k", F.pmod(-F.length("id_y"), F.lit(8)))
+    x = x.withColumn("k", F.pmod("no", F.lit(8)))
+    return y.join(x, "k").select(
         "id_y", "id_x", (F.pmod("no", F.lit(6)) + 1).cast("int").alias("lag")
     )
 

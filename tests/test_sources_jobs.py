@@ -121,3 +121,22 @@ def test_parallelism_where_the_session_sets_nothing(spark):
     other = spark.newSession()
     other.conf.unset("spark.sql.shuffle.partitions")
     assert parallelism(other) == spark.sparkContext.defaultParallelism
+
+
+def test_jobs_on_raw_days_and_a_mid_month_origin_equal_the_direct_plans(spark):
+    from tideloom.models import registry
+    from tideloom.operators import panel
+
+    y = spark.range(900).selectExpr(
+        "'a' AS id", "date_add(date'2003-01-05', cast(id AS int)) AS ds", "10D + id % 13 AS y"
+    )
+    conf = config.InitConfig(
+        test_start=day("2004-03-10"), test_end=day("2004-06-30"), test_model=["naive01", "sma02", "prophet01"], forecast_period=2
+    )
+    job = jobs.forecast_init(y, conf)
+    origins = tuple(r.dsr for r in panel.origins_frame(spark, conf.test_start, conf.test_end, "m").orderBy("dsr").collect())
+    direct = registry.forecast(registry.Request(y, origins, "m", 2), conf.test_model)
+    key = lambda log: {(r.model, r.dsr, r.period, r.ds): r.forecast for r in log.collect()}
+    assert key(job.forecastlog) == pytest.approx(key(direct))
+    seen = {r.ds: r.y for r in job.evaluate.filter("y_type = 'actual'").collect()}
+    assert seen == pytest.approx({r.ds: r.y for r in panel.actuals(y, "m").collect()})

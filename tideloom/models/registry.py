@@ -175,6 +175,11 @@ FAMILIES = {
 MODELS = tuple(n for names in FAMILIES.values() for n in names)
 
 
+def input_freq(names: Sequence[str], freq: str) -> str:
+    """Frequency the panel must still have for these models: daily for the daily ones."""
+    return "d" if any(n in additive.MODELS for n in names) else freq
+
+
 def forecast(req: Request, names: Sequence[str]) -> DataFrame:
     """Forecast log of all requested models.
 
@@ -195,6 +200,6 @@ def forecast(req: Request, names: Sequence[str]) -> DataFrame:
         none = {"naive01": F.lit(None).cast("array<double>")}
         return to_log(req.history(), none, req)
     if len(chosen) > 1:
-        freq = "d" if daily_models in chosen else req.freq
+        freq = input_freq(names, req.freq)
         req = replace(req, y=cut_lineage(panel.compact(req.y, req.origins, freq)))
     return _union([build(req, n) for build, n in chosen.items()]).select(*LOG_COLUMNS)

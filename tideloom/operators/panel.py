@@ -207,12 +207,16 @@ def _cut_start(mid: Sequence[dt.date], freq: str) -> Column:
     )
 
 
-def compact(y: DataFrame, origins: Sequence[dt.date], freq: str) -> DataFrame:
-    """The panel summed as far as the histories at ``origins`` allow; same columns, fewer rows."""
+def compact(y: DataFrame, origins: Sequence[dt.date], freq: str, later: bool = False) -> DataFrame:
+    """The panel summed as far as the histories at ``origins`` allow; same columns, fewer rows.
+
+    Rows after the last origin are kept only when ``later`` asks for them.
+    """
     mid = [o for o in origins if cal.bucket_of(o, freq) != o]
+    if not later:
+        y = y.filter(F.col("ds") < F.lit(max(origins)))
     return (
-        y.filter(F.col("ds") < F.lit(max(origins)))
-        .groupBy("id", _cut_start(mid, freq).alias("cut"))
+        y.groupBy("id", _cut_start(mid, freq).alias("cut"))
         .agg(F.coalesce(F.sum("y"), sa.zero()).alias("y"))
         .select("id", F.col("cut").alias("ds"), "y")
     )

@@ -34,17 +34,23 @@ def _given(**tables: DataFrame | None) -> list[str]:
     return [k for k, v in tables.items() if v is not None]
 
 
+def _summed(y: DataFrame, origins, models, freq: str) -> DataFrame:
+    """Bucket sums of the raw panel, written once: histories and actuals both come from them."""
+    return cut_lineage(panel.compact(y, origins, registry.input_freq(models, freq), later=True))
+
+
 def forecast_init(
     y: DataFrame, conf: InitConfig, x: DataFrame | None = None, lag: DataFrame | None = None
 ) -> InitResult:
     """Rolling back-test of every model over every series and origin.
 
-    The log is written once to the shared folder: rank, ensemble and evaluation all read it,
+    The raw panel is read once and its bucket sums are written. The log is written once to the shared folder: rank, ensemble and evaluation all read it,
     and losing an executor does not repeat the model fits.
     """
     check_files("forecast-init", _given(y=y, x=x, lag=lag))
     freq = conf.forecast_frequency
     origins = tuple(cal.rolling_origins(conf.test_start, conf.test_end, freq))
+    y = _summed(y, origins, conf.test_model, freq)
     req = registry.Request(y, origins, freq, conf.forecast_period, conf.period_start, x, lag)
     log = cut_lineage(registry.forecast(req, conf.test_model))
     actual = panel.actuals(y, freq)
@@ -72,6 +78,7 @@ def forecast_prod(
     # the distinct model names: at most the size of the registry
     named = sorted(r["model"] for r in past.select("model").distinct().collect())
     models = [m for m in named if m in registry.MODELS]
+    y = _summed(y, (conf.forecast_start,), models, freq)
     rank = accuracy.rank_models(
         past, panel.actuals(y, freq), freq,
         conf.test_back, conf.error_ensemble, conf.error_display, only=conf.forecast_start,

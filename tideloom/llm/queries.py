@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, pii, quality, simhash, topk
+from . import pieces, pii, quality, simhash, topk, warc
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -30,6 +30,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,9 +43,25 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op5_topk": op5_topk,
     "op7_pii": op7_pii,
+    "op8_warc": op8_warc,
     "op10_simhash": op10_simhash,
 }
 SQL: dict[str, str] = {
+    "op8_warc": """
+        WITH own AS (
+            SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+        ), ranked AS (
+            SELECT *, max(page_id) OVER (PARTITION BY hex) AS last FROM own
+        )
+        SELECT page_id, payload_bytes,
+            list_aggregate(list_transform(range(8), g -> list_aggregate(list_transform(range(4), c ->
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       1 + ((('0x' || substr(hex, 1 + 5 * g, 5))::INTEGER >> (15 - 5 * c)::INTEGER) & 31), 1)), 'string_agg', '')), 'string_agg', '')
+                AS payload_digest,
+            CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN last <> page_id THEN last END AS refers_to
+        FROM ranked
+    """,
     "op5_topk": """
         WITH own AS (
             SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v

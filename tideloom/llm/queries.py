@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, pii, quality, simhash, topk, warc
+from . import pieces, pii, quality, simhash, substrings, topk, warc
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -22,6 +22,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
@@ -41,12 +45,31 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
+    "op4_substrings": op4_substrings,
     "op5_topk": op5_topk,
     "op7_pii": op7_pii,
     "op8_warc": op8_warc,
     "op10_simhash": op10_simhash,
 }
 SQL: dict[str, str] = {
+    "op4_substrings": r"""
+        WITH own AS (
+            SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), windows AS (
+            SELECT uid, i, hash(array_to_string(w[i : i + 34], ' ')) AS h1, md5_number_lower(array_to_string(w[i : i + 34], ' ')) AS h2
+            FROM (SELECT uid, w, unnest(range(1, len(w) - 33)) AS i FROM own)
+        ), again AS (
+            SELECT uid, i FROM windows WHERE (h1, h2) IN (SELECT (h1, h2) FROM windows GROUP BY h1, h2 HAVING count(*) > 1)
+        ), gone AS (
+            SELECT DISTINCT uid, unnest(range(i, i + 35)) AS i FROM again
+        ), kept AS (
+            SELECT o.uid, string_agg(o.word, ' ' ORDER BY o.i) AS text, count(*) AS n
+            FROM (SELECT uid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM own) o ANTI JOIN gone g ON o.uid = g.uid AND o.i = g.i
+            GROUP BY o.uid
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM own LEFT JOIN kept k USING (uid)
+    """,
     "op8_warc": """
         WITH own AS (
             SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
@@ -54,7 +77,7 @@ SQL: dict[str, str] = {
             SELECT *, max(page_id) OVER (PARTITION BY hex) AS last FROM own
         )
         SELECT page_id, payload_bytes,
-            list_aggregate(list_transform(range(8), g -> list_aggregate(list_transform(range(4), c ->
+            list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform(range(4), lambda c:
                 substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                        1 + ((('0x' || substr(hex, 1 + 5 * g, 5))::INTEGER >> (15 - 5 * c)::INTEGER) & 31), 1)), 'string_agg', '')), 'string_agg', '')
                 AS payload_digest,
@@ -64,10 +87,10 @@ SQL: dict[str, str] = {
     """,
     "op5_topk": """
         WITH own AS (
-            SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+            SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
             SELECT q.uid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
             FROM own q JOIN own c ON q.uid <> c.uid AND len(q.v) = len(c.v)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, pii, quality, simhash, substrings, topk, warc
+from . import html_text, pieces, pii, quality, simhash, substrings, topk, warc
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -38,6 +38,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_topk": op5_topk,
     "op7_pii": op7_pii,
     "op8_warc": op8_warc,
+    "op9_html_text": op9_html_text,
     "op10_simhash": op10_simhash,
 }
 SQL: dict[str, str] = {

@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, pieces, pii, quality, simhash, substrings, topk, warc
+from . import html_text, pieces, pii, quality, simhash, substrings, token_counts, topk, warc
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_PIECES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.lines_of_documents(table(spark, sf_dir, "documents"), BYTE_PIECES)
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
+    "op3_token_counts": op3_token_counts,
     "op4_substrings": op4_substrings,
     "op5_topk": op5_topk,
     "op7_pii": op7_pii,

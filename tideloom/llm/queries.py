@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, pieces, pii, quality, simhash, substrings, token_counts, topk, warc
+from . import decontaminate, html_text, pieces, pii, quality, simhash, substrings, token_counts, topk, warc
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_PIECES = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_substrings": op4_substrings,
     "op5_topk": op5_topk,
+    "op6_decontaminate": op6_decontaminate,
     "op7_pii": op7_pii,
     "op8_warc": op8_warc,
     "op9_html_text": op9_html_text,

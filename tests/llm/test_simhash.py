@@ -70,7 +70,7 @@ def test_one_dense_shard_is_whole():
     base = rng.getrandbits(63)
     prints = list({flip(rng, base, rng.randint(0, 3)) for _ in range(200)} | {flip(rng, base, 9) for _ in range(50)})
     prints = [p - 2**64 if p >> 63 else p for p in prints]
-    want, found = brute(prints, 4), dict(simhash._tree_edges(prints, 4))
+    want, found = brute(prints, 4), dict(simhash.tree_edges(prints, [p % 2**64 for p in prints], 4))
     label = {}
     for p, w in zip(prints, want, strict=True):
         assert label.setdefault(w, found.get(p, p)) == found.get(p, p)
@@ -97,3 +97,46 @@ def test_documents(spark, docs_of):
     assert simhash.near_duplicates(docs_of([])).count() == 0
     clash = docs_of(rows).withColumn("_print", F.lit("x")).withColumn("fingerprint", F.lit(1))
     assert simhash.near_duplicates(clash).count() == len(rows)
+
+
+def shingles(text, n=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def test_one_document_of_each_group_stays(spark, docs_of):
+    rng = random.Random(21)
+    words = [f"word{i}" for i in range(400)]
+    rows, group = [], {}
+    for g in range(30):
+        base = [rng.choice(words) for _ in range(rng.randint(120, 300))]
+        for k in range(1 if g % 3 else 6):
+            copy = list(base)
+            for _ in range(k // 2):
+                copy[rng.randrange(len(copy))] = "changed"
+            rows.append((len(rows), " ".join(copy) if k != 5 else "  ".join(copy).upper()))
+            group[len(rows) - 1] = g
+    rows += [(500, None), (501, ""), (502, "  "), (None, rows[0][1]), (0, rows[0][1]), (503, "x " * 60000)]
+    docs = docs_of(rows).withColumn("_id", F.lit(1)).withColumn("row", F.lit("clash"))
+    for part in (simhash.PART, 2):
+        kept = simhash.keep_one(docs, part=part)
+        assert kept.columns == docs.columns
+        ids = sorted(r.doc_id for r in kept.collect())
+        assert ids == sorted([*(min(i for i, x in group.items() if x == g) for g in range(30)), 500, 503])
+    assert simhash.keep_one(docs_of([])).count() == 0
+
+
+def test_width_tells_the_similarity():
+    rng = random.Random(22)
+    found = {}
+    for share in (0.95, 0.9, 0.8, 0.6, 0.3):
+        for _ in range(20):
+            n = 400
+            a = [rng.getrandbits(64) for _ in range(n)]
+            both = round(2 * n * share / (1 + share))
+            b = a[:both] + [rng.getrandbits(64) for _ in range(n - both)]
+            x, y = (int.from_bytes(simhash.wide_print(simhash.np.array(s, simhash.np.uint64)), "little") for s in (a, b))
+            found.setdefault(share, []).append((x ^ y).bit_count())
+    for share, bits in found.items():
+        assert abs(sum(bits) / len(bits) - simhash.widest(share)) < 12
+    assert max(found[0.95]) <= simhash.widest(0.8) < min(found[0.6])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, texts, written
 from .components import components
+from .substrings import mixed, rolled
 
 BITS = 64
 PART = 8192  # fingerprints of a shard that one tree holds; larger shards become several trees
@@ -116,53 +117,64 @@ class Tree:
                 if d - r <= edge <= d + r and not (near and edge <= r and self.root(child) == self.root(i)):
                     stack.append(child)
 
-    def edges(self) -> list[tuple[int, int]]:
-        """Each fingerprint with the first of its component."""
-        return [(self.nodes[i], self.nodes[j]) for i in range(len(self.nodes)) if (j := self.root(i)) != i]
+    def pairs(self) -> list[tuple[int, int]]:
+        """Each entry with the first of its component, both by number."""
+        return [(i, j) for i in range(len(self.nodes)) if (j := self.root(i)) != i]
 
 
-def _tree_edges(prints: list[int], radius: int) -> list[tuple[int, int]]:
-    tree, unsigned = Tree(radius), [p % (1 << BITS) for p in prints]
-    for x in unsigned:
+def tree_edges(ids: list[int], prints: list[int], radius: int) -> list[tuple[int, int]]:
+    """Edges between the ids of a shard that connect them exactly as all links of their fingerprints do."""
+    tree = Tree(radius)
+    for x in prints:
         tree.add(x)
-    return [tuple(v - (1 << BITS) if v >> (BITS - 1) else v for v in e) for e in tree.edges()]
+    return [(ids[i], ids[j]) for i, j in tree.pairs()]
 
 
-def links(prints: DataFrame, radius: int = 4, blocks: int = 6, part: int = PART) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints in ``prints`` exactly as all their links do.
+def shard_edges(dealt: DataFrame, radius: int, part: int = PART) -> DataFrame:
+    """Edges (a, b) of all shards in ``dealt`` (shard, id, print); print is a bigint or bytes of any length.
 
     A shard above ``part`` fingerprints is dealt into parts; each pair of parts makes one tree, so that
     no task holds more than two parts and every link is still seen.
     """
-    shard = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("_print").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(radius, blocks))]))
-    dealt = prints.select("_print", shard.alias("shard"))
     many = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part)
     many = written(many.select("shard", F.ceil(F.col("n") / part).cast("int").alias("parts")), "shards")
     dealt = dealt.join(many, "shard", "left") if many.take(1) else dealt.withColumn("parts", F.lit(None).cast("int"))
-    own = F.pmod(F.hash("_print"), F.col("parts"))
+    own = F.pmod(F.hash("id"), F.col("parts"))
     # cell i, j (i <= j) holds parts i and j; parts meet in exactly one cell, a part itself in all of its own
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.xxhash64("shard", F.least(o, own), F.greatest(o, own)))
-    dealt = dealt.select("_print", F.explode(F.coalesce(cells, F.array("shard"))).alias("tree"))
+    dealt = dealt.select("id", "print", F.explode(F.coalesce(cells, F.array("shard"))).alias("tree"))
 
     def run(batches):
-        tree, held = None, []
+        tree, ids, prints, found = None, [], [], []
         for b in batches:
-            ids, prints = b.column("tree").to_numpy(), b.column("_print").to_numpy()
-            starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, int)
-            found = []
-            for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
-                if ids[s] != tree:
-                    if len(held) > 1:
-                        found += _tree_edges(held, radius)
-                    tree, held = ids[s], []
-                held += prints[s:e].tolist()
+            trees = b.column("tree").to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], trees[1:] != trees[:-1]))) if len(trees) else np.zeros(0, int)
+            own_ids, own_prints = b.column("id").to_pylist(), b.column("print").to_pylist()
+            for s, e in zip(starts, [*starts[1:], len(trees)], strict=True):
+                if trees[s] != tree:
+                    if len(ids) > 1:
+                        found += tree_edges(ids, prints, radius)
+                    tree, ids, prints = trees[s], [], []
+                ids += own_ids[s:e]
+                prints += map(_number, own_prints[s:e])
             yield _edge_batch(found)
-        if len(held) > 1:
-            yield _edge_batch(_tree_edges(held, radius))
+            found = []
+        if len(ids) > 1:
+            yield _edge_batch(tree_edges(ids, prints, radius))
 
     return dealt.repartition("tree").sortWithinPartitions("tree").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _number(own: int | bytes) -> int:
+    return int.from_bytes(own, "little") if isinstance(own, bytes) else own % (1 << BITS)
+
+
+def links(prints: DataFrame, radius: int = 4, blocks: int = 6, part: int = PART) -> DataFrame:
+    """Edges (a, b) that connect the distinct fingerprints in ``prints`` exactly as all their links do."""
+    shard = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("_print").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(radius, blocks))]))
+    return shard_edges(prints.select(shard.alias("shard"), F.col("_print").alias("id"), F.col("_print").alias("print")), radius, part)
+
+
 def _edge_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     pairs = np.array(found, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -185,3 +197,80 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, blocks: in
     return own.join(of_print, "_print").select(
         "doc_id", F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# near copies of documents: the similarity of their sets of five-word shingles, from a wide fingerprint
+
+WIDE = 8  # 64-bit words of a wide fingerprint
+SIMILAR = 0.8
+BANDS, ROWS = 20, 4  # of minima of hashes: sets at the similarity share no band once in 38,000 times
+MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, BANDS * ROWS + WIDE, dtype=np.uint64) | np.uint64(1)
+
+
+def widest(similarity: float, bits: int = WIDE * BITS) -> int:
+    """Bits in which sets of this Jaccard similarity differ on average: the angle of their vectors over pi."""
+    return round(bits * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+
+
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles; a shorter text is one shingle, a text without words none."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    return np.unique(rolled(h, min(words, len(found))))
+
+
+def wide_print(shingles: np.ndarray) -> bytes:
+    counts, n = np.zeros(WIDE * BITS, np.int64), len(shingles)
+    for at in range(0, n, BLOCK):
+        h = mixed(shingles[at : at + BLOCK, None] * MULTIPLIERS[None, -WIDE:])
+        counts += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > n, bitorder="little").tobytes()
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A hash of each band of minima."""
+    low = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(shingles), 1024):
+        low = np.minimum(low, mixed(shingles[at : at + 1024, None] * MULTIPLIERS[None, :-WIDE]).min(axis=0))
+    return mixed((low * MULTIPLIERS[:-WIDE]).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64))
+
+
+def groups(docs: DataFrame, words: int = 5, similarity: float = SIMILAR, part: int = PART) -> DataFrame:
+    """(doc_id, row, group) of every row: groups of near copies, where row hashes doc_id and text.
+
+    Documents are linked when their wide fingerprints differ in no more bits than sets of the similarity do on
+    average. Documents of equal shingle sets are one; those without words are copies of each other.
+    """
+
+    def run(batches):
+        for b in slices(batches, 300):
+            sets = [shingle_hashes(t, words) for t in texts(b.column("text"))]
+            ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            own = [bands(s).view(np.int64).tolist() if len(s) else [] for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("row"), pa.array(ids), pa.array([wide_print(s) for s in sets], pa.binary()), pa.array(own, pa.list_(pa.int64()))],
+                ["doc_id", "row", "id", "print", "bands"],
+            )
+
+    own = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    own = written(own.mapInArrow(run, "doc_id bigint, row bigint, id bigint, print binary, bands array<bigint>"), "prints")
+    one = written(own.groupBy("id").agg(F.first("print").alias("print"), F.first("bands").alias("bands")), "sets")
+    dealt = one.select(F.posexplode("bands").alias("band", "hash"), "id", "print").select(F.xxhash64("band", "hash").alias("shard"), "id", "print")
+    root_of = components(shard_edges(dealt, widest(similarity), part))
+    group_of = one.select("id").join(root_of, one["id"] == root_of["node"], "left").select("id", F.coalesce("root", "id").alias("group"))
+    return own.select("doc_id", "row", "id").join(written(group_of, "groups"), "id").select("doc_id", "row", "group")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = SIMILAR, part: int = PART) -> DataFrame:
+    """``docs`` with one document of each group of near copies: that with the smallest doc_id.
+
+    A document without doc_id stays only in a group where none has one. Repeated rows become one row.
+    """
+    placed = written(groups(docs, words, similarity, part), "placed")
+    chosen = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("c"))
+    chosen = written(chosen.select(F.col("c.doc_id").alias("_id"), F.col("c.row").alias("_row")), "chosen")
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]) & (key == chosen["_row"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])

@@ -10,9 +10,11 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Words are runs of anything but the six ASCII white-space characters. bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
+SLOTS = 1 << 19  # 64-bit words of a filter: 4 MB, however many values are in it
 ROWS_OUT = 2000  # rows of an Arrow batch that goes back to Spark
 
 
@@ -69,3 +71,23 @@ def list_array(parts: list, kind: pa.DataType) -> pa.Array:
     np.cumsum([len(p) for p in parts], out=ends[1:])
     flat = np.concatenate(parts) if parts else np.zeros(0, kind.to_pandas_dtype())
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
+
+
+def fixed_filter(values: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of fixed size over the hashes in a bigint column: two bits of each.
+
+    At most SLOTS numbers come to the driver. A filter that is too full passes more, never less.
+    """
+    low, high = F.col(column).bitwiseAND(F.lit(SLOTS * 64 - 1)), F.shiftrightunsigned(F.col(column), 39)
+    bit = lambda x: F.struct(F.shiftright(x, 6).alias("slot"), x.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    each = values.select(F.explode(F.array(bit(low), bit(high))).alias("p")).select("p.slot", F.expr("shiftleft(1L, p.bit)").alias("bits"))
+    out = np.zeros(SLOTS, np.uint64)
+    for slot, bits in each.groupBy("slot").agg(F.bit_or("bits")).collect():
+        out[slot] = np.uint64(bits % (1 << 64))
+    return out
+
+
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the unsigned hashes may be in the filter."""
+    low, high, six, last, one = h & np.uint64(SLOTS * 64 - 1), h >> np.uint64(39), np.uint64(6), np.uint64(63), np.uint64(1)
+    return (bits[low >> six] >> (low & last) & bits[high >> six] >> (high & last) & one).astype(bool)

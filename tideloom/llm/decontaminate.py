@@ -20,13 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, written
+from .common import fixed_filter, passes, slices, texts, written
 from .substrings import rolled
 
 LEAST = 5  # tokens of the shortest tile; items of fewer tokens take no part
 COVERED = 0.6  # share of an item's tokens under tiles from which it counts as leaked
 TOKEN = re.compile(r"\w+")
-SLOTS = 1 << 19  # 64-bit words of the filter: 4 MB, whatever the size of the benchmark
 
 
 def tokens(text: str) -> list[str]:
@@ -39,12 +38,6 @@ def seeds(words: list[str], least: int = LEAST) -> np.ndarray:
     return rolled(h, least)
 
 
-def _places(h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The two bits of a seed in the filter, each as a slot and a bit."""
-    a, b = h & np.uint64(SLOTS * 64 - 1), h >> np.uint64(39)
-    return a >> np.uint64(6), a & np.uint64(63), b >> np.uint64(6), b & np.uint64(63)
-
-
 def _runs(doc: np.ndarray, item: np.ndarray, size: int, free_doc: np.ndarray, free_item: np.ndarray) -> list[tuple[int, int, int]]:
     """(length, place in item, place in doc) of the maximal common runs of at least ``size`` free tokens."""
     def windows(seq, free):
@@ -96,16 +89,6 @@ def tiles(doc: list[str], item: list[str], least: int = LEAST) -> list[tuple[int
     return found
 
 
-def _filter(parts: DataFrame) -> np.ndarray:
-    """The seeds of the benchmark as bits; at most SLOTS numbers come to the driver."""
-    bits = np.zeros(SLOTS, np.uint64)
-    place = lambda slot, bit: F.struct(F.col(slot).alias("slot"), F.expr(f"shiftleft(1L, {bit})").alias("bit"))
-    each = parts.select(F.explode(F.array(place("slot_a", "bit_a"), place("slot_b", "bit_b"))).alias("p")).select("p.*")
-    for slot, bit in each.groupBy("slot").agg(F.bit_or("bit")).collect():
-        bits[slot] = np.uint64(bit % (1 << 64))
-    return bits
-
-
 def _seed_rows(least: int):
     def run(batches):
         for b in slices(batches, 200):
@@ -114,8 +97,8 @@ def _seed_rows(least: int):
                 h = seeds(words := tokens(text), least)
                 rows.append((np.full(len(h), key), h, np.full(len(h), len(words))))
             key, h, n = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.uint64)] * 3
-            cols = [pa.array(key.astype(np.int64)), pa.array(h.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int32)), *(pa.array(p.astype(np.int32)) for p in _places(h.astype(np.uint64)))]
-            yield pa.RecordBatch.from_arrays(cols, ["item", "seed", "size", "slot_a", "bit_a", "slot_b", "bit_b"])
+            cols = [pa.array(key.astype(np.int64)), pa.array(h.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["item", "seed", "size"])
 
     return run
 
@@ -127,9 +110,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, least
     with the same doc_id as well. row is a hash of doc_id and text that with doc_id names a document.
     """
     items = written(benchmark.select("item_id", F.col("text").alias("item_text")).filter("item_text is not null").distinct().withColumn("item", F.monotonically_increasing_id()), "items")
-    parts = items.select("item", "item_text").mapInArrow(_seed_rows(least), "item bigint, seed bigint, size int, slot_a int, bit_a int, slot_b int, bit_b int")
+    parts = items.select("item", "item_text").mapInArrow(_seed_rows(least), "item bigint, seed bigint, size int")
     parts = written(parts, "seeds")
-    bits = _filter(parts)
+    bits = fixed_filter(parts, "seed")
     of_seed = written(parts.groupBy("seed", "item").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")), "seeds")
 
     def hits(batches):
@@ -137,8 +120,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, least
             kept, found = [], []
             for at, text in enumerate(texts(b.column("text"))):
                 h = seeds(tokens(text), least)
-                slot_a, bit_a, slot_b, bit_b = _places(h)
-                passed = h[(bits[slot_a] >> bit_a & bits[slot_b] >> bit_b & np.uint64(1)).astype(bool)]
+                passed = h[passes(bits, h)]
                 if len(passed):
                     kept.append(at)
                     found.append(np.unique(passed).view(np.int64))

@@ -16,12 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, written
+from .common import fixed_filter, passes, slices, texts, written
 from .components import components
 from .substrings import mixed, rolled
 
 BITS = 64
 PART = 8192  # fingerprints of a shard that one tree holds; larger shards become several trees
+CLOSEST = 2  # links of a fingerprint that are reported besides those that join components
 BLOCK = 1 << 16  # shingles whose bits are counted at once
 
 
@@ -73,6 +74,7 @@ class Tree:
 
     def __init__(self, radius: int):
         self.radius, self.nodes, self.children, self.parent = radius, [], [], []
+        self.near: list[tuple[int, int]] = []
 
     def root(self, i: int) -> int:
         up = self.parent
@@ -103,7 +105,7 @@ class Tree:
 
     def link(self, x: int, i: int) -> None:
         """Connect entry i, whose fingerprint is x, with every component that has one within the radius."""
-        r, stack = self.radius, [0]
+        r, stack, hits = self.radius, [0], []
         while stack:
             at = stack.pop()
             if at == i:
@@ -111,27 +113,35 @@ class Tree:
             else:
                 d = (x ^ self.nodes[at]).bit_count()
                 if d <= r:
+                    hits.append((d, self.root(at) != self.root(i), at))
                     self.union(at, i)
             near = d <= r
             for edge, child in self.children[at].items():
                 if d - r <= edge <= d + r and not (near and edge <= r and self.root(child) == self.root(i)):
                     stack.append(child)
+        self.near += [(i, at) for n, (_, joins, at) in enumerate(sorted(hits)) if joins or n < CLOSEST]
 
     def pairs(self) -> list[tuple[int, int]]:
         """Each entry with the first of its component, both by number."""
         return [(i, j) for i in range(len(self.nodes)) if (j := self.root(i)) != i]
 
 
-def tree_edges(ids: list[int], prints: list[int], radius: int) -> list[tuple[int, int]]:
-    """Edges between the ids of a shard that connect them exactly as all links of their fingerprints do."""
+def tree_edges(ids: list[int], prints: list[int], radius: int, actual: bool = False) -> list[tuple[int, int]]:
+    """Edges between the ids of a shard that connect them exactly as all links of their fingerprints do.
+
+    ``actual``: edges that are links themselves, the closest ones found among them; else a star for each component.
+    """
     tree = Tree(radius)
     for x in prints:
         tree.add(x)
-    return [(ids[i], ids[j]) for i, j in tree.pairs()]
+    return [(ids[i], ids[j]) for i, j in (tree.near if actual else tree.pairs())]
 
 
-def shard_edges(dealt: DataFrame, radius: int, part: int = PART) -> DataFrame:
-    """Edges (a, b) of all shards in ``dealt`` (shard, id, print); print is a bigint or bytes of any length.
+def shard_edges(dealt: DataFrame, radius: int, part: int = PART, actual: bool = False) -> DataFrame:
+    """Edges (a, b) of all shards in ``dealt`` (shard, id, print), as tree_edges() gives them.
+
+    print is a bigint or bytes of any length. Every shard has an order of its own, so that a group that lies in several
+    has several roots.
 
     A shard above ``part`` fingerprints is dealt into parts; each pair of parts makes one tree, so that
     no task holds more than two parts and every link is still seen.
@@ -153,16 +163,16 @@ def shard_edges(dealt: DataFrame, radius: int, part: int = PART) -> DataFrame:
             for s, e in zip(starts, [*starts[1:], len(trees)], strict=True):
                 if trees[s] != tree:
                     if len(ids) > 1:
-                        found += tree_edges(ids, prints, radius)
+                        found += tree_edges(ids, prints, radius, actual)
                     tree, ids, prints = trees[s], [], []
                 ids += own_ids[s:e]
                 prints += map(_number, own_prints[s:e])
             yield _edge_batch(found)
             found = []
         if len(ids) > 1:
-            yield _edge_batch(tree_edges(ids, prints, radius))
+            yield _edge_batch(tree_edges(ids, prints, radius, actual))
 
-    return dealt.repartition("tree").sortWithinPartitions("tree").mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.repartition("tree").sortWithinPartitions("tree", F.xxhash64("tree", "id")).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _number(own: int | bytes) -> int:
@@ -237,12 +247,48 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return mixed((low * MULTIPLIERS[:-WIDE]).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64))
 
 
+def _in_both(a: pa.Array, b: pa.Array) -> list[int]:
+    return [len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) for x, y in zip(a, b, strict=True)]
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets of shingles have the similarity, found from the whole texts.
+
+    Only texts whose set may be in a pair, by a filter of fixed size, give out their sets.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    bits = fixed_filter(ids, "id")
+
+    def sets(batches):
+        for b in slices(batches, 300):
+            own = [shingle_hashes(t, words) for t in texts(b.column("text"))]
+            number = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in own], np.uint64)
+            wanted = np.flatnonzero(passes(bits, number))
+            lists = pa.array([own[i].view(np.int64).tolist() for i in wanted], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(number[wanted].view(np.int64)), lists], ["id", "own"])
+
+    def compare(batches):
+        for b in slices(batches, 200):
+            a, c = b.column("own_a"), b.column("own_b")
+            both = np.array(_in_both(a, c), np.int64)
+            each = np.array([len(x) + len(y) for x, y in zip(a, c, strict=True)], np.int64)
+            yield b.filter(pa.array(both >= similarity * (each - both) - 1e-9)).select(["a", "b"])
+
+    found = docs.select("text").mapInArrow(sets, "id bigint, own array<bigint>").groupBy("id").agg(F.first("own").alias("own"))
+    found = written(found.join(ids, "id", "left_semi"), "sets")
+    first = pairs.join(found.withColumnsRenamed({"id": "a", "own": "own_a"}), "a")
+    return first.join(found.withColumnsRenamed({"id": "b", "own": "own_b"}), "b").select("a", "b", "own_a", "own_b").mapInArrow(compare, "a bigint, b bigint")
+
+
 def groups(docs: DataFrame, words: int = 5, similarity: float = SIMILAR, part: int = PART) -> DataFrame:
     """(doc_id, row, group) of every row: groups of near copies, where row hashes doc_id and text.
 
-    Documents are linked when their wide fingerprints differ in no more bits than sets of the similarity do on
-    average. Documents of equal shingle sets are one; those without words are copies of each other.
+    Trees find candidates: wide fingerprints that differ in no more bits than sets of the similarity do, but for three
+    standard deviations. Links are candidates whose sets of shingles have the similarity. Documents of
+    equal sets are one; those without words are copies of each other.
     """
+    radius = widest(similarity)
+    radius += round(3 * (radius * (1 - radius / (WIDE * BITS))) ** 0.5)
 
     def run(batches):
         for b in slices(batches, 300):
@@ -258,7 +304,8 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = SIMILAR, part: i
     own = written(own.mapInArrow(run, "doc_id bigint, row bigint, id bigint, print binary, bands array<bigint>"), "prints")
     one = written(own.groupBy("id").agg(F.first("print").alias("print"), F.first("bands").alias("bands")), "sets")
     dealt = one.select(F.posexplode("bands").alias("band", "hash"), "id", "print").select(F.xxhash64("band", "hash").alias("shard"), "id", "print")
-    root_of = components(shard_edges(dealt, widest(similarity), part))
+    candidates = written(shard_edges(dealt, radius, part, actual=True), "candidates")
+    root_of = components(verified(candidates, docs, words, similarity))
     group_of = one.select("id").join(root_of, one["id"] == root_of["node"], "left").select("id", F.coalesce("root", "id").alias("group"))
     return own.select("doc_id", "row", "id").join(written(group_of, "groups"), "id").select("doc_id", "row", "group")
 

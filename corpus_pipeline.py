@@ -4,23 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideloom.llm import pieces
+from tideloom.llm import decontaminate, pieces, pii, quality, simhash
 from tideloom.llm.common import written
-from tideloom.llm.queries import PIECES
+from tideloom.llm.queries import PIECES, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Only documents that the classifier doesn't reject; it learns from the labels of the documents it gets."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, "_score").filter(f"_score >= {quality.THRESHOLD}").select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Only documents into which no benchmark item has leaked."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return pii.redact(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the text that they decode to."""
+    """All documents with their token ids and the text that these decode to."""
     return pieces.decode(pieces.encode(docs, PIECES), PIECES)
 
 
-STAGES = [("sentencepiece", sentencepiece)]
-ORACLE_SQL = None  # SQL can't encode
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii", personal_data),
+    ("sentencepiece", sentencepiece),
+]
+ORACLE_SQL = None  # SQL can express none of the models
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs

@@ -85,40 +85,44 @@ def test_smallest_lag_wins_a_tie(panel_of):
     assert selection.best_lag(y, x, 2, 9).first()["lag"] == 2
 
 
-def brute_score(cols, y, method):
-    a = np.column_stack([np.ones(len(y)), *cols])
-    e = y - a @ np.linalg.lstsq(a, y, rcond=None)[0]
-    n, p = len(y), len(cols)
-    rss = float(e @ e)
-    if method == "R2-adj":
-        r2 = 1 - rss / float(((y - y.mean()) ** 2).sum())
-        return 1 - (1 - r2) * (n - p) / (n - p - 1)
-    v = rss / n
-    log_l = n * np.log(1 / np.sqrt(2 * np.pi * v)) - rss / (2 * v)
-    extra = 99999 if n - p - 1 == 0 else (2 * p * (p + 1) / (n - p - 1) if method == "AICc" else 0)
-    return -(-2 * log_l + 2 * p + extra)
+def information(rss: float, n: int, p: int, method: str) -> float:
+    """The score of a least-squares fit, from its definition as a density of the residuals."""
+    spread = (rss / n) ** 0.5
+    per_row = -np.log(spread) - 0.5 * np.log(2 * np.pi) - 0.5
+    free = n - p - 1
+    penalty = 2 * p + (selection.NO_FREEDOM_PENALTY if free == 0 else 2 * p * (p + 1) / free * (method == "AICc"))
+    return 2 * n * per_row - penalty
+
+
+def candidate_table(target: pd.Series, chosen: pd.DataFrame, lagged: pd.DataFrame, method: str) -> pd.Series:
+    """Score of every lagged column when it joins the chosen ones."""
+    scores = {}
+    for name in lagged.columns.difference(chosen.columns):
+        rows = pd.concat([target.rename("target"), chosen, lagged[name]], axis=1, join="inner").dropna()
+        design = np.insert(rows.drop(columns="target").to_numpy(), 0, 1, axis=1)
+        fit = np.linalg.lstsq(design, rows["target"].to_numpy(), rcond=None)[0]
+        rss = float(((rows["target"] - design @ fit) ** 2).sum())
+        n, p = len(rows), design.shape[1] - 1
+        if method == "R2-adj":
+            tss = float(((rows["target"] - rows["target"].mean()) ** 2).sum())
+            scores[name] = 1 - rss / tss * (n - p) / (n - p - 1)
+        else:
+            scores[name] = information(rss, n, p, method)
+    return pd.Series(scores, dtype=float)
 
 
 def brute_forward(y: dict, xs: dict, lags: dict, method: str, most: int):
-    frame = pd.DataFrame({"y": pd.Series(y)}).sort_index()
-    best, chosen = -999999.0, []
-    for _ in range(min(len(lags), most)):
-        found = None
-        for name in sorted(lags):
-            if name in chosen:
-                continue
-            s = pd.Series(xs[name]).sort_index()
-            t = frame.reindex(s.index).assign(**{name: s.shift(lags[name])}).dropna()
-            if len(t) == 0:
-                continue
-            v = brute_score([t[c].to_numpy() for c in t.columns[1:]], t["y"].to_numpy(), method)
-            if v > best:
-                best, found, kept = v, name, t
-        if found is None:
+    """Rounds of the table above: take its best row as long as it beats the round before."""
+    target = pd.Series(y).sort_index()
+    lagged = pd.DataFrame({k: pd.Series(xs[k]).sort_index().shift(lags[k]) for k in lags})
+    picked, before = [], selection.START_SCORE
+    while len(picked) < most:
+        table = candidate_table(target, lagged[picked], lagged, method)
+        if table.empty or table.max() <= before:
             break
-        chosen.append(found)
-        frame = kept
-    return chosen
+        picked.append(table.idxmax())
+        before = table.max()
+    return picked
 
 
 @pytest.mark.parametrize("name", ["aicc01", "aic01", "r2adj01"])

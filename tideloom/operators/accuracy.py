@@ -46,21 +46,31 @@ def rank_models(
     ``ds`` not older than ``test_back`` periods, and actuals dated before it. ``only`` asks for
     a single rank origin and lets the scan of the log skip everything older.
     """
+    index = lambda c: cal.period_index(F.col(c), freq)
+    dates = log.select("dsr")
+    if only is not None:
+        day = F.lit(only)
+        since = cal.shift_period(day, -test_back, freq)
+        # one period back, and the days by which clamped month ends can differ
+        dates = dates.filter((F.col("dsr") < day) & (F.col("dsr") >= F.date_sub(cal.shift_period(day, -1, freq), 3)))
+        log = log.filter((F.col("dsr") < day) & (F.col("ds") >= since))
+        actual = actual.filter((F.col("ds") < day) & (F.col("ds") >= since))
     origins = (
-        log.select("dsr").distinct()
+        dates.distinct()
         .select(cal.shift_period(F.col("dsr"), 1, freq).alias("rank_dsr")).distinct()
         .withColumn("since", cal.shift_period(F.col("rank_dsr"), -test_back, freq))
     )
     if only is not None:
-        day = F.lit(only)
         origins = origins.filter(F.col("rank_dsr") == day)
-        since = cal.shift_period(day, -test_back, freq)
-        log = log.filter((F.col("dsr") < day) & (F.col("ds") >= since))
-        actual = actual.filter((F.col("ds") < day) & (F.col("ds") >= since))
     scored = score_log(log.select("id", "ds", "dsr", "period", "model", "forecast"), actual)
-    seen = scored.join(
-        F.broadcast(origins),
-        (F.col("dsr") < F.col("rank_dsr")) & (F.col("ds") >= F.col("since")),
+    # a rank origin lies in a period from that of dsr to test_back after that of ds: equal keys, no range join
+    first, last = index("dsr"), index("ds") + test_back
+    seen = (
+        scored.filter(last >= first)
+        .withColumn("_at", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+        .join(F.broadcast(origins.withColumn("_at", index("rank_dsr").cast("int"))), "_at")
+        .filter((F.col("dsr") < F.col("rank_dsr")) & (F.col("ds") >= F.col("since")))
+        .drop("_at")
     )
     known = (F.col("ds") < F.col("rank_dsr")) & F.col("actual").isNotNull()
     # rows of one log entry go to different rank origins, so combining them before the exchange

@@ -22,8 +22,8 @@ def hot_join(
     """Inner or left join with the hot keys of ``left`` salted.
 
     A key with more than ``hot_rows`` rows is split into as many parts as it needs, by a hash
-    of ``spread_by``; the matching rows of ``right`` are copied once per part. Only the list
-    of hot keys is broadcast: at most one per ``hot_rows`` counted rows. ``count`` is a smaller
+    of ``spread_by``; the matching rows of ``right`` are copied once per part. How the list of hot
+    keys, at most one per ``hot_rows`` counted rows, is joined is left to Catalyst. ``count`` is a smaller
     table to count the keys on, where its rows per key tell those of ``left``; it may lack some
     of the keys.
     """
@@ -37,7 +37,7 @@ def hot_join(
         .select(*known, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
     )
     hashed = F.pmod(F.xxhash64(*spread_by), F.coalesce("_parts", F.lit(1))).cast("int")
-    salted = left.join(F.broadcast(hot), known, "left").withColumn("_salt", hashed).drop("_parts")
+    salted = left.join(hot, known, "left").withColumn("_salt", hashed).drop("_parts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-    copied = right.join(F.broadcast(hot), known, "left").withColumn("_salt", copies).drop("_parts")
+    copied = right.join(hot, known, "left").withColumn("_salt", copies).drop("_parts")
     return salted.join(copied, [*keys, "_salt"], how).drop("_salt")

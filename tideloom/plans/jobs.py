@@ -16,6 +16,9 @@ from ..sources.io import union_log
 from ..sources.roles import check_files
 
 
+MOST_SKIPPED = 100
+
+
 @dataclass(frozen=True)
 class InitResult:
     forecastlog: DataFrame
@@ -27,7 +30,7 @@ class InitResult:
 class ProdResult:
     forecastlog: DataFrame
     forecast: DataFrame
-    skipped: tuple[str, ...]  # models of the log that are not available here
+    skipped: tuple[str, ...]  # the first MOST_SKIPPED models of the log that are not available here
 
 
 def _given(**tables: DataFrame | None) -> list[str]:
@@ -75,9 +78,10 @@ def forecast_prod(
     check_files("forecast-prod", _given(y=y, forecastlog=log, x=x, lag=lag))
     freq = conf.forecast_frequency
     past = log.filter(F.col("dsr") < F.lit(conf.forecast_start))
-    # the distinct model names: at most the size of the registry
-    named = sorted(r["model"] for r in past.select("model").distinct().collect())
-    models = [m for m in named if m in registry.MODELS]
+    # names that exist here are at most the size of the registry; of others only so many are reported
+    names, ours = past.select("model").distinct(), F.col("model").isin(*registry.MODELS)
+    models = sorted(r["model"] for r in names.filter(ours).collect())
+    others = names.filter(~ours).orderBy("model").limit(MOST_SKIPPED).collect()
     y = _summed(y, (conf.forecast_start,), models, freq)
     rank = accuracy.rank_models(
         past, panel.actuals(y, freq), freq,
@@ -91,8 +95,7 @@ def forecast_prod(
         new, rank, top_model=conf.top_model,
         fcst_ens=conf.forecast_ensemble, error_ens=conf.error_ensemble,
     )
-    skipped = tuple(m for m in named if m not in registry.MODELS)
-    return ProdResult(union_log(new, past, conf.forecast_start), ens, skipped)
+    return ProdResult(union_log(new, past, conf.forecast_start), ens, tuple(r["model"] for r in others))
 
 
 def feat_selection(y: DataFrame, x: DataFrame, conf: SelectConfig) -> DataFrame:

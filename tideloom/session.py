@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,17 +39,14 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a scratch folder only in local mode."""
+    """The folder the cluster names for checkpoints; where it names none, one in the warehouse.
+
+    Both are storage that the driver and all executors share.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    if configured:
-        return configured
-    if spark.sparkContext.master.startswith("local"):
-        configured = tempfile.mkdtemp(prefix="tideloom-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-        return configured
-    raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tideloom-work"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from conftest import month
 from pyspark.sql import functions as F
 
-from tideloom.models import additive, arima, registry, smoothing
+from tideloom.models import additive, arima, registry, regression, smoothing
 from tideloom.operators import panel
 
 
@@ -223,8 +223,7 @@ def world(spark, panel_of):
 def test_every_model_gives_h_rows_no_null_and_repeats(world):
     y, x, lag = world
     opt = {"trees": 3, "rounds": 2, "depth": 3}
-    slow = ("randomforest02", "randomforestx01", "randomforestx02", "xgboost01", "xgboost02", "xgboostx01")
-    names = [n for n in registry.MODELS if n not in slow]
+    names = list(registry.MODELS)
     run = lambda some: log_of(y, some, [month(48)], h=2, x=x, lag=lag, options=opt)
     first = as_dict(run(names), "id", "model", "period")
     assert len(first) == len(names) * 2 * 2
@@ -236,15 +235,60 @@ def test_every_model_gives_h_rows_no_null_and_repeats(world):
 
 def test_no_model_sees_the_future(world):
     y, x, lag = world
-    names = [n for n in registry.MODELS if not n.startswith(("random", "xg"))]
+    names, opt = list(registry.MODELS), {"trees": 2, "rounds": 2, "depth": 2}
     later = F.col("ds") >= F.lit(month(48))
     y2 = y.withColumn("y", F.when(later, F.col("y") * 7 + 1).otherwise(F.col("y")))
     x2 = x.withColumn("x", F.when(later, F.col("x") * 7 + 1).otherwise(F.col("x")))
-    a = as_dict(log_of(y, names, month(48), x=x, lag=lag), "id", "model", "period")
-    b = as_dict(log_of(y2, names, month(48), x=x2, lag=lag), "id", "model", "period")
+    a = as_dict(log_of(y, names, month(48), h=2, x=x, lag=lag, options=opt), "id", "model", "period")
+    b = as_dict(log_of(y2, names, month(48), h=2, x=x2, lag=lag, options=opt), "id", "model", "period")
     assert a == pytest.approx(b)
 
 
+@pytest.mark.parametrize("name", ["randomforest01", "xgboost01"])
+def test_tree_forecasts_do_not_depend_on_the_cluster(spark, panel_of, name):
+    y = panel_of({f"s{i}": wave(40, i) for i in range(7)})
+    opt = {"trees": 3, "rounds": 2, "depth": 3, "series_per_task": 2}
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 8, 12):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(as_dict(log_of(y.repartition(n), [name], month(36), h=2, options=opt), "id", "period"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got[0]) == 14
+    assert got[0] == pytest.approx(got[1], rel=1e-12)
+    assert got[0] == pytest.approx(got[2], rel=1e-12)
+
+
+def test_one_bad_series_leaves_the_others_alone(panel_of):
+    good = {"a": wave(48, 1), "b": wave(48, 2)}
+    bad = {"nan": [float("nan") if i == 20 else v for i, v in enumerate(wave(48, 3))], "huge": [1e300 * (-1) ** i for i in range(48)]}
+    names = ["naive01", "sma03", "expo02", "linear01", "arima01", "autoarima01", "prophet01"]
+    alone = as_dict(log_of(panel_of(good), names, month(48)), "id", "model", "period")
+    req = registry.Request(panel_of({**good, **bad}), (month(48),), "m", 4)
+    log = registry.forecast(req, names)
+    mixed = as_dict(log, "id", "model", "period")
+    assert {k: v for k, v in mixed.items() if k[0] in good} == pytest.approx(alone, rel=1e-6)
+    assert all(np.isfinite(v) for v in mixed.values())
+    missing = {(r.id, r.model) for r in registry.errors(req, names, log).collect()}
+    assert {("nan", n) for n in names} - missing <= {("nan", "naive01"), ("nan", "sma03")}
+    assert not {i for i, _ in missing} & set(good)
+
+
+def test_penalised_fits_converge_whatever_stands_beside_them():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2, 60, 5))
+    x[1, :, 4] = x[1, :, 3] + 0.5 * rng.normal(size=60)  # needs more rounds
+    y = x.sum(axis=2) + rng.normal(size=(2, 60))
+    gram, moment = np.einsum("bni,bnj->bij", x, x) / 60, np.einsum("bni,bn->bi", x, y) / 60
+    both = regression.lasso(gram, moment, 1e-2)
+    assert np.array_equal(both[0], regression.lasso(gram[:1], moment[:1], 1e-2)[0])
+    for g, m, w in zip(gram, moment, both, strict=True):  # the optimality conditions
+        slope = m - g @ w
+        assert (np.abs(slope[w == 0]) <= 1e-2 + 1e-6).all()
+        assert slope[w != 0] == pytest.approx(1e-2 * np.sign(w[w != 0]), abs=1e-6)
+
+
 def test_unknown_model_is_an_error(world):
     with pytest.raises(ValueError, match="nosuch"):
         log_of(world[0], ["nosuch"], month(48))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from .failures import guarded
 
 MODELS = ("prophet01",)
 # Days looked ahead per forecast period.
@@ -70,7 +71,10 @@ def forecasts(daily: DataFrame, freq: str, h: int) -> DataFrame:
                 out.append(None)
                 continue
             origin = int(start) + len(y)
-            daily = fit_predict(y, int(start), origin + days_ahead - 1, cache)
+            daily = guarded(fit_predict, y, int(start), origin + days_ahead - 1, cache)
+            if daily is None:
+                out.append(None)
+                continue
             total = np.concatenate([[0.0], np.cumsum(daily)])
             cuts = np.clip(np.asarray(e, dtype=int) - origin, 0, len(daily))
             out.append(total[cuts[1:]] - total[cuts[:-1]])

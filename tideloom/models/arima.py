@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import season_length
 from . import design as dz
+from .failures import guarded
 
 # Model name -> (growth, external series, automatic order, differences if fixed).
 MODELS = {
@@ -189,7 +190,7 @@ def expression(name: str, freq: str, h: int) -> Column:
                     continue
                 # the last len(s) + h positions, one column per external series
                 x = x.reshape(-1, skip + len(s) + h).T[skip:]
-                out.append(with_switch(s, np.nan_to_num(x[: len(s)]), x[len(s) :], h, d, auto))
+                out.append(guarded(with_switch, s, np.nan_to_num(x[: len(s)]), x[len(s) :], h, d, auto))
             return pd.Series(out, dtype=object)
 
         f = solve(y, F.flatten("xs"))
@@ -199,7 +200,7 @@ def expression(name: str, freq: str, h: int) -> Column:
         def solve_plain(y: pd.Series) -> pd.Series:
             series = [np.asarray(s, dtype=float) for s in y]
             return pd.Series(
-                [arima(s, None, None, h, d, auto) if len(s) >= need else None for s in series],
+                [guarded(arima, s, None, None, h, d, auto) if len(s) >= need else None for s in series],
                 dtype=object,
             )
 

@@ -13,7 +13,7 @@ from ..functions import calendar as cal
 from ..operators import panel
 from ..operators.skew import hot_join
 from ..session import cut_lineage, parallelism
-from . import additive, arima, native, regression, smoothing, trees
+from . import additive, arima, failures, native, regression, smoothing, trees
 
 # The model names a job may ask for.
 NATIVE = (
@@ -54,7 +54,7 @@ def to_log(rows: DataFrame, forecasts: dict[str, Column], req: Request) -> DataF
     models = F.array(*[F.struct(F.lit(m).alias("model"), f.alias("f")) for m, f in forecasts.items()])
     return (
         rows.select("id", "dsr", "s0", F.explode(models).alias("m"))
-        .filter(F.col("m.f").isNotNull())
+        .filter(F.col("m.f").isNotNull() & ~F.exists("m.f", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
         .select("id", "dsr", "s0", F.col("m.model").alias("model"), F.posexplode("m.f").alias("step", "forecast"))
         .select(
             "id",
@@ -76,11 +76,7 @@ def with_external(rows: DataFrame, req: Request) -> DataFrame:
     none of them.
     """
     x, lag = req.x, req.lag.select(F.col("id_y").alias("id"), "id_x", F.col("lag").cast("int").alias("lag"))
-    cells = panel.bucket_cells(x, req.freq, "x")
-    seen = cells.groupBy("id").agg(F.array_sort(F.collect_list("idx")).alias("seen"))
-    packed = panel.pack(x, req.freq, "x").join(seen, "id").select(
-        F.col("id").alias("id_x"), "b0", "values", "seen"
-    )
+    packed = panel.pack(x, req.freq, "x").select(F.col("id").alias("id_x"), "b0", "values", "seen")
     per_target = (
         hot_join(lag, packed, ["id_x"], ["id"])
         .groupBy("id")
@@ -152,6 +148,7 @@ def pooled_models(req: Request, names: Sequence[str]) -> DataFrame:
     rows = req.history()
     if any(needs_x(n) for n in names):
         rows = with_external(rows, req)
+    rows = trees.prepared(rows, req.freq)
     parts = []
     for n in names:
         f = trees.forecasts(rows, req.origins, n, req.freq, req.h, req.options)
@@ -203,3 +200,8 @@ def forecast(req: Request, names: Sequence[str]) -> DataFrame:
         freq = input_freq(names, req.freq)
         req = replace(req, y=cut_lineage(panel.compact(req.y, req.origins, freq)))
     return _union([build(req, n) for build, n in chosen.items()]).select(*LOG_COLUMNS)
+
+
+def errors(req: Request, names: Sequence[str], log: DataFrame) -> DataFrame:
+    """(id, dsr, model, text) of the requested models that gave a history no forecast."""
+    return failures.errors(req.history(), log, list(dict.fromkeys(names)))

@@ -25,17 +25,25 @@ MODELS = {
     "linearx02": (True, True),
 }
 PENALTY = 1e-4
-SWEEPS = 100
+SWEEPS = 500  # rounds at most
+TOLERANCE = 1e-9  # of the largest step of a round
 MIN_BUCKETS = 8
 
 
-def lasso(gram: np.ndarray, moment: np.ndarray, penalty: float, sweeps: int) -> np.ndarray:
-    """Coordinate descent for a batch of standardised problems (gram and moment per row count)."""
+def lasso(gram: np.ndarray, moment: np.ndarray, penalty: float, sweeps: int = SWEEPS) -> np.ndarray:
+    """Coordinate descent for a batch of standardised problems (gram and moment per row count).
+
+    Every problem goes on by itself until it has converged, so its result doesn't depend on the others in the
+    batch. Where columns are nearly collinear the objective settles long before the coefficients do; such a
+    problem ends after ``sweeps`` rounds.
+    """
+    out = np.empty(moment.shape)
     w = np.einsum("bpq,bq->bp", np.linalg.pinv(gram, rcond=1e-9, hermitian=True), moment)
+    live = np.arange(len(w))
     diag = np.einsum("bpp->bp", gram)
     rest = moment - np.einsum("bpq,bq->bp", gram, w)
     for _ in range(sweeps):
-        biggest = 0.0
+        biggest = np.zeros(len(live))
         for j in range(gram.shape[1]):
             d = diag[:, j]
             rho = rest[:, j] + d * w[:, j]
@@ -43,10 +51,16 @@ def lasso(gram: np.ndarray, moment: np.ndarray, penalty: float, sweeps: int) ->
             step = new - w[:, j]
             rest -= gram[:, :, j] * step[:, None]
             w[:, j] = new
-            biggest = max(biggest, float(np.max(np.abs(step) / (1 + np.abs(new)))))
-        if biggest < 1e-9:
-            break
-    return w
+            biggest = np.maximum(biggest, np.abs(step) / (1 + np.abs(new)))
+        done = biggest < TOLERANCE
+        if done.any():
+            out[live[done]] = w[done]
+            left = ~done
+            live, w, gram, diag, rest = live[left], w[left], gram[left], diag[left], rest[left]
+            if not len(live):
+                return out
+    out[live] = w
+    return out
 
 
 def _equations(num: np.ndarray, cat: np.ndarray, y: np.ndarray, dummies: int):
@@ -81,12 +95,14 @@ def fit_rows(num, cat, y, xs, first: int, h: int, n_numeric: int, n_codes: int,
             c = np.asarray(c, dtype=int).reshape(n, n_codes)
             x = np.asarray(x, dtype=float).reshape(-1, first + n + h).T[first : first + n]
             eq = _equations(np.hstack([a, x]), c, t, dummies)
-            if eq is not None:
+            if eq is not None and all(np.isfinite(v).all() for v in eq):
                 by_width.setdefault(x.shape[1], []).append((i, *eq))
     for members in by_width.values():
         gram = np.stack([m[1] for m in members])
-        w = lasso(gram, np.stack([m[2] for m in members]), PENALTY, SWEEPS)
+        w = lasso(gram, np.stack([m[2] for m in members]), PENALTY)
         for (i, _, _, mean, sd, y_mean), row in zip(members, w):
+            if not np.isfinite(row).all():
+                continue
             row = row / sd
             out[i] = np.concatenate([[y_mean - row @ mean], row])
     return out

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import series as sa
-from ..session import cut_lineage, parallelism
+from ..session import cut_lineage
 from . import design as dz
 
 # Model name -> (kind, growth target, external series).
@@ -31,7 +31,10 @@ MODELS = {
     "xgboostx01": ("boost", False, True),
     "xgboostx02": ("boost", True, True),
 }
-DEFAULTS = {"trees": 20, "rounds": 20, "depth": 5, "step": 0.1}
+# Options of a request. ``series_per_task`` decides how training rows are dealt: bootstrap samples follow the
+# partitions, so their number comes from the data and this option alone, never from the session.
+DEFAULTS = {"trees": 20, "rounds": 20, "depth": 5, "step": 0.1, "series_per_task": 500}
+CUT_EVERY = 8  # steps of the recursion between two written tables
 
 
 def _regressor(kind: str, opt: dict):
@@ -70,8 +73,9 @@ def _train(rows: DataFrame, d: dz.Design, with_x: bool, kind: str, opt: dict):
     cells = F.transform(
         d.positions(hist), lambda t: F.struct(_features(d, hist, t, with_x).alias("f"), label(t).alias("label"))
     )
-    # bootstrap samples follow partitions and row order: fix both, so that a fit repeats
-    placed = rows.repartition(parallelism(rows.sparkSession), "id").sortWithinPartitions("id")
+    # fixed partitions and row order, so that a fit repeats on any cluster
+    parts = max(1, -(-rows.count() // opt["series_per_task"]))
+    placed = rows.repartition(parts, "id").sortWithinPartitions("id")
     data = (
         placed.select(F.explode(cells).alias("c"))
         .filter(F.col("c.label").isNotNull() & ~F.exists("c.f", lambda v: v.isNull()))
@@ -97,21 +101,21 @@ def _value(pred: Column, d: dz.Design) -> Column:
     return (1 + pred) * sa.at(past, F.size(past) - dz.anchor_back(F.col("b0") + F.size(past), d.freq))
 
 
+def prepared(rows: DataFrame, freq: str) -> DataFrame:
+    """Histories with the columns that all tree models share, written once for all of them."""
+    level = sa.array_mean(F.transform("hist", F.abs))
+    long = rows.filter(F.size("hist") >= 8).withColumn("scale", F.when(level > 0, level).otherwise(1.0))
+    return cut_lineage(dz.with_seasonal_means(long))
+
+
 def forecasts(
     rows: DataFrame, origins: Sequence[dt.date], name: str, freq: str, h: int, options: dict
 ) -> DataFrame | None:
-    """Rows ``id, dsr, s0, f`` of one tree model, or None without any training row."""
+    """Rows ``id, dsr, s0, f`` of one tree model from prepared() rows, or None without any training row."""
     kind, growth, with_x = MODELS[name]
     d = dz.Design(freq, growth)
     opt = {**DEFAULTS, **options}
-    level = sa.array_mean(F.transform("hist", F.abs))
-    rows = cut_lineage(
-        dz.with_seasonal_means(
-            rows.filter((F.size("hist") >= 8) & (F.size("hist") - d.first > 1)).withColumn(
-                "scale", F.when(level > 0, level).otherwise(1.0)
-            )
-        )
-    )
+    rows = rows.filter(F.size("hist") - d.first > 1)
     parts = []
     for origin in origins:
         known = rows.filter(F.col("dsr") == F.lit(origin))
@@ -120,7 +124,9 @@ def forecasts(
         if plain is None or (with_x and rich is None):
             continue
         cur = known.withColumn("past", F.col("hist")).withColumn("off", F.lit(False))
-        for _ in range(h):
+        for step in range(h):
+            if step and step % CUT_EVERY == 0:
+                cur = cut_lineage(cur)
             cur = _step(cur, plain, d, False, "p0")
             pred = F.col("p0")
             if with_x:

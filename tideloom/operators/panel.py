@@ -62,9 +62,9 @@ def pack(
     start: dt.date | None = None,
     end: dt.date | None = None,
 ) -> DataFrame:
-    """One row per series: ``id, act_st, b0, values`` with gaps as zeros.
+    """One row per series: ``id, act_st, b0, values, seen`` with gaps as zeros.
 
-    ``b0`` is the period index of the first element. ``start`` and ``end`` widen the range
+    ``seen`` are the period indexes that have rows. ``b0`` is the period index of the first element. ``start`` and ``end`` widen the range
     with zeros but never cut it.
     """
     packed = (
@@ -83,7 +83,7 @@ def pack(
     if start is not None:
         b0 = F.least(first, F.lit(cal.index_of(start, freq)))
         values = F.concat(F.array_repeat(sa.zero(), (first - b0).cast("int")), values)
-    return packed.select("id", "act_st", b0.alias("b0"), values.alias("values"))
+    return packed.select("id", "act_st", b0.alias("b0"), values.alias("values"), F.col("cells.idx").alias("seen"))
 
 
 def unpack(packed: DataFrame, freq: str, value: str = "y") -> DataFrame:

@@ -425,6 +425,14 @@ QUERIES["e7_expo02"] = log_of(["expo02"])
 QUERIES["e8_expo03"] = log_of(["expo03"])
 
 
+@query("b12_errors")
+def _(spark, d):
+    # customers with less than a season of history get no seasonal forecast
+    req = request(spark, d, y=y_cust(spark, d), origins=(dt.date(1993, 1, 1), CUT))
+    names = ("naive01", "snaive01", "sma01")
+    return registry.errors(req, names, registry.forecast(req, names))
+
+
 QUERIES["e9_linear"] = log_of(["linear01", "linear02"])
 QUERIES["e15_arima"] = log_of(["arima01", "arima02"])
 QUERIES["e17_autoarima"] = log_of(["autoarima01", "autoarima02"])
@@ -445,9 +453,9 @@ QUERIES["e18_autoarimax"] = _with_x(["autoarimax01", "autoarimax02"])
 # tree ensembles: every origin is a separate fit, so one origin here; all series, small ensembles
 SMALL = dict(origins=(PROD_START,), options={"trees": 10, "rounds": 5, "depth": 4})
 QUERIES["e11_randomforest"] = _with_x(["randomforest01", "randomforest02"], **SMALL)
-QUERIES["e12_randomforestx"] = _with_x(["randomforestx01"], **SMALL)
-QUERIES["e13_xgboost"] = _with_x(["xgboost01"], **SMALL)
-QUERIES["e14_xgboostx"] = _with_x(["xgboostx01"], **SMALL)
+QUERIES["e12_randomforestx"] = _with_x(["randomforestx01", "randomforestx02"], **SMALL)
+QUERIES["e13_xgboost"] = _with_x(["xgboost01", "xgboost02"], **SMALL)
+QUERIES["e14_xgboostx"] = _with_x(["xgboostx01", "xgboostx02"], **SMALL)
 
 
 @query("e9_linear_customers")

@@ -24,6 +24,7 @@ class InitResult:
     forecastlog: DataFrame
     forecast: DataFrame
     evaluate: DataFrame
+    errors: DataFrame  # (id, dsr, model, text): what got no forecast
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,7 @@ class ProdResult:
     forecastlog: DataFrame
     forecast: DataFrame
     skipped: tuple[str, ...]  # the first MOST_SKIPPED models of the log that are not available here
+    errors: DataFrame  # (id, dsr, model, text): what got no forecast
 
 
 def _given(**tables: DataFrame | None) -> list[str]:
@@ -64,7 +66,7 @@ def forecast_init(
         log, rank, top_model=conf.top_model,
         fcst_ens=conf.forecast_ensemble, error_ens=conf.error_ensemble,
     )
-    return InitResult(log, ens, accuracy.evaluate(log, ens, actual, conf.top_model))
+    return InitResult(log, ens, accuracy.evaluate(log, ens, actual, conf.top_model), registry.errors(req, conf.test_model, log))
 
 
 def forecast_prod(
@@ -95,7 +97,7 @@ def forecast_prod(
         new, rank, top_model=conf.top_model,
         fcst_ens=conf.forecast_ensemble, error_ens=conf.error_ensemble,
     )
-    return ProdResult(union_log(new, past, conf.forecast_start), ens, tuple(r["model"] for r in others))
+    return ProdResult(union_log(new, past, conf.forecast_start), ens, tuple(r["model"] for r in others), registry.errors(req, models, new))
 
 
 def feat_selection(y: DataFrame, x: DataFrame, conf: SelectConfig) -> DataFrame:

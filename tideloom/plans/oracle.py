@@ -199,6 +199,12 @@ SQL["b12_work_units"] = (
     _with(Y_M, ORIGINS)
     + "SELECT DISTINCT id, dsr, model FROM ym, origins, (SELECT unnest(['naive01', 'sma01', 'ema03']) AS model)"
 )
+SQL["b12_errors"] = (
+    _with(Y_CUST, _origins("1993-01-01", "2000-01-01"), _hist("yc"))
+    + """SELECT id, dsr, 'snaive01' AS model,
+  'no finite forecast: the history is too short for the model, or the fit failed' AS text
+FROM hist GROUP BY id, dsr HAVING count(*) < 12"""
+)
 
 # -- C ------------------------------------------------------------------------------------
 

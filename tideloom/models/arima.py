@@ -106,8 +106,12 @@ def _fixed(w: np.ndarray, p: int, q: int) -> Fit:
 
 
 def _search(w: np.ndarray, max_order: int, season: int) -> Fit:
-    """Stepwise order search by AICc from (1, 1), with an optional seasonal lag."""
-    top = min(max_order, max(1, len(w) // 10))
+    """Stepwise order search by AICc from (1, 1), with an optional seasonal lag.
+
+    The highest order follows the frequency alone. Orders with more coefficients than the series has rows
+    for have no AICc and are never chosen.
+    """
+    top = max_order
     e, first = _residuals(w, 2 * top)
     seen: dict[tuple, Fit] = {}
 

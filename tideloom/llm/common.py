@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 # Words are runs of anything but the six ASCII white-space characters. bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 SLOTS = 1 << 19  # 64-bit words of a filter: 4 MB, however many values are in it
+BATCH_ROWS = 1000  # rows of an Arrow batch that goes to Python
 ROWS_OUT = 2000  # rows of an Arrow batch that goes back to Spark
 
 
@@ -53,6 +54,11 @@ def once_per_worker(name: str, make: Callable):
     return kept[name]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in Arrow batches of few rows, so that JVM and workers hold little at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def texts(column: pa.Array) -> list[str]:
     """The strings of a column, null as the empty string."""
     return [x or "" for x in column.to_pylist()]
@@ -63,6 +69,7 @@ def slices(batches, rows: int = ROWS_OUT):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def list_array(parts: list, kind: pa.DataType) -> pa.Array:

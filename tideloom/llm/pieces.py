@@ -29,7 +29,7 @@ from .common import list_array, once_per_worker, slices, texts
 SPACE = "▁"
 LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"  # where most words end; others only make longer chunks
 START, BYTES = -1, -2  # marks in the table: before the text; a character that has no piece
-CHUNKS = 600_000  # remembered chunks of a worker; more only cost time
+CHUNKS = 400_000  # remembered chunks of a worker; more only cost time
 LONGEST = 64  # characters of a chunk that is remembered
 ESCAPE = 0xDC00  # bytes from 0x80 travel as the surrogates that stand for them
 

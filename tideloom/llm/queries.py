@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, html_text, pieces, pii, quality, simhash, substrings, token_counts, topk, warc
+from .common import bounded_batches
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_PIECES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

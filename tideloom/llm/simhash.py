@@ -23,7 +23,7 @@ from .substrings import mixed, rolled
 BITS = 64
 PART = 8192  # fingerprints of a shard that one tree holds; larger shards become several trees
 CLOSEST = 2  # links of a fingerprint that are reported besides those that join components
-BLOCK = 1 << 16  # shingles whose bits are counted at once
+BLOCK = 1 << 14  # shingles whose bits are counted at once
 
 
 def fingerprint(text: str, words: int, seed: int) -> int:
@@ -233,8 +233,8 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 def wide_print(shingles: np.ndarray) -> bytes:
     counts, n = np.zeros(WIDE * BITS, np.int64), len(shingles)
-    for at in range(0, n, BLOCK):
-        h = mixed(shingles[at : at + BLOCK, None] * MULTIPLIERS[None, -WIDE:])
+    for at in range(0, n, BLOCK // WIDE):
+        h = mixed(shingles[at : at + BLOCK // WIDE, None] * MULTIPLIERS[None, -WIDE:])
         counts += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(counts * 2 > n, bitorder="little").tobytes()
 
@@ -320,4 +320,5 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = SIMILAR, part:
     chosen = written(chosen.select(F.col("c.doc_id").alias("_id"), F.col("c.row").alias("_row")), "chosen")
     key = F.xxhash64(docs["doc_id"], docs["text"])
     kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]) & (key == chosen["_row"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    repeats = placed.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return kept.dropDuplicates(["doc_id", "text"]) if repeats.take(1) else kept

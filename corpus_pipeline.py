@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tideloom.llm import decontaminate, pieces, pii, quality, simhash
-from tideloom.llm.common import written
+from tideloom.llm.common import bounded_batches, written
 from tideloom.llm.queries import PIECES, table
 
 
@@ -17,6 +17,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    bounded_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -27,11 +28,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
+    bounded_batches(spark)
     return pii.redact(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids and the text that these decode to."""
+    bounded_batches(spark)
     return pieces.decode(pieces.encode(docs, PIECES), PIECES)
 
 

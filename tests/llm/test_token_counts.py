@@ -9,6 +9,7 @@ from tideloom.llm import token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
+OWN = token_counts.Offsets(PATH)
 
 
 def brute(text, starts, rule):
@@ -30,16 +31,20 @@ def test_as_brute_force(rule):
     for _ in range(300):
         text = "".join(rng.choice(["the ", "and", "é", "日本", "🙂", "\n", "\n\n", "  ", "word", ".", "1234"]) for _ in range(rng.randint(1, 40)))
         starts = sorted({0, *(rng.randrange(len(text)) for _ in range(4))})
-        n, crossing = token_counts.attribute(token_counts.offsets(text, LIBRARY), starts, len(text), rule)
+        n, crossing = token_counts.attribute(token_counts.offsets(text, OWN), starts, len(text), rule)
         assert (n.tolist(), crossing.tolist()) == brute(text, starts, rule)
 
 
-def test_long_texts_are_cut_without_effect(monkeypatch):
+def test_offsets_as_the_library(monkeypatch):
+    LIBRARY.encode_special_tokens = True
     rng = random.Random(13)
-    text = " ".join(rng.choice(["The", "quick,", "brown\nfox", "é", "日本", "jumps", "x" * 30]) for _ in range(4000))
-    whole = token_counts.offsets(text, LIBRARY)
-    monkeypatch.setattr(token_counts, "PIECE", 100)
-    assert token_counts.offsets(text, LIBRARY).tolist() == whole.tolist()
+    parts = ["The", " quick,", " brown\n", "é", "日本", "🙂🙂", "  ", "\t", "'ll", "x" * 80, "\u00a0", "\u2003", "12", "٣", "_", "\x1c", "\u0558", "\u208f", "<|endoftext|>", "ñandú", "\x85", "\u200b"]
+    monkeypatch.setattr(token_counts, "REMEMBERED", 50)
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert list(map(tuple, token_counts.offsets(text, OWN).tolist())) == LIBRARY.encode(text, add_special_tokens=False).offsets, repr(text)
+    other = token_counts.Offsets(public_tokenizers.path("word_bpe_49k.json"))
+    assert not other.remembers and len(token_counts.offsets("Some words", other)) == 2
 
 
 def test_documents(spark, docs_of):

@@ -9,10 +9,13 @@ several tokens (the bytes of one character) count every token where the characte
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
+from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -21,37 +24,80 @@ from .common import once_per_worker, slices, texts
 
 RULES = ("start", "end", "most")  # the part of a token's first or last character, or of most of its characters
 BLANK_LINE = re.compile(r"\n[\x20\t\r]*\n")
-PIECE = 1 << 20  # characters that are encoded at once
-JOINT = re.compile(r"(?<=[A-Za-z])(?=\n[A-Za-z])|(?<=[A-Za-z])(?= [A-Za-z])")  # where no token of the vocabulary goes across
-
+PRE_TOKEN = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")  # fixed: how byte-level texts are cut
+REMEMBERED, LONGEST = 400_000, 64  # pre-tokens of a worker, and the characters of one at most
 COUNTS = ("part", "start", "end", "n_tokens", "n_crossing")
 COUNTS_SQL = "array<struct<part:int,start:int,end:int,n_tokens:bigint,n_crossing:bigint>>"
 
 
-def tokenizer(path: str) -> Tokenizer:
-    def load() -> Tokenizer:
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
-        return own
-
-    return once_per_worker(f"tokenizer {path}", load)
+def _shown_bytes() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is printable Latin-1."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-def offsets(text: str, own: Tokenizer) -> np.ndarray:
-    """Character spans of all tokens of a whole text, in order.
+class Offsets(dict):
+    """Token offsets of a byte-level tokenizer by its pre-tokens, whose tokens are remembered.
 
-    Long texts are encoded in pieces that are cut between two words, where the pre-tokenizer cuts as well.
+    A pre-token is encoded by itself whatever stands around it. Texts with a character that the pattern here
+    and the library's take for different kinds go through the library whole, as do all with other tokenizers.
     """
-    spans, at = [], 0
-    while at < len(text):
-        end = len(text)
-        if end - at > PIECE:
-            cut = JOINT.search(text, at + PIECE)
-            end = cut.start() if cut else end
-        found = own.encode(text[at:end], add_special_tokens=False).offsets
-        spans.append(np.array(found, np.int64).reshape(-1, 2) + at)
-        at = end
-    return np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        own, pre = self.library, repr(self.library.pre_tokenizer)
+        simple = pre.startswith("ByteLevel(add_prefix_space=False,") and pre.endswith("use_regex=True)")
+        self.remembers = simple and own.normalizer is None and own.post_processor is None
+        self.shown = _shown_bytes()
+        self.alike: dict[str, bool] = {}
+        self.sizes = [len(own.id_to_token(i) or "") for i in range(own.get_vocab_size())] if self.remembers else []
+
+    def same_kind(self, c: str) -> bool:
+        known = self.alike.get(c)
+        if known is None:
+            probe = f"a{c}b1{c}.{c}{c} {c}"
+            theirs = [o for _, o in self.library.pre_tokenizer.pre_tokenize_str(probe)]
+            known = self.alike[c] = theirs == [m.span() for m in PRE_TOKEN.finditer(probe)]
+        return known
+
+    def __missing__(self, piece: str) -> bytes:
+        raw = piece.encode()
+        sizes, flat, at = self.sizes, [], 0  # of tokens in bytes
+        for token in self.library.model.tokenize("".join(map(self.shown.__getitem__, raw))):
+            flat.append(at)
+            at += sizes[token.id]
+            flat.append(at)
+        if len(raw) > len(piece):
+            char = [i for i, c in enumerate(piece) for _ in c.encode()]  # of each byte
+            flat = [char[x - k] + k for x, k in zip(flat, cycle((0, 1)))]
+        spans = array("i", flat).tobytes()
+        if len(piece) <= LONGEST:
+            self[piece] = spans
+        return spans
+
+    def of(self, text: str) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self.clear()
+        pieces = PRE_TOKEN.findall(text)
+        spans = [self[p] for p in pieces]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        counts = np.fromiter(map(len, spans), np.int64, len(spans)) // 8
+        own = np.frombuffer(b"".join(spans), np.int32).reshape(-1, 2)
+        return own + np.repeat(np.cumsum(sizes) - sizes, counts)[:, None]
+
+
+def tokenizer(path: str) -> Offsets:
+    return once_per_worker(f"tokenizer {path}", lambda: Offsets(path))
+
+
+def offsets(text: str, own: Offsets) -> np.ndarray:
+    """Character spans of all tokens of a whole text, in order."""
+    if own.remembers and (text.isascii() or all(map(own.same_kind, set(text)))):
+        return own.of(text)
+    return np.array(own.library.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
 
 
 def lines(text: str) -> list[int]:
@@ -86,7 +132,7 @@ def attribute(spans: np.ndarray, starts: list[int], length: int, rule: str = "st
     return np.bincount(own, minlength=n), np.bincount(own[crossing], minlength=n)
 
 
-def _counts(docs: list[tuple[str, list[int]]], own: Tokenizer, rule: str) -> tuple[pa.Array, pa.Array]:
+def _counts(docs: list[tuple[str, list[int]]], own: Offsets, rule: str) -> tuple[pa.Array, pa.Array]:
     """The counts of the parts of each (text, starts), and of the whole texts."""
     parts, sizes, totals = [], [0], []
     for text, starts in docs:

@@ -140,3 +140,45 @@ def test_width_tells_the_similarity():
     for share, bits in found.items():
         assert abs(sum(bits) / len(bits) - simhash.widest(share)) < 12
     assert max(found[0.95]) <= simhash.widest(0.8) < min(found[0.6])
+
+
+def brute_groups(texts, similarity=0.8):
+    """The smallest index reachable by links of Jaccard similarity, by comparing all pairs."""
+    sets, up = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return [root(i) for i in range(len(sets))]
+
+
+def found_groups(docs, n, **kw):
+    group = {r.doc_id: r.group for r in simhash.groups(docs, **kw).collect()}
+    first = {}
+    for i in range(n):
+        first.setdefault(group[i], i)
+    return [first[group[i]] for i in range(n)]
+
+
+def test_a_star_of_copies_is_one_group(spark, docs_of):
+    # each copy has 0.818 with the base and about 0.67 with the others, often within the radius
+    rng = random.Random(31)
+    base = [f"w{i}" for i in range(304)]
+    rows = []
+    for k in range(600):
+        copy = list(base)
+        for at in rng.sample(range(5, 295, 6), 6) if k != 300 else ():
+            copy[at] = f"c{k}x{at}"
+        rows.append(" ".join(copy))
+    want = brute_groups(rows)
+    docs = docs_of(list(enumerate(rows)))
+    for part in (simhash.PART, 100):
+        assert found_groups(docs, len(rows), part=part) == want

@@ -137,6 +137,18 @@ def tree_edges(ids: list[int], prints: list[int], radius: int, actual: bool = Fa
     return [(ids[i], ids[j]) for i, j in (tree.near if actual else tree.pairs())]
 
 
+def in_trees(dealt: DataFrame, part: int) -> DataFrame:
+    """``dealt`` with the tree of each row instead of its shard; a row of a shard above ``part`` is in several trees."""
+    many = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > part)
+    many = written(many.select("shard", F.ceil(F.col("rows") / part).cast("int").alias("parts")), "shards")
+    names = [c for c in dealt.columns if c != "shard"]
+    dealt = dealt.join(many, "shard", "left") if many.take(1) else dealt.withColumn("parts", F.lit(None).cast("int"))
+    own = F.pmod(F.hash("id"), F.col("parts"))
+    # cell i, j (i <= j) holds parts i and j; parts meet in exactly one cell, a part itself in all of its own
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.xxhash64("shard", F.least(o, own), F.greatest(o, own)))
+    return dealt.select(*names, F.explode(F.coalesce(cells, F.array("shard"))).alias("tree"))
+
+
 def shard_edges(dealt: DataFrame, radius: int, part: int = PART, actual: bool = False) -> DataFrame:
     """Edges (a, b) of all shards in ``dealt`` (shard, id, print), as tree_edges() gives them.
 
@@ -146,13 +158,7 @@ def shard_edges(dealt: DataFrame, radius: int, part: int = PART, actual: bool =
     A shard above ``part`` fingerprints is dealt into parts; each pair of parts makes one tree, so that
     no task holds more than two parts and every link is still seen.
     """
-    many = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part)
-    many = written(many.select("shard", F.ceil(F.col("n") / part).cast("int").alias("parts")), "shards")
-    dealt = dealt.join(many, "shard", "left") if many.take(1) else dealt.withColumn("parts", F.lit(None).cast("int"))
-    own = F.pmod(F.hash("id"), F.col("parts"))
-    # cell i, j (i <= j) holds parts i and j; parts meet in exactly one cell, a part itself in all of its own
-    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.xxhash64("shard", F.least(o, own), F.greatest(o, own)))
-    dealt = dealt.select("id", "print", F.explode(F.coalesce(cells, F.array("shard"))).alias("tree"))
+    dealt = in_trees(dealt, part)
 
     def run(batches):
         tree, ids, prints, found = None, [], [], []
@@ -213,6 +219,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, blocks: in
 
 WIDE = 8  # 64-bit words of a wide fingerprint
 SIMILAR = 0.8
+OPEN = 1024  # sets of a shard that one task compares; larger shards are split as for trees
 BANDS, ROWS = 20, 4  # of minima of hashes: sets at the similarity share no band once in 38,000 times
 MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, BANDS * ROWS + WIDE, dtype=np.uint64) | np.uint64(1)
 
@@ -251,12 +258,11 @@ def _in_both(a: pa.Array, b: pa.Array) -> list[int]:
     return [len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) for x, y in zip(a, b, strict=True)]
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets of shingles have the similarity, found from the whole texts.
+def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, own): the sets of shingles with these ids, found from the whole texts.
 
-    Only texts whose set may be in a pair, by a filter of fixed size, give out their sets.
+    Only texts whose id may be among them, by a filter of fixed size, give out their sets.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bits = fixed_filter(ids, "id")
 
     def sets(batches):
@@ -267,6 +273,13 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
             lists = pa.array([own[i].view(np.int64).tolist() for i in wanted], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(number[wanted].view(np.int64)), lists], ["id", "own"])
 
+    found = docs.select("text").mapInArrow(sets, "id bigint, own array<bigint>").groupBy("id").agg(F.first("own").alias("own"))
+    return written(found.join(ids, "id", "left_semi"), "sets")
+
+
+def verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of shingles in ``found`` have the similarity."""
+
     def compare(batches):
         for b in slices(batches, 200):
             a, c = b.column("own_a"), b.column("own_b")
@@ -274,17 +287,88 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
             each = np.array([len(x) + len(y) for x, y in zip(a, c, strict=True)], np.int64)
             yield b.filter(pa.array(both >= similarity * (each - both) - 1e-9)).select(["a", "b"])
 
-    found = docs.select("text").mapInArrow(sets, "id bigint, own array<bigint>").groupBy("id").agg(F.first("own").alias("own"))
-    found = written(found.join(ids, "id", "left_semi"), "sets")
     first = pairs.join(found.withColumnsRenamed({"id": "a", "own": "own_a"}), "a")
     return first.join(found.withColumnsRenamed({"id": "b", "own": "own_b"}), "b").select("a", "b", "own_a", "own_b").mapInArrow(compare, "a bigint, b bigint")
 
 
+def _trees(batches):
+    """The rows of each tree as a table; batches come in order of their trees."""
+    held, tree = [], None
+    for b in batches:
+        trees = b.column("tree").to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], trees[1:] != trees[:-1]))) if len(trees) else np.zeros(0, int)
+        for s, e in zip(starts, [*starts[1:], len(trees)], strict=True):
+            if held and trees[s] != tree:
+                yield pa.Table.from_batches(held)
+                held = []
+            tree = trees[s]
+            held.append(b.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _apart(t: pa.Table, radius: int, similarity: float):
+    """For blocks of rows of a tree: the first row, and by row which rows of another label can be linked to it."""
+    prints = np.frombuffer(b"".join(t.column("print").to_pylist()), "<u8").reshape(-1, WIDE)
+    n, label = t.column("n").to_numpy(), t.column("label").to_numpy()
+    for at in range(0, len(n), 64):
+        rows = slice(at, at + 64)
+        bits = np.zeros((len(n[rows]), len(n)), np.uint16)
+        for w in range(WIDE):
+            bits += np.bitwise_count(prints[rows, w, None] ^ prints[None, :, w])
+        low, high = np.minimum(n[rows, None], n[None]), np.maximum(n[rows, None], n[None])
+        yield at, (label[rows, None] != label[None]) & (low >= similarity * high - 1e-9) & (bits <= radius)
+
+
+def _joining(t: pa.Table, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between rows of a tree, checked by their sets, that join the labels exactly as all such links do."""
+    own, ids = t.column("own").combine_chunks(), t.column("id").to_pylist()
+    own = own if isinstance(own, pa.ListArray) else own.chunk(0)
+    values, ends = own.values.to_numpy().view(np.uint64), own.offsets.to_numpy()
+    root, found = np.unique(t.column("label").to_numpy(), return_inverse=True)[1], []
+    for at, near in _apart(t, radius, similarity):
+        for i in range(at, at + len(near)):
+            mine, todo = values[ends[i] : ends[i + 1]], np.flatnonzero(near[i - at, :i])
+            while len(todo := todo[root[todo] != root[i]]):
+                j, todo = todo[0], todo[1:]
+                other = values[ends[j] : ends[j + 1]]
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                if both >= similarity * (len(mine) + len(other) - both) - 1e-9:
+                    found.append((ids[i], ids[j]))
+                    root[root == root[i]] = root[j]
+    return found
+
+
+def joining_edges(dealt: DataFrame, found: DataFrame, radius: int, similarity: float, part: int = OPEN) -> DataFrame:
+    """The links (a, b) still missing between labels in ``dealt`` (shard, id, print, n, label).
+
+    Every pair of a shard within the radius that isn't joined by its labels or by links found before in the same tree is
+    checked by its sets, and only links that join leave the task. So rows grow with the ids, however many pairs fail.
+    Only ids with such a pair send their sets.
+    """
+    mixed_up = dealt.groupBy("shard").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("shard")
+    trees = written(in_trees(dealt.join(mixed_up, "shard", "left_semi"), part), "trees")
+
+    def ask(batches):
+        for t in _trees(batches):
+            asked = np.concatenate([near.any(axis=1) for _, near in _apart(t, radius, similarity)])
+            yield from t.select(["tree", "id", "print", "n", "label"]).filter(pa.array(asked)).to_batches()
+
+    def join(batches):
+        for t in _trees(batches):
+            yield _edge_batch(_joining(t, radius, similarity))
+
+    by_tree = lambda df: df.repartition("tree").sortWithinPartitions("tree", F.xxhash64("tree", "id"))
+    asked = written(by_tree(trees).mapInArrow(ask, "tree bigint, id bigint, print binary, n int, label bigint"), "asked")
+    return by_tree(asked.join(found, "id").select("tree", "id", "n", "print", "label", "own")).mapInArrow(join, "a bigint, b bigint").distinct()
+
+
 def groups(docs: DataFrame, words: int = 5, similarity: float = SIMILAR, part: int = PART) -> DataFrame:
     """(doc_id, row, group) of every row: groups of near copies, where row hashes doc_id and text.
 
     Trees find candidates: wide fingerprints that differ in no more bits than sets of the similarity do, but for three
-    standard deviations. Links are candidates whose sets of shingles have the similarity. Documents of
+    standard deviations. Links are candidates whose sets of shingles have the similarity. A tree names only some of a
+    large group's candidates; what its links leave apart is checked pair by pair (joining_edges()). Documents of
     equal sets are one; those without words are copies of each other.
     """
     radius = widest(similarity)
@@ -296,16 +380,23 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = SIMILAR, part: i
             ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             own = [bands(s).view(np.int64).tolist() if len(s) else [] for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row"), pa.array(ids), pa.array([wide_print(s) for s in sets], pa.binary()), pa.array(own, pa.list_(pa.int64()))],
-                ["doc_id", "row", "id", "print", "bands"],
+                [b.column("doc_id"), b.column("row"), pa.array(ids), pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_print(s) for s in sets], pa.binary()), pa.array(own, pa.list_(pa.int64()))],
+                ["doc_id", "row", "id", "n", "print", "bands"],
             )
 
     own = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    own = written(own.mapInArrow(run, "doc_id bigint, row bigint, id bigint, print binary, bands array<bigint>"), "prints")
-    one = written(own.groupBy("id").agg(F.first("print").alias("print"), F.first("bands").alias("bands")), "sets")
-    dealt = one.select(F.posexplode("bands").alias("band", "hash"), "id", "print").select(F.xxhash64("band", "hash").alias("shard"), "id", "print")
-    candidates = written(shard_edges(dealt, radius, part, actual=True), "candidates")
-    root_of = components(verified(candidates, docs, words, similarity))
+    own = written(own.mapInArrow(run, "doc_id bigint, row bigint, id bigint, n int, print binary, bands array<bigint>"), "prints")
+    one = written(own.groupBy("id").agg(F.first("n").alias("n"), F.first("print").alias("print"), F.first("bands").alias("bands")), "sets")
+    dealt = one.select(F.posexplode("bands").alias("band", "hash"), "id", "print", "n").select(F.xxhash64("band", "hash").alias("shard"), "id", "print", "n")
+    candidates = written(shard_edges(dealt.drop("n"), radius, part, actual=True), "candidates")
+    # an id without a candidate has no partner within the radius at all
+    ids = written(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    found = sets_of(docs, ids, words)
+    sure = written(verified(candidates, found, similarity), "links")
+    root_of = components(sure)
+    label = written(ids.join(root_of, ids["id"] == root_of["node"], "left").select("id", F.coalesce("root", "id").alias("label")), "labels")
+    more = written(joining_edges(dealt.join(label, "id"), found, radius, similarity, min(part, OPEN)), "links")
+    root_of = components(sure.unionByName(more)) if more.take(1) else root_of
     group_of = one.select("id").join(root_of, one["id"] == root_of["node"], "left").select("id", F.coalesce("root", "id").alias("group"))
     return own.select("doc_id", "row", "id").join(written(group_of, "groups"), "id").select("doc_id", "row", "group")
 

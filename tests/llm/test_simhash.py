@@ -182,3 +182,15 @@ def test_a_star_of_copies_is_one_group(spark, docs_of):
     docs = docs_of(list(enumerate(rows)))
     for part in (simhash.PART, 100):
         assert found_groups(docs, len(rows), part=part) == want
+
+
+def test_short_texts_are_linked_whatever_their_bits(spark, docs_of):
+    rng = random.Random(32)
+    rows = []
+    for g in range(60):
+        # shingles of both: 4 and 5, 12 and 15; and across the limit for small sets
+        for few, many in ((4, 5), (12, 15), (60, 75)):
+            w = [f"v{rng.getrandbits(40)}" for _ in range(many + 4)]
+            rows += [" ".join(w[: few + 4]), " ".join(w)]
+    rows += ["a b c d e f g", "a b c d e f h", "one", "ONE"]
+    assert found_groups(docs_of(list(enumerate(rows))), len(rows)) == brute_groups(rows)

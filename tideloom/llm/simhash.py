@@ -219,6 +219,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, blocks: in
 
 WIDE = 8  # 64-bit words of a wide fingerprint
 SIMILAR = 0.8
+SMALL = 64  # shingles from which the bits of a set follow the law of large sets; smaller ones have no radius
 OPEN = 1024  # sets of a shard that one task compares; larger shards are split as for trees
 BANDS, ROWS = 20, 4  # of minima of hashes: sets at the similarity share no band once in 38,000 times
 MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, BANDS * ROWS + WIDE, dtype=np.uint64) | np.uint64(1)
@@ -308,7 +309,10 @@ def _trees(batches):
 
 
 def _apart(t: pa.Table, radius: int, similarity: float):
-    """For blocks of rows of a tree: the first row, and by row which rows of another label can be linked to it."""
+    """For blocks of rows of a tree: the first row, and by row which rows of another label can be linked to it.
+
+    Sets below SMALL can be linked whatever their bits.
+    """
     prints = np.frombuffer(b"".join(t.column("print").to_pylist()), "<u8").reshape(-1, WIDE)
     n, label = t.column("n").to_numpy(), t.column("label").to_numpy()
     for at in range(0, len(n), 64):
@@ -317,7 +321,7 @@ def _apart(t: pa.Table, radius: int, similarity: float):
         for w in range(WIDE):
             bits += np.bitwise_count(prints[rows, w, None] ^ prints[None, :, w])
         low, high = np.minimum(n[rows, None], n[None]), np.maximum(n[rows, None], n[None])
-        yield at, (label[rows, None] != label[None]) & (low >= similarity * high - 1e-9) & (bits <= radius)
+        yield at, (label[rows, None] != label[None]) & (low >= similarity * high - 1e-9) & ((bits <= radius) | (low < SMALL))
 
 
 def _joining(t: pa.Table, radius: int, similarity: float) -> list[tuple[int, int]]:
@@ -366,13 +370,13 @@ def joining_edges(dealt: DataFrame, found: DataFrame, radius: int, similarity: f
 def groups(docs: DataFrame, words: int = 5, similarity: float = SIMILAR, part: int = PART) -> DataFrame:
     """(doc_id, row, group) of every row: groups of near copies, where row hashes doc_id and text.
 
-    Trees find candidates: wide fingerprints that differ in no more bits than sets of the similarity do, but for three
-    standard deviations. Links are candidates whose sets of shingles have the similarity. A tree names only some of a
+    Trees find candidates: wide fingerprints that differ in no more bits than sets of the similarity do, but for five
+    standard deviations. Sets below SMALL are candidates wherever they share a band. Links are candidates whose sets of shingles have the similarity. A tree names only some of a
     large group's candidates; what its links leave apart is checked pair by pair (joining_edges()). Documents of
     equal sets are one; those without words are copies of each other.
     """
     radius = widest(similarity)
-    radius += round(3 * (radius * (1 - radius / (WIDE * BITS))) ** 0.5)
+    radius += round(5 * (radius * (1 - radius / (WIDE * BITS))) ** 0.5)
 
     def run(batches):
         for b in slices(batches, 300):
@@ -388,9 +392,12 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = SIMILAR, part: i
     own = written(own.mapInArrow(run, "doc_id bigint, row bigint, id bigint, n int, print binary, bands array<bigint>"), "prints")
     one = written(own.groupBy("id").agg(F.first("n").alias("n"), F.first("print").alias("print"), F.first("bands").alias("bands")), "sets")
     dealt = one.select(F.posexplode("bands").alias("band", "hash"), "id", "print", "n").select(F.xxhash64("band", "hash").alias("shard"), "id", "print", "n")
-    candidates = written(shard_edges(dealt.drop("n"), radius, part, actual=True), "candidates")
-    # an id without a candidate has no partner within the radius at all
-    ids = written(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    large = shard_edges(dealt.filter(F.col("n") >= SMALL).drop("n"), radius, part, actual=True)
+    small = shard_edges(dealt.filter(F.col("n") < SMALL).drop("n"), WIDE * BITS, part, actual=True)
+    candidates = written(large.unionByName(small), "candidates")
+    # a larger set without a candidate has no partner within the radius at all; one that a small set can reach has still
+    near_small = one.filter(F.col("n") * similarity - 1e-9 < SMALL).select("id")
+    ids = written(candidates.select(F.explode(F.array("a", "b")).alias("id")).unionByName(near_small).distinct(), "ids")
     found = sets_of(docs, ids, words)
     sure = written(verified(candidates, found, similarity), "links")
     root_of = components(sure)

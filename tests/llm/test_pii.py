@@ -65,3 +65,15 @@ def test_edges_and_redaction(spark, docs_of):
     assert sorted(r.text or "" for r in clean)[-2:] == sorted(["mail [EMAIL] now", "x " * 50000 + "[IP]"])[-2:]
     assert next(r.text for r in clean if r.doc_id == 1) is None
     assert pii.report(docs_of([])).count() == 0
+
+
+def test_discovered_identifiers_discover_others(spark, docs_of):
+    # the client numbers are learnt beside phones, and recur after words that no fixed form follows
+    rows = [(i, f"word{i} please call client number +1 ({200 + i}) 555-{1000 + i} soon") for i in range(80)]
+    rows += [(100 + i, f"more words please call client number 77-1{i:02}45-99 today") for i in range(12)]
+    rows += [(200 + i, f"shown at the desk passport no. 77-1{i:02}45-99 then") for i in range(12)]
+    rows += [(300, "shown at the desk passport no. 88-54321-00 then"), (301, "the order of 2024-01-05 was fine")]
+    got = {r.doc_id: r.spans for r in pii.report(docs_of(rows)).collect()}
+    at = dict(rows)[300].index("88-")
+    assert got[300] == f"context:{at}:{at + 11}" and got[301] == ""
+    assert all(got[i].startswith("context:") for i in [*range(100, 112), *range(200, 212)])

@@ -3,7 +3,8 @@
 Matches of the fixed forms are seeds. The words around them are lexical patterns; every identifier-like
 token of the corpus (the seeds among them) is an instance. A pattern scores by the confidence of its instances, an
 instance by its best pattern, in a few rounds over the graph of both. Patterns with a high score
-then mark the other instances they stand beside, unseen by any fixed form.
+then mark the other instances they stand beside, unseen by any fixed form; these are seeds of the next step, until
+a step finds no more.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = "\"'`()[]{}<>.,;:!?*#$%&|=+-"  # taken off the ends of a token
 REACH = 64  # characters on each side in which the words of a context lie
 # learning
-ROUNDS = 3
+ROUNDS = 3  # of a step
 PRIOR = 1.0  # instances without confidence that every pattern starts with
-SUPPORT = 5  # distinct seeds that a pattern needs
+SUPPORT = 5  # distinct seeds, or instances discovered in an earlier step, that a pattern needs
 CONFIDENT = 0.8
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -129,20 +130,29 @@ def learn(scanned: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT
     """(pattern, score) of the patterns that are confident in the end.
 
     Score of a pattern: the summed confidence of its distinct instances over their number plus PRIOR. Confidence of
-    an instance: 1 for a seed, else the score of its best pattern that has the support of enough seeds.
+    an instance: 1 for a seed, else the score of its best pattern that has the support of enough sure instances. Sure are
+    the seeds, and from step to step the instances that have become confident. All others start each step
+    without confidence, so that a pattern can't raise its own score in ever more rounds.
     """
     each = scanned.select(F.explode("_found").alias("f")).select("f.instance", F.explode("f.patterns").alias("pattern"), F.col("f.kind").isNotNull().cast("int").alias("seed"))
     edges = written(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    known = written(edges.groupBy("instance").agg(F.max("seed").cast("double").alias("confidence")), "instances")
-    for _ in range(rounds):
-        scores = edges.join(known, "instance").groupBy("pattern").agg(
-            F.sum("seed").alias("seeds"), (F.sum("confidence") / (F.count(F.lit(1)) + PRIOR)).alias("score")
-        )
-        scores = written(scores.filter(F.col("seeds") >= support), "patterns")
-        best = edges.join(scores, "pattern").groupBy("instance").agg(F.greatest(F.max("seed"), F.max("score")).alias("confidence"))
-        rest = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("confidence"))
-        known = written(best.unionByName(rest).groupBy("instance").agg(F.max("confidence").alias("confidence")), "instances")
-    return scores.filter(F.col("score") >= confident).select("pattern", "score")
+    known = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("sure")).withColumn("confidence", F.col("sure"))
+    known, before = written(known, "instances"), None
+    while True:
+        n = known.filter("sure > 0").count()
+        if n == before:
+            return scores.filter(F.col("score") >= confident).select("pattern", "score")
+        before = n
+        for _ in range(rounds):
+            scores = edges.drop("seed").join(known, "instance").groupBy("pattern").agg(
+                F.count_if(F.col("sure") > 0).alias("support"), (F.sum("confidence") / (F.count(F.lit(1)) + PRIOR)).alias("score")
+            )
+            scores = written(scores.filter(F.col("support") >= support), "patterns")
+            best = edges.join(scores, "pattern").groupBy("instance").agg(F.max("score").alias("confidence"), F.lit(0.0).alias("sure"))
+            both = best.unionByName(known.select("instance", F.col("sure").alias("confidence"), "sure"))
+            known = written(both.groupBy("instance").agg(F.max("sure").alias("sure"), F.max("confidence").alias("confidence")), "instances")
+        kept = F.when(F.col("confidence") >= confident, F.col("confidence")).otherwise(0.0)
+        known = known.select("instance", kept.alias("sure"), kept.alias("confidence"))
 
 
 def _ordered(spans: Column) -> Column:

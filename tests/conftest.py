@@ -1,4 +1,3 @@
-import datetime as dt
 import sys
 from pathlib import Path
 
@@ -6,6 +5,8 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from calendar_helpers import month  # noqa: E402
+
 from tideloom.session import local_session  # noqa: E402
 
 
@@ -14,15 +15,6 @@ def spark():
     return local_session(4, app="tests", memory="4g")
 
 
-def day(text: str) -> dt.date:
-    return dt.date.fromisoformat(text)
-
-
-def month(i: int) -> dt.date:
-    """First day of the i-th month counted from January 2000."""
-    return dt.date(2000 + i // 12, i % 12 + 1, 1)
-
-
 @pytest.fixture(scope="session")
 def panel_of(spark):
     def make(series: dict[str, list], start: int = 0, value: str = "y"):

@@ -2,7 +2,7 @@ import datetime as dt
 import statistics
 
 import pytest
-from conftest import month
+from calendar_helpers import month
 
 from tideloom.operators import accuracy
 

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import day, month
+from calendar_helpers import day, month
 from pyspark.sql import functions as F
 
 from tideloom.functions import calendar as cal

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import day, month
+from calendar_helpers import day, month
 from pyspark.sql import functions as F
 
 from tideloom.operators import features, growth, panel

@@ -2,7 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
-from conftest import month
+from calendar_helpers import month
 from pyspark.sql import functions as F
 
 from tideloom.models import additive, arima, registry, regression, smoothing

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import month
+from calendar_helpers import month
 from pyspark.sql import functions as F
 
 from tideloom.operators import selection, skew

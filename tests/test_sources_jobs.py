@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import day, month
+from calendar_helpers import day, month
 
 from tideloom.plans import jobs
 from tideloom.sources import config, io, roles

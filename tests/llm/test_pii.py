@@ -77,3 +77,49 @@ def test_discovered_identifiers_discover_others(spark, docs_of):
     at = dict(rows)[300].index("88-")
     assert got[300] == f"context:{at}:{at + 11}" and got[301] == ""
     assert all(got[i].startswith("context:") for i in [*range(100, 112), *range(200, 212)])
+
+
+def test_planted_identifiers_by_recall_and_precision(spark, docs_of):
+    rng = random.Random(9)
+    words = ["the", "quick", "report", "on", "many", "things", "came", "late", "today"]
+    noise = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    code = lambda: f"{rng.choice('ABCDEF')}{rng.randrange(10**6, 10**7)}-{rng.choice('XYZ')}"
+    rows, planted = [], {}
+    for i in range(200):
+        phone, mail, secret = f"+1 ({200 + i}) 555-{1000 + i}", f"user{i}@mail{i % 7}.example.com", f"{rng.getrandbits(160):040x}"
+        own = code()
+        # a key that also holds addresses; a phrase that also holds phones; and a phrase met only beside what these two discover
+        lines = f'contact = "{mail}"', f'contact = "{secret}"', f"client number {phone}", f"client number {own}", f"client number {own} for passport no. {own}", f"passport no. {code()}"
+        line = rng.choices(lines, (3, 1, 5, 1, 2, 1))[0]
+        rows.append((i, f"{noise(6)} {line} {noise(4)} in 2024-{rng.randrange(10, 99)}-{rng.randrange(10, 99)} {noise(3)} {'version 999.1.1.' + str(i) if i % 5 == 0 else ''}"))
+        found = {m for m in (secret, own) if m in line} | set(re.findall(r"passport no\. (\S+)", line))
+        planted[i] = {(m.start(), m.end()) for f in found for m in re.finditer(re.escape(f), rows[-1][1])}
+    got = {}
+    for r in pii.report(docs_of(rows)).collect():
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        got[r.doc_id] = {(int(s), int(e)) for kind, s, e in spans if kind == "context"}
+    right = sum(len(got[i] & planted[i]) for i in planted)
+    assert right / sum(map(len, planted.values())) > 0.95 and right / sum(map(len, got.values())) > 0.95
+
+
+def test_contexts_are_whole_words():
+    text = "x" * 500 + "word " + " " * 300 + "= -- next: <<1234567>> ... " + "y" * 400 + " z"
+    at = text.index("1234567")
+    assert pii.contexts(text, at, at + 7) == ["x" * 500 + "word next _", "next _ " + "y" * 400, "next = _"]
+    assert pii.contexts("1234567", 0, 7) == []
+
+
+def test_refused_forms_are_never_discovered(spark, docs_of):
+    rows = [(i, f"pay by card 4111 1111 1111 1111 or account 4111-1111-1111-{1112 + i}") for i in range(3)]
+    rows += [(10 + i, f"the account 00-{i}234-56-{i} and account a{i}@b.cd") for i in range(9)]
+    got = {r.doc_id: r.spans for r in pii.report(docs_of(rows)).collect()}
+    assert all(got[i] == "card:12:31" for i in range(3))
+
+
+def test_redaction_keeps_columns_of_any_name(spark, docs_of):
+    names = ["_base", "_row", "_found", "_spans", "_more", "_id", "_key"]
+    docs = docs_of([(1, "mail a@b.cd now"), (2, None)]).withColumns({n: F.lit(n) for n in names})
+    got = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert pii.redact(docs).columns == docs.columns
+    assert got[1].text == "mail [EMAIL] now" and got[2].text is None
+    assert all(r[n] == n for r in got.values() for n in names)

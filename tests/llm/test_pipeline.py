@@ -4,9 +4,10 @@ import re
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tideloom.llm import pii, quality
+from tideloom.llm import pii, quality, simhash
 from tideloom.llm.queries import PIECES
 
 DIR = "/root/testdata/sf0.001"
@@ -40,16 +41,15 @@ def test_quality(spark, stages):
 
 def test_near_copies(stages):
     rows, _ = stages
-    words = {r.doc_id: r.text.lower().split() for r in rows[1]}
-    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in words.items()}
-    up = {i: i for i in sets}
+    prints = {r.doc_id: simhash.fingerprint(r.text or "", 4, 42) for r in rows[1]}
+    up = {i: i for i in prints}
 
     def root(i):
         return i if up[i] == i else root(up[i])
 
-    for i in sets:
-        for j in sets:
-            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+    for i in prints:
+        for j in prints:
+            if i < j and ((prints[i] ^ prints[j]) % 2**64).bit_count() <= 4:
                 a, b = sorted((root(i), root(j)))
                 up[b] = a
     assert {r.doc_id for r in rows[2]} == {i for i in up if up[i] == i}
@@ -78,3 +78,27 @@ def test_personal_data_and_tokens(stages):
 def test_run_gives_the_same(spark, stages):
     rows, _ = stages
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, DIR).collect()) == sorted(r.doc_id for r in rows[5])
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_take_any_rows(spark, at):
+    """Nulls, empty and very long texts, repeated rows, no rows at all, and columns named like those that stages use within."""
+    name, stage = corpus_pipeline.STAGES[at]
+    rows = [(1, None), (2, ""), (3, "plain words here"), (3, "plain words here"), (None, "mail a@b.cd now"), (None, None), (4, "long words " * 40000)]
+    clash = ("_score", "_base", "_row", "_found", "_spans", "_more", "_id", "_key", "_print", "stats", "row", "first", "seeds", "uid", "start", "ids_", "aside_0")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    docs = docs.withColumns({c: F.lit(7.0) for c in clash})
+    out = stage(spark, docs, DIR)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    got = out.collect()
+    assert all(r[c] == 7.0 for r in got for c in clash)
+    texts = [(r.doc_id, r.text) for r in got]
+    if name in ("benchmark_decontamination", "sentencepiece"):
+        assert sorted(texts, key=str) == sorted(rows, key=str)
+    elif name == "pii":
+        assert sorted(texts, key=str) == sorted([(i, t.replace("a@b.cd", "[EMAIL]") if t else t) for i, t in rows], key=str)
+    elif name == "simhash_near_dedup":
+        assert sorted(i or 0 for i, _ in texts) == [0, 1, 3, 4]
+    else:
+        assert set(texts) <= set(rows)
+    assert stage(spark, docs.limit(0), DIR).count() == 0

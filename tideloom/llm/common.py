@@ -46,6 +46,21 @@ def drop_written(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns ``needed`` first, all others under names that nothing else uses; and the name of each now.
+
+    So an operator may add columns of its own beside them, whatever the user's columns are called.
+    """
+    now = {c: c if c in needed else f"aside_{i}" for i, c in enumerate(docs.columns)}
+    order = [*needed, *[c for c in docs.columns if c not in needed]]
+    return docs.select(*[docs[f"`{c}`"].alias(now[c]) for c in order]), now
+
+
+def put_back(docs: DataFrame, now: dict[str, str], *more: str) -> DataFrame:
+    """The columns that set_aside() renamed under their own names and in their own order, then those named in ``more``."""
+    return docs.select(*[docs[n].alias(c) for c, n in now.items()], *more)
+
+
 def once_per_worker(name: str, make: Callable):
     """What ``make`` returns, made once per Python worker and kept for its later tasks."""
     kept = sys.modules.setdefault("_tideloom_worker", types.ModuleType("_tideloom_worker")).__dict__

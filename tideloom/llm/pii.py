@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, written
+from .common import put_back, set_aside, slices, texts, written
 
 KINDS = ("email", "ip", "card", "phone")  # fixed order of ties
 LEARNT = "context"  # the kind of a discovered span; ordered after the others
@@ -28,7 +28,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = "\"'`()[]{}<>.,;:!?*#$%&|=+-"  # taken off the ends of a token
-REACH = 64  # characters on each side in which the words of a context lie
+REACH = 64  # characters on each side that are looked at first; more, until the words of a context are whole
+REFUSED = "refused"  # the kind of an instance that has a fixed form but fails its check
 # learning
 ROUNDS = 3  # of a step
 PRIOR = 1.0  # instances without confidence that every pattern starts with
@@ -59,41 +60,96 @@ def emails(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the fixed forms, by start and then kind; code points, end exclusive."""
-    found = emails(text) if "@" in text else []
+def forms(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
+    """(kind, start, end) of the fixed forms, by start and then kind, and (start, end) of those that their check refused.
+
+    Code points, end exclusive. A run of digits of another length than a card's is no card, so it isn't refused.
+    """
+    found, refused = emails(text) if "@" in text else [], []
     if DIGIT.search(text):
         for m in IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split(".")):
                 found.append(("ip", *m.span()))
+            else:
+                refused.append(m.span())
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
-            if 14 <= len(digits) <= 19 and luhn(digits):
-                found.append(("card", *m.span()))
+            if 14 <= len(digits) <= 19:
+                if luhn(digits):
+                    found.append(("card", *m.span()))
+                else:
+                    refused.append(m.span())
         for m in PHONE.finditer(text):
             if 10 <= sum(map(str.isdigit, m[0])) <= 15:
                 found.append(("phone", *m.span()))
+            else:
+                refused.append(m.span())
         found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-    return found
+    return found, sorted(refused)
 
 
-def _words(text: str) -> list[str]:
-    return [DIGIT.sub("0", w.strip(EDGE).lower()) or w[:1] for w in text.split()]
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the fixed forms, by start and then kind; code points, end exclusive."""
+    return forms(text)[0]
+
+
+def _plain(words: list[str]) -> list[str]:
+    """Words without punctuation at their ends, digits as 0; what is only punctuation is no word."""
+    return [DIGIT.sub("0", x) for w in words if (x := w.strip(EDGE).lower())]
+
+
+def _before(text: str, start: int, n: int) -> list[str]:
+    """The last ``n`` words before a place, fewer at the start of the text; none is cut."""
+    reach = REACH
+    while True:
+        at = max(0, start - reach)
+        own = text[at:start].split()
+        if at and own and not text[at].isspace():
+            own = own[1:]  # it may have begun before
+        words = _plain(own)
+        if len(words) >= n or not at:
+            return words[-n:]
+        reach *= 4
+
+
+def _after(text: str, end: int) -> list[str]:
+    """The first word after a place, whole."""
+    reach = REACH
+    while True:
+        own = text[end : end + reach].split()
+        if end + reach < len(text) and own and not text[end + reach - 1].isspace():
+            own = own[:-1]
+        words = _plain(own)
+        if words or end + reach >= len(text):
+            return words[:1]
+        reach *= 4
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of a span: the two words before it; the word before with the word after it."""
-    left = _words(text[max(0, start - REACH) : start])[-2:]
-    right = _words(text[end : end + REACH])[:1]
-    return [*([f"{left[0]} {left[1]} _"] if len(left) == 2 else []), *([f"{left[-1]} _ {right[0]}"] if left and right else [])]
+    """The lexical patterns of a span: two and three words before it, the words on both sides, and the key of an assignment.
+
+    Words have letters or digits; punctuation between them is left out, but for = and : right before the span, which make
+    the word before them a key: ``key = _``.
+    """
+    left, right = _before(text, start, 3), _after(text, end)
+    out = [f"{' '.join(left[-n:])} _" for n in (2, 3) if len(left) >= n]
+    if left and right:
+        out.append(f"{left[-1]} _ {right[0]}")
+    sign = text[max(0, start - 8) : start].rstrip(" \"'`([{<")[-1:]
+    if left and sign and sign in "=:":
+        out.append(f"{left[-1]} = _")
+    return out
 
 
-def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple]:
-    """Identifier-like strings: the seeds, and other tokens of six or more characters with four or more digits."""
+def instances(text: str, base: list[tuple[str, int, int]], refused: list[tuple[int, int]] = ()) -> list[tuple]:
+    """Identifier-like strings: the seeds, and other tokens of six or more characters with four or more digits.
+
+    A token that a fixed form has refused is of the kind REFUSED: it speaks against its patterns and is never discovered.
+    """
     out = [(s, e, text[s:e].lower(), kind, contexts(text, s, e)) for kind, s, e in base]
     if not DIGIT.search(text):
         return out
-    taken, at = sorted((s, e) for _, s, e in base), 0
+    taken, at, bad = sorted((s, e) for _, s, e in base), 0, 0
     for m in TOKEN.finditer(text):
         token = m[0]
         if len(token) < 6 or sum("0" <= c <= "9" for c in token) < 4:
@@ -102,14 +158,19 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple]:
         end = m.end() - len(token) + len(token.rstrip(EDGE))
         while at < len(taken) and taken[at][1] <= m.start():
             at += 1
+        while bad < len(refused) and refused[bad][1] <= m.start():
+            bad += 1
         if end - start >= 6 and not any(s < m.end() for s, _ in taken[at : at + 1]):
-            out.append((start, end, text[start:end].lower(), None, contexts(text, start, end)))
+            kind = REFUSED if any(s < m.end() for s, _ in refused[bad : bad + 1]) else None
+            out.append((start, end, text[start:end].lower(), kind, contexts(text, start, end)))
     return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base spans of each whole text in _base and its instances in _found."""
-    docs = docs.drop("_base", "_found")
+    """``docs`` with the base spans of each whole text in _base and its instances in _found.
+
+    Other columns mustn't have these names: see common.set_aside().
+    """
     schema = docs.withColumns({"_base": F.lit(None).cast(SPANS), "_found": F.lit(None).cast(INSTANCES)}).schema
     base_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("kind", pa.string()), ("patterns", pa.list_(pa.string()))]))
@@ -117,8 +178,9 @@ def scan(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in slices(batches, 500):
             own = texts(b.column("text"))
-            base = [base_spans(t) for t in own]
-            found = [instances(t, s) for t, s in zip(own, base, strict=True)]
+            both = [forms(t) for t in own]
+            base = [s for s, _ in both]
+            found = [instances(t, *x) for t, x in zip(own, both, strict=True)]
             named = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in base]
             seen = [[dict(zip(("start", "end", "instance", "kind", "patterns"), s, strict=True)) for s in x] for x in found]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(named, base_type), pa.array(seen, found_type)], [*b.schema.names, "_base", "_found"])
@@ -132,10 +194,10 @@ def learn(scanned: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT
     Score of a pattern: the summed confidence of its distinct instances over their number plus PRIOR. Confidence of
     an instance: 1 for a seed, else the score of its best pattern that has the support of enough sure instances. Sure are
     the seeds, and from step to step the instances that have become confident. All others start each step
-    without confidence, so that a pattern can't raise its own score in ever more rounds.
+    without confidence, so that a pattern can't raise its own score in ever more rounds. Refused instances never gain any.
     """
-    each = scanned.select(F.explode("_found").alias("f")).select("f.instance", F.explode("f.patterns").alias("pattern"), F.col("f.kind").isNotNull().cast("int").alias("seed"))
-    edges = written(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
+    each = scanned.select(F.explode("_found").alias("f")).select("f.instance", F.explode("f.patterns").alias("pattern"), F.coalesce(F.col("f.kind").isin(*KINDS), F.lit(False)).cast("int").alias("seed"), F.coalesce(F.col("f.kind") == REFUSED, F.lit(False)).alias("refused"))
+    edges = written(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("refused").alias("refused")), "edges")
     known = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("sure")).withColumn("confidence", F.col("sure"))
     known, before = written(known, "instances"), None
     while True:
@@ -144,11 +206,11 @@ def learn(scanned: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT
             return scores.filter(F.col("score") >= confident).select("pattern", "score")
         before = n
         for _ in range(rounds):
-            scores = edges.drop("seed").join(known, "instance").groupBy("pattern").agg(
+            scores = edges.select("pattern", "instance").join(known, "instance").groupBy("pattern").agg(
                 F.count_if(F.col("sure") > 0).alias("support"), (F.sum("confidence") / (F.count(F.lit(1)) + PRIOR)).alias("score")
             )
             scores = written(scores.filter(F.col("support") >= support), "patterns")
-            best = edges.join(scores, "pattern").groupBy("instance").agg(F.max("score").alias("confidence"), F.lit(0.0).alias("sure"))
+            best = edges.filter("not refused").join(scores, "pattern").groupBy("instance").agg(F.max("score").alias("confidence"), F.lit(0.0).alias("sure"))
             both = best.unionByName(known.select("instance", F.col("sure").alias("confidence"), "sure"))
             known = written(both.groupBy("instance").agg(F.max("sure").alias("sure"), F.max("confidence").alias("confidence")), "instances")
         kept = F.when(F.col("confidence") >= confident, F.col("confidence")).otherwise(0.0)
@@ -165,6 +227,8 @@ def _ordered(spans: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """``docs`` with the base spans in _base and all spans, discovered ones included, in _spans.
 
+    Columns of other names than doc_id and text come through common.set_aside().
+
     Null texts count as empty. Rows are told apart by doc_id and a hash of the text, so repeated rows
     get the same spans. Only rows with an identifier that no fixed form has found go through a join.
     """
@@ -189,7 +253,8 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its texts replaced by its kind in brackets; n_chars follows the text.
 
-    Overlapping spans become one, named after the first. A null text stays null.
+    Overlapping spans become one, named after the first. A null text stays null. All other columns pass unchanged,
+    whatever their names; repeated rows stay.
     """
 
     def run(batches):
@@ -204,9 +269,10 @@ def redact(docs: DataFrame) -> DataFrame:
                 new.append(text if text is None else "".join([*parts, text[done:]]))
             yield b.set_column(b.schema.names.index("text"), "text", pa.array(new, pa.string())).select(names)
 
-    found, names = find(docs).drop("_base"), docs.columns
-    out = found.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
+    own, now = set_aside(docs, "doc_id", "text")
+    names = own.columns
+    out = put_back(find(own).drop("_base").mapInArrow(run, own.schema), now)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def report(docs: DataFrame) -> DataFrame:

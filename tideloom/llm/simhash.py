@@ -16,13 +16,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fixed_filter, passes, slices, texts, written
+from .common import slices, texts, written
 from .components import components
-from .substrings import mixed, rolled
 
 BITS = 64
 PART = 8192  # fingerprints of a shard that one tree holds; larger shards become several trees
-CLOSEST = 2  # links of a fingerprint that are reported besides those that join components
 BLOCK = 1 << 14  # shingles whose bits are counted at once
 
 
@@ -74,7 +72,6 @@ class Tree:
 
     def __init__(self, radius: int):
         self.radius, self.nodes, self.children, self.parent = radius, [], [], []
-        self.near: list[tuple[int, int]] = []
 
     def root(self, i: int) -> int:
         up = self.parent
@@ -105,7 +102,7 @@ class Tree:
 
     def link(self, x: int, i: int) -> None:
         """Connect entry i, whose fingerprint is x, with every component that has one within the radius."""
-        r, stack, hits = self.radius, [0], []
+        r, stack = self.radius, [0]
         while stack:
             at = stack.pop()
             if at == i:
@@ -113,28 +110,23 @@ class Tree:
             else:
                 d = (x ^ self.nodes[at]).bit_count()
                 if d <= r:
-                    hits.append((d, self.root(at) != self.root(i), at))
                     self.union(at, i)
             near = d <= r
             for edge, child in self.children[at].items():
                 if d - r <= edge <= d + r and not (near and edge <= r and self.root(child) == self.root(i)):
                     stack.append(child)
-        self.near += [(i, at) for n, (_, joins, at) in enumerate(sorted(hits)) if joins or n < CLOSEST]
 
     def pairs(self) -> list[tuple[int, int]]:
         """Each entry with the first of its component, both by number."""
         return [(i, j) for i in range(len(self.nodes)) if (j := self.root(i)) != i]
 
 
-def tree_edges(ids: list[int], prints: list[int], radius: int, actual: bool = False) -> list[tuple[int, int]]:
-    """Edges between the ids of a shard that connect them exactly as all links of their fingerprints do.
-
-    ``actual``: edges that are links themselves, the closest ones found among them; else a star for each component.
-    """
+def tree_edges(prints: list[int], radius: int) -> list[tuple[int, int]]:
+    """A star for each component of the signed fingerprints of a shard: they are connected exactly as by all their links."""
     tree = Tree(radius)
     for x in prints:
-        tree.add(x)
-    return [(ids[i], ids[j]) for i, j in (tree.near if actual else tree.pairs())]
+        tree.add(x % (1 << BITS))
+    return [(prints[i], prints[j]) for i, j in tree.pairs()]
 
 
 def in_trees(dealt: DataFrame, part: int) -> DataFrame:
@@ -143,52 +135,45 @@ def in_trees(dealt: DataFrame, part: int) -> DataFrame:
     many = written(many.select("shard", F.ceil(F.col("rows") / part).cast("int").alias("parts")), "shards")
     names = [c for c in dealt.columns if c != "shard"]
     dealt = dealt.join(many, "shard", "left") if many.take(1) else dealt.withColumn("parts", F.lit(None).cast("int"))
-    own = F.pmod(F.hash("id"), F.col("parts"))
+    own = F.pmod(F.hash("print"), F.col("parts"))
     # cell i, j (i <= j) holds parts i and j; parts meet in exactly one cell, a part itself in all of its own
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.xxhash64("shard", F.least(o, own), F.greatest(o, own)))
     return dealt.select(*names, F.explode(F.coalesce(cells, F.array("shard"))).alias("tree"))
 
 
-def shard_edges(dealt: DataFrame, radius: int, part: int = PART, actual: bool = False) -> DataFrame:
-    """Edges (a, b) of all shards in ``dealt`` (shard, id, print), as tree_edges() gives them.
+def shard_edges(dealt: DataFrame, radius: int, part: int = PART) -> DataFrame:
+    """Edges (a, b) of all shards in ``dealt`` (shard, print), as tree_edges() gives them.
 
-    print is a bigint or bytes of any length. Every shard has an order of its own, so that a group that lies in several
-    has several roots.
-
-    A shard above ``part`` fingerprints is dealt into parts; each pair of parts makes one tree, so that
-    no task holds more than two parts and every link is still seen.
+    Every shard has an order of its own, so that a group that lies in several has several roots. A shard above ``part``
+    fingerprints is dealt into parts; each pair of parts makes one tree, so that no task holds more than two parts
+    and every link is still seen. Trees are built where the rows of their shard meet and live in one task.
     """
     dealt = in_trees(dealt, part)
 
     def run(batches):
-        tree, ids, prints, found = None, [], [], []
+        tree, prints, found = None, [], []
         for b in batches:
             trees = b.column("tree").to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], trees[1:] != trees[:-1]))) if len(trees) else np.zeros(0, int)
-            own_ids, own_prints = b.column("id").to_pylist(), b.column("print").to_pylist()
+            own = b.column("print").to_pylist()
             for s, e in zip(starts, [*starts[1:], len(trees)], strict=True):
                 if trees[s] != tree:
-                    if len(ids) > 1:
-                        found += tree_edges(ids, prints, radius, actual)
-                    tree, ids, prints = trees[s], [], []
-                ids += own_ids[s:e]
-                prints += map(_number, own_prints[s:e])
+                    if len(prints) > 1:
+                        found += tree_edges(prints, radius)
+                    tree, prints = trees[s], []
+                prints += own[s:e]
             yield _edge_batch(found)
             found = []
-        if len(ids) > 1:
-            yield _edge_batch(tree_edges(ids, prints, radius, actual))
-
-    return dealt.repartition("tree").sortWithinPartitions("tree", F.xxhash64("tree", "id")).mapInArrow(run, "a bigint, b bigint").distinct()
+        if len(prints) > 1:
+            yield _edge_batch(tree_edges(prints, radius))
 
-
-def _number(own: int | bytes) -> int:
-    return int.from_bytes(own, "little") if isinstance(own, bytes) else own % (1 << BITS)
+    return dealt.repartition("tree").sortWithinPartitions("tree", F.xxhash64("tree", "print")).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def links(prints: DataFrame, radius: int = 4, blocks: int = 6, part: int = PART) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints in ``prints`` exactly as all their links do."""
     shard = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("_print").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(radius, blocks))]))
-    return shard_edges(prints.select(shard.alias("shard"), F.col("_print").alias("id"), F.col("_print").alias("print")), radius, part)
+    return shard_edges(prints.select(shard.alias("shard"), F.col("_print").alias("print")), radius, part)
 
 
 def _edge_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -215,208 +200,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, blocks: in
     )
 
 
-# near copies of documents: the similarity of their sets of five-word shingles, from a wide fingerprint
-
-WIDE = 8  # 64-bit words of a wide fingerprint
-SIMILAR = 0.8
-SMALL = 64  # shingles from which the bits of a set follow the law of large sets; smaller ones have no radius
-OPEN = 1024  # sets of a shard that one task compares; larger shards are split as for trees
-BANDS, ROWS = 20, 4  # of minima of hashes: sets at the similarity share no band once in 38,000 times
-MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, BANDS * ROWS + WIDE, dtype=np.uint64) | np.uint64(1)
-
-
-def widest(similarity: float, bits: int = WIDE * BITS) -> int:
-    """Bits in which sets of this Jaccard similarity differ on average: the angle of their vectors over pi."""
-    return round(bits * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
-
-
-def shingle_hashes(text: str, words: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles; a shorter text is one shingle, a text without words none."""
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    return np.unique(rolled(h, min(words, len(found))))
-
-
-def wide_print(shingles: np.ndarray) -> bytes:
-    counts, n = np.zeros(WIDE * BITS, np.int64), len(shingles)
-    for at in range(0, n, BLOCK // WIDE):
-        h = mixed(shingles[at : at + BLOCK // WIDE, None] * MULTIPLIERS[None, -WIDE:])
-        counts += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > n, bitorder="little").tobytes()
-
-
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """A hash of each band of minima."""
-    low = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(shingles), 1024):
-        low = np.minimum(low, mixed(shingles[at : at + 1024, None] * MULTIPLIERS[None, :-WIDE]).min(axis=0))
-    return mixed((low * MULTIPLIERS[:-WIDE]).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64))
-
+def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int = 6, seed: int = 42) -> DataFrame:
+    """``docs`` with one document of each component that near_duplicates() finds: that with the smallest doc_id.
 
-def _in_both(a: pa.Array, b: pa.Array) -> list[int]:
-    return [len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) for x, y in zip(a, b, strict=True)]
-
-
-def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, own): the sets of shingles with these ids, found from the whole texts.
-
-    Only texts whose id may be among them, by a filter of fixed size, give out their sets.
-    """
-    bits = fixed_filter(ids, "id")
-
-    def sets(batches):
-        for b in slices(batches, 300):
-            own = [shingle_hashes(t, words) for t in texts(b.column("text"))]
-            number = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in own], np.uint64)
-            wanted = np.flatnonzero(passes(bits, number))
-            lists = pa.array([own[i].view(np.int64).tolist() for i in wanted], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(number[wanted].view(np.int64)), lists], ["id", "own"])
-
-    found = docs.select("text").mapInArrow(sets, "id bigint, own array<bigint>").groupBy("id").agg(F.first("own").alias("own"))
-    return written(found.join(ids, "id", "left_semi"), "sets")
-
-
-def verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of shingles in ``found`` have the similarity."""
-
-    def compare(batches):
-        for b in slices(batches, 200):
-            a, c = b.column("own_a"), b.column("own_b")
-            both = np.array(_in_both(a, c), np.int64)
-            each = np.array([len(x) + len(y) for x, y in zip(a, c, strict=True)], np.int64)
-            yield b.filter(pa.array(both >= similarity * (each - both) - 1e-9)).select(["a", "b"])
-
-    first = pairs.join(found.withColumnsRenamed({"id": "a", "own": "own_a"}), "a")
-    return first.join(found.withColumnsRenamed({"id": "b", "own": "own_b"}), "b").select("a", "b", "own_a", "own_b").mapInArrow(compare, "a bigint, b bigint")
-
-
-def _trees(batches):
-    """The rows of each tree as a table; batches come in order of their trees."""
-    held, tree = [], None
-    for b in batches:
-        trees = b.column("tree").to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], trees[1:] != trees[:-1]))) if len(trees) else np.zeros(0, int)
-        for s, e in zip(starts, [*starts[1:], len(trees)], strict=True):
-            if held and trees[s] != tree:
-                yield pa.Table.from_batches(held)
-                held = []
-            tree = trees[s]
-            held.append(b.slice(s, e - s))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _apart(t: pa.Table, radius: int, similarity: float):
-    """For blocks of rows of a tree: the first row, and by row which rows of another label can be linked to it.
-
-    Sets below SMALL can be linked whatever their bits.
-    """
-    prints = np.frombuffer(b"".join(t.column("print").to_pylist()), "<u8").reshape(-1, WIDE)
-    n, label = t.column("n").to_numpy(), t.column("label").to_numpy()
-    for at in range(0, len(n), 64):
-        rows = slice(at, at + 64)
-        bits = np.zeros((len(n[rows]), len(n)), np.uint16)
-        for w in range(WIDE):
-            bits += np.bitwise_count(prints[rows, w, None] ^ prints[None, :, w])
-        low, high = np.minimum(n[rows, None], n[None]), np.maximum(n[rows, None], n[None])
-        yield at, (label[rows, None] != label[None]) & (low >= similarity * high - 1e-9) & ((bits <= radius) | (low < SMALL))
-
-
-def _joining(t: pa.Table, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Links between rows of a tree, checked by their sets, that join the labels exactly as all such links do."""
-    own, ids = t.column("own").combine_chunks(), t.column("id").to_pylist()
-    own = own if isinstance(own, pa.ListArray) else own.chunk(0)
-    values, ends = own.values.to_numpy().view(np.uint64), own.offsets.to_numpy()
-    root, found = np.unique(t.column("label").to_numpy(), return_inverse=True)[1], []
-    for at, near in _apart(t, radius, similarity):
-        for i in range(at, at + len(near)):
-            mine, todo = values[ends[i] : ends[i + 1]], np.flatnonzero(near[i - at, :i])
-            while len(todo := todo[root[todo] != root[i]]):
-                j, todo = todo[0], todo[1:]
-                other = values[ends[j] : ends[j + 1]]
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                if both >= similarity * (len(mine) + len(other) - both) - 1e-9:
-                    found.append((ids[i], ids[j]))
-                    root[root == root[i]] = root[j]
-    return found
-
-
-def joining_edges(dealt: DataFrame, found: DataFrame, radius: int, similarity: float, part: int = OPEN) -> DataFrame:
-    """The links (a, b) still missing between labels in ``dealt`` (shard, id, print, n, label).
-
-    Every pair of a shard within the radius that isn't joined by its labels or by links found before in the same tree is
-    checked by its sets, and only links that join leave the task. So rows grow with the ids, however many pairs fail.
-    Only ids with such a pair send their sets.
-    """
-    mixed_up = dealt.groupBy("shard").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("shard")
-    trees = written(in_trees(dealt.join(mixed_up, "shard", "left_semi"), part), "trees")
-
-    def ask(batches):
-        for t in _trees(batches):
-            asked = np.concatenate([near.any(axis=1) for _, near in _apart(t, radius, similarity)])
-            yield from t.select(["tree", "id", "print", "n", "label"]).filter(pa.array(asked)).to_batches()
-
-    def join(batches):
-        for t in _trees(batches):
-            yield _edge_batch(_joining(t, radius, similarity))
-
-    by_tree = lambda df: df.repartition("tree").sortWithinPartitions("tree", F.xxhash64("tree", "id"))
-    asked = written(by_tree(trees).mapInArrow(ask, "tree bigint, id bigint, print binary, n int, label bigint"), "asked")
-    return by_tree(asked.join(found, "id").select("tree", "id", "n", "print", "label", "own")).mapInArrow(join, "a bigint, b bigint").distinct()
-
-
-def groups(docs: DataFrame, words: int = 5, similarity: float = SIMILAR, part: int = PART) -> DataFrame:
-    """(doc_id, row, group) of every row: groups of near copies, where row hashes doc_id and text.
-
-    Trees find candidates: wide fingerprints that differ in no more bits than sets of the similarity do, but for five
-    standard deviations. Sets below SMALL are candidates wherever they share a band. Links are candidates whose sets of shingles have the similarity. A tree names only some of a
-    large group's candidates; what its links leave apart is checked pair by pair (joining_edges()). Documents of
-    equal sets are one; those without words are copies of each other.
+    A document without doc_id stays only in a component where none has one; of several with the smallest doc_id one of the
+    smallest hash of its text stays, and repeated rows become one. Empty texts are copies of each other.
     """
-    radius = widest(similarity)
-    radius += round(5 * (radius * (1 - radius / (WIDE * BITS))) ** 0.5)
-
-    def run(batches):
-        for b in slices(batches, 300):
-            sets = [shingle_hashes(t, words) for t in texts(b.column("text"))]
-            ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            own = [bands(s).view(np.int64).tolist() if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row"), pa.array(ids), pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_print(s) for s in sets], pa.binary()), pa.array(own, pa.list_(pa.int64()))],
-                ["doc_id", "row", "id", "n", "print", "bands"],
-            )
-
-    own = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    own = written(own.mapInArrow(run, "doc_id bigint, row bigint, id bigint, n int, print binary, bands array<bigint>"), "prints")
-    one = written(own.groupBy("id").agg(F.first("n").alias("n"), F.first("print").alias("print"), F.first("bands").alias("bands")), "sets")
-    dealt = one.select(F.posexplode("bands").alias("band", "hash"), "id", "print", "n").select(F.xxhash64("band", "hash").alias("shard"), "id", "print", "n")
-    large = shard_edges(dealt.filter(F.col("n") >= SMALL).drop("n"), radius, part, actual=True)
-    small = shard_edges(dealt.filter(F.col("n") < SMALL).drop("n"), WIDE * BITS, part, actual=True)
-    candidates = written(large.unionByName(small), "candidates")
-    # a larger set without a candidate has no partner within the radius at all; one that a small set can reach has still
-    near_small = one.filter(F.col("n") * similarity - 1e-9 < SMALL).select("id")
-    ids = written(candidates.select(F.explode(F.array("a", "b")).alias("id")).unionByName(near_small).distinct(), "ids")
-    found = sets_of(docs, ids, words)
-    sure = written(verified(candidates, found, similarity), "links")
-    root_of = components(sure)
-    label = written(ids.join(root_of, ids["id"] == root_of["node"], "left").select("id", F.coalesce("root", "id").alias("label")), "labels")
-    more = written(joining_edges(dealt.join(label, "id"), found, radius, similarity, min(part, OPEN)), "links")
-    root_of = components(sure.unionByName(more)) if more.take(1) else root_of
-    group_of = one.select("id").join(root_of, one["id"] == root_of["node"], "left").select("id", F.coalesce("root", "id").alias("group"))
-    return own.select("doc_id", "row", "id").join(written(group_of, "groups"), "id").select("doc_id", "row", "group")
-
-
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = SIMILAR, part: int = PART) -> DataFrame:
-    """``docs`` with one document of each group of near copies: that with the smallest doc_id.
-
-    A document without doc_id stays only in a group where none has one. Repeated rows become one row.
-    """
-    placed = written(groups(docs, words, similarity, part), "placed")
-    chosen = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("c"))
+    own = written(fingerprints(docs.select("doc_id", "text"), words, seed).select("doc_id", F.xxhash64("text").alias("row"), "_print"), "prints")
+    firsts = own.groupBy("_print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    firsts = written(firsts, "firsts")
+    root_of = components(links(firsts, radius, blocks))
+    placed = firsts.join(root_of, firsts["_print"] == root_of["node"], "left").select("first", F.coalesce("root", "_print").alias("root"))
+    chosen = placed.groupBy("root").agg(F.min("first").alias("c"))
     chosen = written(chosen.select(F.col("c.doc_id").alias("_id"), F.col("c.row").alias("_row")), "chosen")
-    key = F.xxhash64(docs["doc_id"], docs["text"])
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]) & (key == chosen["_row"]), "left_semi")
-    repeats = placed.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]) & (F.xxhash64(docs["text"]) == chosen["_row"]), "left_semi")
+    repeats = own.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return kept.dropDuplicates(["doc_id", "text"]) if repeats.take(1) else kept

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, written
+from .common import list_array, slices, texts, written
 
 WIDTH = 35
 GRAM = 12
@@ -58,9 +58,8 @@ def rolled(words: np.ndarray, width: int) -> np.ndarray:
     return mixed((sums[width:] - sums[:-width]) * powers(BASE, n))
 
 
-def anchors(words: np.ndarray, width: int, gram: int) -> np.ndarray:
-    """For each window the place of its anchor: the leftmost smallest gram hash within."""
-    grams = rolled(words, gram)
+def anchors(grams: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """For each window the place of its anchor: the leftmost smallest of the gram hashes within."""
     span = width - gram + 1
     n = len(grams) - span + 1
     if n < 1:
@@ -68,10 +67,6 @@ def anchors(words: np.ndarray, width: int, gram: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(n)
 
 
-def text_key(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words))
-
-
 def _signed(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint64).view(np.int64)
 
@@ -82,49 +77,41 @@ class Marks:
     def __init__(self, width: int, gram: int):
         self.width, self.gram = width, gram
 
-    def summary(self, batches):
-        """doc_id, key, n_words and the digest of the unchanged words."""
-        for b in slices(batches):
-            split = [words_of(t) for t in texts(b.column(1))]
-            whole = [b" ".join(w) for w in split]
-            keys = np.array([xxhash.xxh3_64_intdigest(x) for x in whole], np.uint64)
-            digests = [hashlib.sha256(x).digest() for x in whole]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(_signed(keys)), pa.array([len(w) for w in split], pa.int64()), pa.array(digests, pa.binary())],
-                ["doc_id", "key", "n_words", "whole"],
-            )
+    def marks(self, batches):
+        """One row of each text: doc_id, key, raw, n_words, the digest of the unchanged words, and its anchors.
 
-    def anchor_rows(self, batches):
-        """(anchor, key, at, again) of every anchor; again tells that the text has it more than once."""
+        anchor, at and again are lists of equal length; again tells that the text has the anchor more than once.
+        """
         for b in slices(batches, 300):
-            parts = []
-            for t in texts(b.column(0)):
+            keys, counts, digests, lists = [], [], [], ([], [], [])
+            for t in texts(b.column("text")):
                 words = words_of(t)
+                whole = b" ".join(words)
+                keys.append(xxhash.xxh3_64_intdigest(whole))
+                counts.append(len(words))
+                digests.append(hashlib.sha256(whole).digest())
+                own = at = np.zeros(0, np.int64)
+                again = np.zeros(0, bool)
                 if len(words) >= self.width:
                     h = hashes_of(words)
-                    at = np.unique(anchors(h, self.width, self.gram))
-                    own = rolled(h, self.gram)[at]
-                    _, back, n = np.unique(own, return_inverse=True, return_counts=True)
-                    key = np.full(len(at), text_key(words), np.uint64)
-                    parts.append((own, key, at, n[back] > 1))
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 4
+                    grams = rolled(h, self.gram)
+                    at = np.unique(anchors(grams, self.width, self.gram))
+                    _, back, n = np.unique(grams[at], return_inverse=True, return_counts=True)
+                    own, again = grams[at].view(np.int64), n[back] > 1
+                for column, part in zip(lists, (own, at.astype(np.int32), again), strict=True):
+                    column.append(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(cols[0])), pa.array(_signed(cols[1])), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(bool))],
-                ["anchor", "key", "at", "again"],
-            )
-
-    def keyed(self, batches):
-        for b in slices(batches):
-            own = texts(b.column(0))
-            keys = np.array([text_key(words_of(t)) for t in own], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(keys)), pa.array(own, pa.string())], ["key", "text"])
+                [b.column("doc_id"), pa.array(_signed(np.array(keys, np.uint64))), b.column("raw"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
+                 *[list_array(column, kind) for column, kind in zip(lists, (pa.int64(), pa.int32(), pa.bool_()), strict=True)]],
+                ["doc_id", "key", "raw", "n_words", "whole", "anchor", "at", "again"],
+            )
 
     def _ranges(self, text: str, ats, shards):
         """The words, their hashes, and (anchor hash, first and last window start, shards) of the wanted anchors."""
         words = words_of(text)
         h = hashes_of(words)
-        place = anchors(h, self.width, self.gram)
         grams = rolled(h, self.gram)
+        place = anchors(grams, self.width, self.gram)
         for at, n in zip(ats, shards, strict=True):
             lo, hi = np.searchsorted(place, at), np.searchsorted(place, at, "right")
             if hi > lo:
@@ -235,18 +222,29 @@ class Marks:
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n, pa.int64()), pa.array(kept, pa.string())], ["key", "n_removed", "kept"])
 
 
-def repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(key, n_removed, kept) of every distinct text that has repeated windows within other texts or itself."""
-    work, text = Marks(width, gram), docs.select("text").filter("text is not null")
-    every = text.mapInArrow(work.anchor_rows, "anchor bigint, key bigint, at int, again boolean")
+def marked(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """What Marks.marks() gives of every row, written once: all later steps read the few columns that they need."""
+    shape = "doc_id bigint, key bigint, raw bigint, n_words bigint, whole binary, anchor array<bigint>, at array<int>, again array<boolean>"
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("raw"))
+    return written(own.mapInArrow(Marks(width, gram).marks, shape), "marks")
+
+
+def repeated(docs: DataFrame, marks: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """(key, n_removed, kept) of every distinct text that has repeated windows within other texts or itself.
+
+    ``marks`` is marked() of the same rows.
+    """
+    work = Marks(width, gram)
+    every = marks.select("key", F.explode(F.arrays_zip("anchor", "at", "again")).alias("x")).select("key", "x.*")
     counted = every.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("again").alias("again"), F.count(F.lit(1)).alias("n"))
     shards = F.ceil(F.col("n") / hot).cast("int").alias("shards")
     counted = written(counted.filter("a != b or again").select("anchor", shards), "anchors")
     mine = every.select("anchor", "key", "at").join(counted, "anchor").groupBy("key").agg(F.collect_set(F.struct("at", "shards")).alias("own"))
     mine = mine.select("key", F.col("own.at").alias("ats"), F.col("own.shards").alias("shards"))
-    keyed = text.mapInArrow(work.keyed, "key bigint, text string")
-    # one text of each key; both sides are dealt by key, once
-    wanted = written(keyed.groupBy("key").agg(F.first("text").alias("text")).join(mine, "key"), "wanted")
+    # one text of each key, found by the hash of the raw text; texts without a wanted key stay where they are
+    chosen = marks.groupBy("key").agg(F.min("raw").alias("raw")).join(mine, "key")
+    keyed = docs.select(F.xxhash64("text").alias("raw"), "text").join(written(chosen, "chosen"), "raw")
+    wanted = written(keyed.dropDuplicates(["raw"]).select("key", "text", "ats", "shards"), "wanted")
     windows = wanted.filter(F.exists("shards", lambda n: n > 1)).mapInArrow(work.hot_windows, "anchor bigint, window bigint")
     windows = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     several = counted.filter("shards > 1").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
@@ -265,12 +263,10 @@ def digests(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HO
     Null and empty texts have no words. Texts shorter than a window stay. Rows with the same words, of whatever
     doc_id, get the same result.
     """
-    work = Marks(width, gram)
-    own = docs.select("doc_id", "text").mapInArrow(work.summary, "doc_id bigint, key bigint, n_words bigint, whole binary")
-    own = written(own, "summaries")
+    own = marked(docs, width, gram)
     copies = own.filter(F.col("n_words") >= width).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_removed"))
     copies = copies.filter("n > 1").select("key", "n_removed", F.sha2(F.lit(""), 256).alias("kept_sha256"))
-    parts = repeated(docs, width, gram, hot).select("key", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    parts = repeated(docs, own, width, gram, hot).select("key", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     # a text with copies is removed whole, which is the larger number
     best = copies.unionByName(parts).groupBy("key").agg(F.max(F.struct("n_removed", "kept_sha256")).alias("best"))
     best = written(best.select("key", "best.*"), "results")

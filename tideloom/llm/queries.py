@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, html_text, infill, pieces, pii, quality, simhash, substrings, token_counts, topk, warc
+from . import conversations, decontaminate, html_text, infill, ngram_join, pieces, pii, quality, simhash, substrings, token_counts, topk, warc
 from .common import bounded_batches
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -65,6 +65,10 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.report(table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
@@ -78,6 +82,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_conversations": op11_conversations,
     "op12_infill": op12_infill,
+    "op13_ngram_join": op13_ngram_join,
 }
 SQL: dict[str, str] = {
     "op4_substrings": r"""
@@ -204,4 +209,26 @@ SQL: dict[str, str] = {
             sha256(text) AS restored_sha256
         FROM parts
     """,
+    "op13_ngram_join": r"""
+        WITH RECURSIVE own AS (
+            SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT uid, hash(s) AS h1, md5_number_lower(s) AS h2
+            FROM (SELECT uid, unnest(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM own WHERE len(w) > 0)
+        ), sizes AS (
+            SELECT uid, count(*) AS n FROM shingles GROUP BY uid
+        ), links AS (
+            SELECT a.uid AS x, b.uid AS y
+            FROM shingles a JOIN shingles b ON a.h1 = b.h1 AND a.h2 = b.h2 AND a.uid < b.uid JOIN sizes p ON p.uid = a.uid JOIN sizes q ON q.uid = b.uid
+            GROUP BY a.uid, b.uid, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))
+        ), edges AS (
+            SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+        ), reached AS (
+            SELECT uid, uid AS other FROM own UNION SELECT r.uid, b.y FROM reached r JOIN edges b ON b.x = r.other
+        ), named AS (
+            SELECT r.uid, min(o.doc_id) AS component_id FROM reached r JOIN own o ON o.uid = r.other GROUP BY r.uid
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM own LEFT JOIN sizes USING (uid) JOIN named USING (uid)
+    """,
 }

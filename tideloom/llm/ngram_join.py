@@ -33,6 +33,7 @@ CHUNK = 1 << 20  # shingles that a map task sorts at once
 HOT = 8  # sets of a chunk from which a shingle's sets don't go to its bucket, only their number
 PART = 2048  # sets of a list that meet in one task; longer lists are dealt into parts
 ROUNDS = 2  # of random neighbours
+MOST = 1 << 20  # candidates that a task holds before it gives them out
 RANGES = 128  # of hashes, for the suffix filter
 
 
@@ -246,12 +247,16 @@ def neighbours(lists: DataFrame, percent: int, seed: int) -> DataFrame:
 def apart(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different labels that share a prefix class and pass the length, positional and suffix filters.
 
-    A list above PART sets is dealt into parts; each pair of parts is one cell, so that no task holds more than two parts.
+    A list above PART sets is dealt into parts; each pair of parts is one cell, so that no task holds more than two parts of a
+    list. ``home`` of a list is its set of the smallest hash: lists of much the same sets share it, and their cells come one after
+    the other in one task, which names a pair only once for all of them.
     """
-    own = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("rows") / PART)).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.ceil(F.col("rows") / PART).cast("int") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("low"), F.greatest(o, F.col("part")).alias("high")))
-    dealt = lists.join(found.select("set_id", "ranges"), "set_id").withColumn("part", own).withColumn("cell", F.explode(cells))
-    dealt = dealt.select(F.xxhash64("token", "cell").alias("cell"), (F.col("cell.low") == F.col("cell.high")).alias("inner"), "part", "set_id", "n", "pos", "label", "ranges")
+    parts = F.ceil(F.col("most") / PART).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("low"), F.greatest(o, F.col("part")).alias("high")))
+    homes = lists.groupBy("home").agg(F.max("rows").alias("most"))
+    dealt = lists.join(homes, "home").join(found.select("set_id", "ranges"), "set_id")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("set_id"), parts).cast("int")).withColumn("cell", F.explode(cells))
+    dealt = dealt.select(F.xxhash64("home", "cell").alias("cell"), "token", (F.col("cell.low") == F.col("cell.high")).alias("inner"), "part", "set_id", "n", "pos", "label", "ranges")
 
     def compare(held):
         t = pa.Table.from_batches(held)
@@ -273,24 +278,32 @@ def apart(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
                 apart_by = np.abs(ranges[a] - ranges[b]).sum(axis=1, dtype=np.int64)
                 near = apart_by <= n[a] + n[b] - 2 * need[a - at, b]
                 out.append(np.stack((np.minimum(ids[a], ids[b])[near], np.maximum(ids[a], ids[b])[near])))
-        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+
+    def once(pairs):
+        both = np.unique(np.concatenate(pairs, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     def run(batches):
-        held, now = [], None
+        held, now, pairs, size = [], None, [], 0
         for b in batches:
-            keys = b.column("cell").to_numpy()
-            at = _runs(keys)
+            cell, token = b.column("cell").to_numpy(), b.column("token").to_numpy()
+            at = np.union1d(_runs(cell), _runs(token))
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if held and keys[s] != now:
-                    yield compare(held)
+                key = (cell[s], token[s])
+                if held and key != now:
+                    pairs.append(compare(held))
+                    size += pairs[-1].shape[1]
+                    if key[0] != now[0] or size > MOST:
+                        yield once(pairs)
+                        pairs, size = [], 0
                     held = []
-                now = keys[s]
+                now = key
                 held.append(b.slice(s, e - s))
         if held:
-            yield compare(held)
+            yield once([*pairs, compare(held)])
 
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.repartition("cell").sortWithinPartitions("cell", "token").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -332,8 +345,8 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple
         told = lists if root_of is None else lists.join(root_of, lists["set_id"] == root_of["node"], "left")
         told = told.select("token", "rows", "set_id", "n", "pos", label.alias("label"))
         if r:
-            several = told.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("token")
-            told = written(told.join(several, "token", "left_semi"), "told")
+            several = told.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.xxhash64("set_id")).alias("home"))
+            told = written(told.join(several.filter("low != high").select("token", "home"), "token"), "told")
         pairs = neighbours(told, percent, r) if r < ROUNDS else apart(told, found, percent)
         new = verified(pairs, found, percent)
         links = new if links is None else links.unionByName(new)

@@ -165,26 +165,142 @@ def test_arima_recovers_an_autoregression():
     for _ in range(600):
         y.append(0.6 * y[-1] - 0.3 * y[-2] + rng.normal())
     y = np.array(y) + 10
-    f = arima.arima(y, None, None, 3, 0, (4, 1))
+    [f] = arima.forecasts([y], None, 3, 0, arima.Search(4, 1), 3)
     u = y - y.mean()
     want = 0.6 * u[-1] - 0.3 * u[-2] + y.mean()
     assert f[0] == pytest.approx(want, abs=0.3)
-    assert np.isfinite(arima.arima(np.array([1.0, 5.0, 2.0]), None, None, 4, 1, None)).all()
+
+
+def planted(rng, n, phi, theta, season_theta):
+    """(1,1,1)(0,1,1) of season 12."""
+    e, w = rng.normal(size=n + 214), np.zeros(n + 200)
+    for t in range(n + 200):
+        w[t] = phi * w[t - 1] * (t > 0) + e[t + 14] + theta * e[t + 13] + season_theta * e[t + 2] + theta * season_theta * e[t + 1]
+    v, y = np.cumsum(w[200:]), np.zeros(n)
+    for t in range(n):
+        y[t] = v[t] + (y[t - 12] if t >= 12 else 20 * np.sin(t))
+    return y
+
+
+def test_arima_recovers_planted_orders():
+    rng = np.random.default_rng(3)
+    y, n = arima.packed([planted(rng, 400, 0.8, 0.8, -0.5) for _ in range(16)])
+    _, orders = arima.batch(y, n, None, 4, None, arima.Search(12, 12))
+    assert (orders[:, [1, 4, 5]] == 1).all(axis=1).mean() > 0.85  # both differences and the seasonal error
+    kinds, count = np.unique(orders, axis=0, return_counts=True)
+    assert kinds[count.argmax()].tolist() == [1, 1, 1, 0, 1, 1]
+    # the fit of the known order
+    w, m = arima.difference(*arima.difference(y, n, np.ones(16, int), 12), np.ones(16, int), 1)
+    order, lags = (1, 1, 0, 1), [*range(1, 13)]
+    coef = arima.fitted(w, arima.solved(arima.lag_products(w, arima.long_errors(w, m), lags), order, lags)[0], order, 12)
+    assert coef.mean(axis=0) == pytest.approx([0.8, 0.8, -0.5], abs=0.06)
+
+
+def test_arima_batches_equal_single_series():
+    rng = np.random.default_rng(5)
+    series = [wave(n, i) for i, n in enumerate((3, 7, 12, 25, 40, 73, 90))] + [np.zeros(30), np.full(9, 4.0), rng.normal(size=50).cumsum()]
+    for d, search, need in ((1, None, 3), (0, None, 3), (None, arima.Search(12, 12), 5), (None, arima.Search(4, 4), 5)):
+        both = arima.forecasts(series, None, 14, d, search, need)
+        for s, f in zip(series, both, strict=True):
+            [alone] = arima.forecasts([s], None, 14, d, search, need)
+            assert (f is None) == (len(s) < need)
+            assert f is None or (np.isfinite(f).all() and f == pytest.approx(alone, rel=1e-5, abs=1e-6))
+    flat = arima.forecasts([np.full(9, 4.0), np.arange(40.0)], None, 3, None, arima.Search(12, 12), 5)
+    assert flat[0] == pytest.approx([4, 4, 4]) and flat[1] == pytest.approx([40, 41, 42])
+    assert arima.forecasts([np.array([1.0, np.nan, 3, 4, 5]), []], None, 3, 1, None, 3) == [None, None]
+
+
+def test_one_lag_is_a_regression():
+    y = wave(50, 3)
+    w = np.diff(y)
+    a = (w[1:] * w[:-1]).sum() / (w[:-1] ** 2).sum()
+    [f] = arima.forecasts([y], None, 4, 1, None, 3, order=(1, 0))
+    assert f == pytest.approx(y[-1] + np.cumsum(w[-1] * a ** np.arange(1, 5)))
+
+
+def test_polynomials_multiply_and_errors_follow_them():
+    rng = np.random.default_rng(6)
+    coef, order = rng.uniform(-0.6, 0.6, (3, 5)), (2, 1, 1, 1)
+    phi, Phi, theta, Theta = coef[:, :2], coef[:, 2], coef[:, 3], coef[:, 4]
+    w = rng.normal(size=(3, 40))
+    got = arima.errors_of(w, coef, order, 4)
+    for r in range(3):
+        left = np.convolve([1, *-phi[r]], [1, 0, 0, 0, -Phi[r]])
+        right = np.convolve([1, theta[r]], [1, 0, 0, 0, Theta[r]])
+        e = np.zeros(40)
+        for t in range(40):
+            e[t] = sum(left[k] * w[r, t - k] for k in range(len(left)) if k <= t) - sum(right[k] * e[t - k] for k in range(1, len(right)) if k <= t)
+        assert got[r] == pytest.approx(e)
+
+
+def test_reflection_makes_polynomials_stable():
+    coef = np.random.default_rng(7).normal(0, 1.5, (200, 4))
+    out = arima.reflected(coef)
+    for before, after in zip(coef, out, strict=True):
+        assert np.abs(np.roots([1, *-after])).max() < 1
+        if np.abs(np.roots([1, *-before])).max() < 0.99:
+            assert after == pytest.approx(before)
+
+
+def test_differences_by_tests():
+    rng = np.random.default_rng(8)
+    t = np.arange(120)
+    series = [rng.normal(size=120), rng.normal(size=120).cumsum(), rng.normal(size=120).cumsum().cumsum(), 9 * np.sin(2 * np.pi * t / 12) + rng.normal(size=120), np.full(120, 3.0)]
+    plainly, by_season = arima.differences(*arima.packed(series), 12)
+    assert plainly.tolist() == [0, 1, 2, 0, 0] and by_season.tolist() == [0, 0, 0, 1, 0]
 
 
 def test_arimax_uses_its_regressor():
     rng = np.random.default_rng(12)
-    x = rng.normal(size=(80, 1))
-    y = 5 + 3 * np.cumsum(x[:, 0]) * 0 + 3 * x[:, 0] + rng.normal(0, 0.01, 80)
-    f = arima.with_switch(y[:76], x[:76], x[76:], 4, None, (2, 1))
-    assert f == pytest.approx(5 + 3 * x[76:, 0], abs=0.2)
+    x = rng.normal(size=80)
+    y = 5 + 3 * x + rng.normal(0, 0.01, 80)
+    [f] = arima.forecasts([y[:76]], [[x]], 4, None, arima.Search(2, 1), 3)
+    assert f == pytest.approx(5 + 3 * x[76:], abs=0.2)
+    # from the first unknown value on, the model without regressors
+    ended = np.where(np.arange(80) >= 78, np.nan, x)
+    [part] = arima.forecasts([y[:76]], [[ended]], 4, None, arima.Search(2, 1), 3)
+    [plain] = arima.forecasts([y[:76]], None, 4, None, arima.Search(2, 1), 3)
+    assert part == pytest.approx([*f[:2], *plain[2:]])
+    assert arima.forecasts([y[:76]], [[]], 4, None, arima.Search(2, 1), 3)[0] == pytest.approx(plain)
+
+
+def dense_additive(y, start, ahead):
+    """The same regression for one series, column by column."""
+    span = len(y)
+    knots = np.linspace(0, 0.8, min(25, max(int(span * 0.8) - 1, 0)) + 1)[1:]
+
+    def design(days):
+        t = (days - start) / max(span - 1, 1)
+        cols = [np.ones(len(days)), t, *(np.maximum(t - k, 0) for k in knots)]
+        for period, order, needed in ((365.25, 10, 730), (7.0, 3, 14)):
+            if span >= needed:
+                cols += [f(2 * np.pi * k * days / period) for k in range(1, order + 1) for f in (np.sin, np.cos)]
+        return np.column_stack(cols)
+
+    x = design(np.arange(start, start + span))
+    weight = np.diag([0.0, 0.0] + [1.0] * len(knots) + [1e-3] * (x.shape[1] - 2 - len(knots)))
+    scale = np.abs(y).max()
+    return design(np.arange(start + span, start + span + ahead)) @ np.linalg.solve(x.T @ x + weight, x.T @ (y / scale)) * scale
+
+
+def test_additive_batches_equal_the_dense_fit():
+    rng = np.random.default_rng(9)
+    series = [50 + rng.normal(size=n).cumsum() for n in (2, 3, 9, 14, 30, 200, 729, 730, 1500)]
+    y, n = arima.packed(series)
+    start = np.arange(9) * 100 + 10957
+    got = additive.fit_predict(y, n, start, 40)
+    for i, s in enumerate(series):
+        assert got[i] == pytest.approx(dense_additive(s, int(start[i]), 40), rel=1e-8, abs=1e-8)
+    edges = [[int(start[i]) + len(s) + k for k in (0, 31, 40)] for i, s in enumerate(series)]
+    sums = additive.summed([*series, [1.0], [1.0, np.inf]], np.append(start, [1, 1]), [*edges, edges[0], edges[0]], 40)
+    assert sums[3] == pytest.approx([got[3][:31].sum(), got[3][31:].sum()]) and sums[9:] == [None, None]
 
 
 def test_additive_model_continues_trend_and_week():
     t = np.arange(200)
     y = 50 + 0.5 * t + 10 * np.sin(2 * np.pi * (t + 3) / 7)
-    f = additive.fit_predict(y[:186], 3, 3 + 199, {})
-    assert np.abs(f - y[186:]).max() < 3
+    f = additive.fit_predict(y[None, :186], np.array([186]), np.array([3]), 14)
+    assert np.abs(f[0] - y[186:]).max() < 3
 
 
 def test_models_beat_the_seasonal_naive_on_trend_and_season(panel_of):
@@ -270,7 +386,9 @@ def test_one_bad_series_leaves_the_others_alone(panel_of):
     mixed = as_dict(log, "id", "model", "period")
     assert {k: v for k, v in mixed.items() if k[0] in good} == pytest.approx(alone, rel=1e-6)
     assert all(np.isfinite(v) for v in mixed.values())
-    missing = {(r.id, r.model) for r in registry.errors(req, names, log).collect()}
+    told = {(r.id, r.model): r.text for r in registry.errors(req, names, log).collect()}
+    assert {t for (i, _), t in told.items() if i == "nan"} == {"the history has values that are not finite"}
+    missing = set(told)
     assert {("nan", n) for n in names} - missing <= {("nan", "naive01"), ("nan", "sma03")}
     assert not {i for i, _ in missing} & set(good)
 
@@ -308,3 +426,17 @@ def test_other_frequencies(spark, freq):
     names = ["naive01", "snaive01", "ema02", "expo02", "arima01", "arima02", "autoarima01", "linear01", "linear02", "prophet01"]
     got = as_dict(registry.forecast(registry.Request(y, (origin,), freq, 3), names), "model", "period")
     assert len(got) == 30 and all(np.isfinite(v) for v in got.values())
+
+
+def test_reasons_why_there_is_no_forecast(panel_of):
+    req = registry.Request(panel_of({"short": wave(4), "long": wave(60)}), (month(60), month(4)), "m", 2)
+    names = ["naive01", "snaive01", "expo03", "linear01", "arima02", "autoarima01"]
+    log = registry.forecast(req, names)
+    told = {(r.id, r.dsr, r.model): r.text for r in registry.errors(req, names, log).collect()}
+    assert told[("short", month(4), "snaive01")] == "history of 4 periods, the model needs 12"
+    assert told[("long", month(4), "expo03")] == "history of 4 periods, the model needs 24"
+    assert told[("long", month(4), "arima02")] == "history of 4 periods, the model needs 15"
+    assert not [k for k in told if k[2] == "naive01" or k[:2] == ("long", month(60))]
+    yearly = registry.Request(panel_of({"a": wave(60)}), (month(60),), "y", 1)
+    [row] = registry.errors(yearly, ["expo03"], registry.forecast(yearly, ["expo03"])).collect()
+    assert row.text == "the model needs a frequency with seasons"

@@ -2,32 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Mapping
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NO_FORECAST = "no finite forecast: the history is too short for the model, or the fit failed"
+NOT_FINITE = "the history has values that are not finite"
+NO_SEASON = "the model needs a frequency with seasons"
+NO_FIT = "the fit gave no finite forecast"
 
 
-def guarded(solve: Callable, y: np.ndarray, *args) -> np.ndarray | None:
-    """What ``solve`` gives for one series, or None where its values or its forecast aren't finite or it fails."""
-    if not np.isfinite(y).all():
-        return None
-    try:
-        with np.errstate(over="ignore", invalid="ignore"):
-            out = solve(y, *args)
-    except (np.linalg.LinAlgError, ValueError, ZeroDivisionError, FloatingPointError):
-        return None
-    return out if np.isfinite(out).all() else None
+def errors(histories: DataFrame, log: DataFrame, shortest: Mapping[str, int | None]) -> DataFrame:
+    """(id, dsr, model, text) of every requested model that gave a history no forecast, with the reason.
 
-
-def errors(histories: DataFrame, log: DataFrame, models: Sequence[str]) -> DataFrame:
-    """(id, dsr, model, text) of every requested model that gave a history no forecast.
-
-    ``histories`` has a row per (id, dsr); the join is one on equal keys of both.
+    ``shortest`` has the requested models and the periods that each needs, None where no history would do. ``histories`` has a
+    row per (id, dsr); the join is one on equal keys of both.
     """
-    asked = histories.select("id", "dsr", F.explode(F.array(*map(F.lit, models))).alias("model"))
+    needs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(n).cast("int").alias("need")) for m, n in shortest.items()])
+    bad = F.exists("hist", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    asked = histories.select("id", "dsr", F.size("hist").alias("n"), bad.alias("bad"), F.explode(needs).alias("m")).select("id", "dsr", "n", "bad", "m.*")
     given = log.select("id", "dsr", "model").distinct()
-    return asked.join(given, ["id", "dsr", "model"], "left_anti").withColumn("text", F.lit(NO_FORECAST))
+    text = (
+        F.when(F.col("need").isNull(), NO_SEASON)
+        .when(F.col("bad"), NOT_FINITE)
+        .when(F.col("n") < F.col("need"), F.concat(F.lit("history of "), F.col("n"), F.lit(" periods, the model needs "), F.col("need")))
+        .otherwise(NO_FIT)
+    )
+    return asked.join(given, ["id", "dsr", "model"], "left_anti").select("id", "dsr", "model", text.alias("text"))

@@ -13,7 +13,7 @@ from ..functions import calendar as cal
 from ..operators import panel
 from ..operators.skew import hot_join
 from ..session import cut_lineage, parallelism
-from . import additive, arima, failures, native, regression, smoothing, trees
+from . import additive, arima, design, failures, native, regression, smoothing, trees
 
 # The model names a job may ask for.
 NATIVE = (
@@ -124,7 +124,8 @@ def array_models(req: Request, names: Sequence[str]) -> DataFrame:
         smooth = [n for n in fitted if n in SMOOTHING]
         if smooth:
             out.update(smoothing.expressions(F.col("hist"), req.h, req.freq, smooth))
-        out.update({n: arima.expression(n, req.freq, req.h) for n in fitted if n in arima.MODELS})
+        order = req.options.get("order")
+        out.update({n: arima.expression(n, req.freq, req.h, order) for n in fitted if n in arima.MODELS})
         linear = [n for n in fitted if n in regression.MODELS]
         if linear:
             rows, exprs = regression.expressions(rows, linear, req.freq, req.h)
@@ -202,6 +203,23 @@ def forecast(req: Request, names: Sequence[str]) -> DataFrame:
     return _union([build(req, n) for build, n in chosen.items()]).select(*LOG_COLUMNS)
 
 
+def shortest(name: str, freq: str) -> int | None:
+    """Periods of history that a model needs, None where the frequency has no season for it."""
+    season = cal.season_length(freq)
+    if name == "snaive01":
+        return season
+    if name in SMOOTHING:
+        return 2 if name != "expo03" else 2 * season if season > 1 else None
+    if name in arima.MODELS:
+        growth, with_x, automatic, _ = arima.MODELS[name]
+        return arima.MIN_LENGTH[(with_x, automatic)] + (season if growth else 0)
+    if name in regression.MODELS:  # two rows whose features reach back
+        return max(regression.MIN_BUCKETS, design.Design(freq, regression.MODELS[name][0]).first + 2)
+    if name in trees.MODELS:
+        return max(8, design.Design(freq, trees.MODELS[name][1]).first + 2)
+    return 1
+
+
 def errors(req: Request, names: Sequence[str], log: DataFrame) -> DataFrame:
-    """(id, dsr, model, text) of the requested models that gave a history no forecast."""
-    return failures.errors(req.history(), log, list(dict.fromkeys(names)))
+    """(id, dsr, model, text) of the requested models that gave a history no forecast, and why."""
+    return failures.errors(req.history(), log, {n: shortest(n, req.freq) for n in names})

@@ -248,8 +248,8 @@ def _(spark, d):
 
 @query("b10_origins")
 def _(spark, d):
-    o = panel.origins_frame(spark, *MID, "m")
-    return panel.series_start(y_d(spark, d)).join(F.broadcast(o), F.col("act_st") < F.col("dsr"))
+    days = panel.dates_array(cal.rolling_origins(*MID, "m"))
+    return panel.series_start(y_d(spark, d)).withColumn("dsr", F.explode(days)).filter("act_st < dsr")
 
 
 @query("b11_clamp_zero")
@@ -450,6 +450,40 @@ def _with_x(names, **kw) -> Query:
 QUERIES["e10_linearx"] = _with_x(["linearx01", "linearx02"])
 QUERIES["e16_arimax"] = _with_x(["arimax01", "arimax02"])
 QUERIES["e18_autoarimax"] = _with_x(["autoarimax01", "autoarimax02"])
+
+
+@query("e15_arima_110")
+def _(spark, d):
+    # the same solver with one lag: a regression in closed form
+    req = request(spark, d, options={"order": (1, 0)})
+    return tidy(registry.forecast(req, ["arima01"])).drop("time")
+
+
+def _finite(log: DataFrame) -> DataFrame:
+    """Which forecasts there are, and that they are finite."""
+    finite = ~F.isnan("forecast") & (F.abs("forecast") < float("inf"))
+    return log.select("id", "ds", "dsr", "period", "model", finite.alias("finite"))
+
+
+@query("e15_e17_guards")
+def _(spark, d):
+    # short and sparse series: every one that is long enough has all its forecasts, the others none
+    req = request(spark, d, y=y_cust(spark, d), origins=(dt.date(1995, 7, 1), CUT))
+    return _finite(registry.forecast(req, ["arima01", "arima02", "autoarima01"]))
+
+
+@query("e16_e18_guards")
+def _(spark, d):
+    req = request(spark, d, x=x_m(spark, d), lag=lag_map(spark, d))
+    return _finite(registry.forecast(req, ["arimax01", "arimax02", "autoarimax01", "autoarimax02"]))
+
+
+@query("e19_guards")
+def _(spark, d):
+    req = request(spark, d, y=panels.event_values(spark, d), origins=(dt.date(2024, 1, 3), dt.date(2024, 2, 1)), h=2)
+    return _finite(registry.forecast(req, ["prophet01"]))
+
+
 # tree ensembles: every origin is a separate fit, so one origin here; all series, small ensembles
 SMALL = dict(origins=(PROD_START,), options={"trees": 10, "rounds": 5, "depth": 4})
 QUERIES["e11_randomforest"] = _with_x(["randomforest01", "randomforest02"], **SMALL)

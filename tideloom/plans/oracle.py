@@ -202,7 +202,7 @@ SQL["b12_work_units"] = (
 SQL["b12_errors"] = (
     _with(Y_CUST, _origins("1993-01-01", "2000-01-01"), _hist("yc"))
     + """SELECT id, dsr, 'snaive01' AS model,
-  'no finite forecast: the history is too short for the model, or the fit failed' AS text
+  'history of ' || count(*) || ' periods, the model needs 12' AS text
 FROM hist GROUP BY id, dsr HAVING count(*) < 12"""
 )
 
@@ -640,3 +640,35 @@ SQL["g9_forward_round2"] = (
     _with(*_SELECT, _two_rounds(f"{_LOG1} - 2 - 4.0 / (n - 2)", f"{_LOG2} - 4 - 12.0 / (n - 3)")) + _CHOSEN.format(5)
 )
 SQL["h3_feat_selection"] = SQL["g9_forward_round2"].replace(_CHOSEN.format(5), "SELECT id_y, id_x, lag FROM chosen")
+
+# -- E: reduced cases and guards of the fitted models ---------------------------------------------
+
+SQL["e15_arima_110"] = (
+    _with(Y_M, ORIGINS, _hist("ym"))
+    + """, steps AS (SELECT CAST(unnest(range(4)) AS INTEGER) AS step),
+changes AS (SELECT id, dsr, pos, y, y - lag(y) OVER (PARTITION BY id, dsr ORDER BY pos) AS w FROM hist),
+pairs AS (SELECT id, dsr, pos, y, w, lag(w) OVER (PARTITION BY id, dsr ORDER BY pos) AS v FROM changes),
+fits AS (SELECT id, dsr, sum(w * v) / sum(v * v) AS a, max_by(y, pos) AS last, max_by(w, pos) AS turn FROM pairs GROUP BY id, dsr),
+inside AS (SELECT id, dsr, last, turn, CASE WHEN abs(a) > 1 THEN 1 / a ELSE a END AS a FROM fits)
+SELECT id, CAST(dsr + to_months(step) AS DATE) AS ds, dsr, step AS period, 'arima01' AS model,
+  round(last + turn * a * (1 - pow(a, step + 1)) / (1 - a), 4) AS forecast
+FROM inside, steps"""
+)
+
+
+def _guards(models: dict[str, int], h: int = 4) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS model, {n} AS need" for m, n in models.items())
+    return f""", steps AS (SELECT CAST(unnest(range({h})) AS INTEGER) AS step), models AS ({rows}),
+lengths AS (SELECT id, dsr, count(*) AS n FROM hist GROUP BY id, dsr)
+SELECT id, CAST(date_trunc('month', dsr) + to_months(step) AS DATE) AS ds, dsr, step AS period, model, true AS finite
+FROM lengths, models, steps WHERE n >= need"""
+
+
+SQL["e15_e17_guards"] = _with(Y_CUST, _origins("1995-07-01", "2000-01-01"), _hist("yc")) + _guards({"arima01": 3, "arima02": 15, "autoarima01": 5})
+SQL["e16_e18_guards"] = _with(Y_M, ORIGINS, _hist("ym")) + _guards({"arimax01": 3, "arimax02": 15, "autoarimax01": 3, "autoarimax02": 15})
+SQL["e19_guards"] = (
+    _with(Y_EVT, _origins("2024-01-03", "2024-02-01"), _hist("ye", "day", "1 DAY"))
+    + """, steps AS (SELECT CAST(unnest(range(2)) AS INTEGER) AS step), lengths AS (SELECT id, dsr, count(*) AS n FROM hist GROUP BY id, dsr)
+SELECT id, CAST(CASE WHEN date_trunc('month', dsr) = dsr THEN dsr ELSE date_trunc('month', dsr) + INTERVAL 1 MONTH END + to_months(step) AS DATE) AS ds, dsr, step AS period, 'prophet01' AS model, true AS finite
+FROM lengths, steps WHERE n >= 2"""
+)

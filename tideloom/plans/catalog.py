@@ -83,9 +83,15 @@ def native_log(spark, d) -> DataFrame:
     return registry.forecast(request(spark, d), registry.NATIVE)
 
 
-def ranks(spark, d, log=None, **kw) -> DataFrame:
+def stored(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The log of the native models and the actuals, written once for queries that read them several times."""
+    return cut_lineage(native_log(spark, d)), cut_lineage(panel.actuals(y_m(spark, d), "m"))
+
+
+def ranks(spark, d, log=None, actual=None, **kw) -> DataFrame:
     log = native_log(spark, d) if log is None else log
-    return accuracy.rank_models(log, panel.actuals(y_m(spark, d), "m"), "m", **kw)
+    actual = panel.actuals(y_m(spark, d), "m") if actual is None else actual
+    return accuracy.rank_models(log, actual, "m", **kw)
 
 
 MONEY = ("y", "x", "forecast", "actual", "mae", "v", "xrnn")
@@ -343,13 +349,13 @@ QUERIES["d6_decompose_lag2"] = _decompose(2)
 
 @query("d7_join_x_lagged")
 def _(spark, d):
-    x = panel.resample_x(x_m(spark, d), CUT, "m")
+    x = cut_lineage(panel.resample_x(x_m(spark, d), CUT, "m"))
     return tidy(features.join_x_lagged(panel_m(spark, d), x, lag_map(spark, d), "m"))
 
 
 @query("d8_join_x_rnn")
 def _(spark, d):
-    x = panel.resample_x(x_m(spark, d), CUT, "m")
+    x = cut_lineage(panel.resample_x(x_m(spark, d), CUT, "m"))
     return tidy(features.join_x_rnn(panel_m(spark, d), x, lag_map(spark, d), CUT, "m"))
 
 
@@ -398,19 +404,18 @@ def _(spark, d):
 
 @query("d13_feature_sets")
 def _(spark, d):
-    # every set applied to one wide frame: which columns each model family would get
+    # every set applied to one wide frame: how many of its features a row has, and their sum
     f = features.decompose(features.last_growth(features.last_values(panel_m(spark, d), "m"), "m"))
     for part in ("month", "quarter"):
         f = features.one_hot(f.withColumn(part, getattr(F, part)("ds")), part)
-    rows = []
+    sets = []
     for freq in features.NOMINAL_FEATURES:
-        for g in (False, True):
-            cols = features.select_features(f, features.feature_set(freq, g)).columns
-            rows.append((freq, g, len(cols) - 3))
-    sets = F.array(
-        *[F.struct(F.lit(a).alias("freq"), F.lit(b).alias("growth"), F.lit(c).alias("n_cols")) for a, b, c in rows]
-    )
-    return f.groupBy("id").agg(F.count("y").alias("n")).select("id", "n", F.inline(sets))
+        for growth in (False, True):
+            values = F.array(*[F.col(c).cast("double") for c in features.select_features(f, features.feature_set(freq, growth)).columns if c not in ("id", "ds", "y")])
+            known = F.filter(values, lambda v: v.isNotNull())
+            total = F.aggregate(known, F.lit(0.0), lambda acc, v: acc + v)
+            sets.append(F.struct(F.lit(freq).alias("freq"), F.lit(growth).alias("growth"), F.size(known).alias("n_values"), total.alias("v")))
+    return tidy(f.select("id", "ds", F.inline(F.array(*sets))))
 
 
 # -- E: models ------------------------------------------------------------------------------
@@ -555,21 +560,21 @@ def _(spark, d):
 
 @query("f5_ensemble_log")
 def _(spark, d):
-    log = native_log(spark, d)
-    return _flat_list(accuracy.ensemble_log(log, ranks(spark, d, log)))
+    log, actual = stored(spark, d)
+    return _flat_list(accuracy.ensemble_log(log, ranks(spark, d, log, actual)))
 
 
 @query("f6_evaluate")
 def _(spark, d):
-    log = native_log(spark, d)
-    ens = accuracy.ensemble_log(log, ranks(spark, d, log))
-    return _flat_list(accuracy.evaluate(log, ens, panel.actuals(y_m(spark, d), "m")))
+    log, actual = stored(spark, d)
+    ens = cut_lineage(accuracy.ensemble_log(log, ranks(spark, d, log, actual)))
+    return _flat_list(accuracy.evaluate(log, ens, actual))
 
 
 @query("f7_median_ensemble")
 def _(spark, d):
-    log = native_log(spark, d)
-    rank = ranks(spark, d, log, error_ens="median", error_dsp="mae")
+    log, actual = stored(spark, d)
+    rank = ranks(spark, d, log, actual, error_ens="median", error_dsp="mae")
     return _flat_list(
         accuracy.ensemble_log(log, rank, fcst_ens="median", error_ens="median"), error=5
     )
@@ -647,13 +652,13 @@ def _(spark, d):
 @query("g9_forward_select")
 def _(spark, d):
     y, x = prepared(spark, d)
-    return tidy(selection.forward_select(y, x, selection.best_lag(y, x), "AICc", max_features=4))
+    return tidy(selection.forward_select(y, x, selection.best_lag(y, x), "AICc", max_features=5))
 
 
-def _by_name(name):
+def _by_name(name, most=2):
     def run(spark, d):
         y, x = prepared(spark, d)
-        chosen = selection.fit(name, y, x, selection.best_lag(y, x), max_features=2)
+        chosen = selection.fit(name, y, x, selection.best_lag(y, x), max_features=most)
         return tidy(chosen, score=6 if name == "r2adj01" else 5)
 
     return run
@@ -662,6 +667,8 @@ def _by_name(name):
 QUERIES["g9_forward_round2"] = _by_name("aicc01")
 QUERIES["g10_aic01"] = _by_name("aic01")
 QUERIES["g10_r2adj01"] = _by_name("r2adj01")
+QUERIES["g10_aic01_five"] = _by_name("aic01", 5)
+QUERIES["g10_r2adj01_five"] = _by_name("r2adj01", 5)
 
 
 # -- H: jobs --------------------------------------------------------------------------------
@@ -683,13 +690,13 @@ def _(spark, d):
 @query("h2_forecast_prod")
 def _(spark, d):
     conf = config.ProdConfig(forecast_start=PROD_START, forecast_period=H)
-    return _flat_list(jobs.forecast_prod(y_m(spark, d), native_log(spark, d), conf).forecast)
+    return _flat_list(jobs.forecast_prod(y_m(spark, d), cut_lineage(native_log(spark, d)), conf).forecast)
 
 
 @query("h2_forecast_prod_log")
 def _(spark, d):
     conf = config.ProdConfig(forecast_start=PROD_START, forecast_period=H)
-    log = jobs.forecast_prod(y_m(spark, d), native_log(spark, d), conf).forecastlog
+    log = jobs.forecast_prod(y_m(spark, d), cut_lineage(native_log(spark, d)), conf).forecastlog
     return tidy(log).drop("time")
 
 
@@ -697,3 +704,9 @@ def _(spark, d):
 def _(spark, d):
     conf = config.SelectConfig(min_data_points=48, max_features=2)
     return jobs.feat_selection(y_m(spark, d), x_m(spark, d), conf)
+
+
+@query("h3_feat_selection_five")
+def _(spark, d):
+    conf = config.SelectConfig(min_data_points=48, max_features=5)
+    return jobs.feat_selection(y_m(spark, d), x_m(spark, d), conf)

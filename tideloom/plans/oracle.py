@@ -360,11 +360,18 @@ SQL["d12_sequence_windows"] = (
   round(first_out, 4) AS first_out, round(last_out, 4) AS last_out FROM p"""
 )
 SQL["d13_feature_sets"] = (
-    _with(Y_M, PANEL_M)
-    + """SELECT id, count(y) AS n, s.freq, s.growth, CAST(s.n_cols AS INTEGER) AS n_cols FROM pm,
-  (SELECT * FROM (VALUES ('d', false, 22), ('d', true, 21), ('m', false, 22), ('m', true, 21),
-   ('q', false, 10), ('q', true, 9), ('y', false, 4), ('y', true, 4)) v(freq, growth, n_cols)) s
-GROUP BY id, s.freq, s.growth, s.n_cols"""
+    _with(
+        Y_M, PANEL_M, _lasts("l", "pm", 12), _growth("g", "pm", 12), _dec(3),
+        """lg AS (SELECT id, ds, lag(gr, 1) OVER w AS gp, lag(gr, 12) OVER w AS gy FROM g WINDOW w AS (PARTITION BY id ORDER BY ds))""",
+        """sets(freq, dummies, parts) AS (VALUES ('d', 16, 2), ('m', 16, 2), ('q', 4, 1), ('y', 0, 0))""",
+        """f AS (SELECT l.id, l.ds, freq, growth, dummies, parts, CASE WHEN growth THEN gp ELSE last_period END AS a,
+  CASE WHEN freq = 'y' THEN NULL WHEN growth THEN gy ELSE last_year END AS b, CASE WHEN freq <> 'y' AND NOT growth THEN last_momentum END AS c,
+  dec_trend AS d, dec_seasonal AS e, dec_residual AS r
+  FROM l JOIN lg ON lg.id = l.id AND lg.ds = l.ds JOIN de ON de.id = l.id AND de.ds = l.ds, sets, (VALUES (false), (true)) v(growth))""",
+    )
+    + """SELECT id, ds, freq, growth,
+  CAST(dummies + (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT + (d IS NOT NULL)::INT + (e IS NOT NULL)::INT + (r IS NOT NULL)::INT AS INTEGER) AS n_values,
+  round(parts + coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) + coalesce(d, 0) + coalesce(e, 0) + coalesce(r, 0), 4) AS v FROM f"""
 )
 
 # -- E ------------------------------------------------------------------------------------

@@ -55,7 +55,7 @@ def copies(rng):
 @pytest.mark.parametrize("small", [False, True])
 def test_classes_as_brute_force_finds_them(spark, docs_of, monkeypatch, small):
     if small:  # chunks, lists and hot shingles of very few sets
-        for name, value in (("CHUNK", 500), ("HOT", 2), ("PART", 3), ("ROUNDS", 1)):
+        for name, value in (("CHUNK", 500), ("HOT", 2), ("PART", 3), ("ROUNDS", 2)):
             monkeypatch.setattr(nj, name, value)
     texts = copies(random.Random(7))
     rows = list(enumerate(texts)) + [(None, texts[3]), (3, texts[3]), (900, texts[5].upper() + " \n"), (901, None), (902, ""), (903, " \t"), (None, None), (904, "ÄB äb Äb"), (905, "äb äb äb"), (None, "nobody else")]

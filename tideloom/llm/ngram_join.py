@@ -6,7 +6,7 @@ send their shingles in blocks that were sorted and counted in the map task; a bu
 often. (2) The shared shingles of each set give its prefix. (3) Sets that share a prefix shingle, fit in length and by their places, are candidates.
 
 Classes of linked sets are asked for, so a large group isn't expanded into pairs: first every set meets a few random neighbours in its
-lists, for some rounds, and links that hold join their labels. Then all pairs of different labels that share a prefix shingle
+lists, and links that hold join their labels. Then all pairs of different labels that share a prefix shingle
 are compared by the filters, the suffix filter last: sets that differ in more counts of shingles by hash range than linked ones
 can differ in shingles aren't linked. What is left is verified. So no link between labels is lost, whatever the rounds have found.
 """
@@ -32,7 +32,7 @@ BUCKET = 1 << 17  # counted shingles of a bucket, about
 CHUNK = 1 << 20  # shingles that a map task sorts at once
 HOT = 8  # sets of a chunk from which a shingle's sets don't go to its bucket, only their number
 PART = 2048  # sets of a list that meet in one task; longer lists are dealt into parts
-ROUNDS = 2  # of random neighbours
+ROUNDS = 1  # of random neighbours
 MOST = 1 << 20  # candidates that a task holds before it gives them out
 RANGES = 128  # of hashes, for the suffix filter
 
@@ -232,15 +232,18 @@ def overlap(percent: int, n: str = "n", m: str = "m") -> str:
 
 
 def neighbours(lists: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Pairs (a, b) of sets with different labels that lie side by side in a random order of one of their lists: two of each set at most."""
+    """Pairs (a, b) of sets with different labels that lie side by side in a random order of one of their lists: four of each set at most.
+
+    All other pairs are apart()'s.
+    """
     part = F.pmod(F.xxhash64("set_id", F.lit(seed)), F.ceil(F.col("rows") / PART))
     order = Window.partitionBy("token", "part").orderBy(F.xxhash64("set_id", "token", F.lit(seed)), "set_id")
     before = F.lag(F.struct("set_id", "n", "pos", "label")).over(order)
     near = lists.withColumn("part", part).withColumn("o", before).filter("o.label != label").withColumns({"m": F.col("o.n"), "other": F.col("o.set_id")})
     near = near.filter(f"100L * least(n, m) >= {percent}L * greatest(n, m) AND least(n - pos, m - o.pos) >= {overlap(percent)}")
-    key = F.struct(F.xxhash64("set_id", "other", F.lit(seed)).alias("key"), "other")
-    two = near.groupBy("set_id").agg(F.min(key).alias("x"), F.max(key).alias("y"))
-    pairs = two.select("set_id", F.explode(F.array("x.other", "y.other")).alias("other"))
+    key = lambda k: F.struct(F.xxhash64("set_id", "other", F.lit(seed), F.lit(k)).alias("key"), "other")
+    four = near.groupBy("set_id").agg(*[take(key(k)).alias(f"{name}{k}") for k in (0, 1) for name, take in (("low", F.min), ("high", F.max))])
+    pairs = four.select("set_id", F.explode(F.array("low0.other", "high0.other", "low1.other", "high1.other")).alias("other"))
     return pairs.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
 
 

@@ -117,3 +117,9 @@ def test_ensemble_of_one_model_is_the_model(case):
     assert both.filter("forecast <> f").count() == 0
     # at origins with a rank, a period whose model has no rank gives no row
     assert both.count() == ens.count() > 0
+
+
+def test_log_rows_meet_their_rank_origins_after_the_exchange(case):
+    _, _, dlog, dact = case
+    plan = accuracy.rank_models(dlog, dact, "m")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(sequence") < plan.index("RepartitionByExpression")

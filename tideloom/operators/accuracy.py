@@ -63,20 +63,20 @@ def rank_models(
     if only is not None:
         origins = origins.filter(F.col("rank_dsr") == day)
     scored = score_log(log.select("id", "ds", "dsr", "period", "model", "forecast"), actual)
+    # The log crosses the network once, as it is: a (series, period) holds at most one row per origin and model, and meets
+    # its rank origins after the exchange, which also serves the aggregation and the rank.
+    placed = scored.repartition("id", "period")
     # a rank origin lies in a period from that of dsr to test_back after that of ds: equal keys, no range join
     first, last = index("dsr"), index("ds") + test_back
     seen = (
-        scored.filter(last >= first)
+        placed.filter(last >= first)
         .withColumn("_at", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
         .join(F.broadcast(origins.withColumn("_at", index("rank_dsr").cast("int"))), "_at")
         .filter((F.col("dsr") < F.col("rank_dsr")) & (F.col("ds") >= F.col("since")))
         .drop("_at")
     )
     known = (F.col("ds") < F.col("rank_dsr")) & F.col("actual").isNotNull()
-    # rows of one log entry go to different rank origins, so combining them before the exchange
-    # would gain nothing; partitioned by the rank group, aggregation and rank share one exchange
-    placed = seen.repartition("id", "rank_dsr", "period")
-    per_model = placed.groupBy("id", "rank_dsr", "period", "model").agg(
+    per_model = seen.groupBy("id", "rank_dsr", "period", "model").agg(
         ensemble_agg(error_ens, F.when(known, F.col("mae"))).alias("mae"),
         ensemble_agg(error_ens, F.when(known, F.col("mape"))).alias("mape"),
         F.nullif(F.count_if(known), F.lit(0)).alias("test_back"),

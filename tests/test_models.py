@@ -440,3 +440,31 @@ def test_reasons_why_there_is_no_forecast(panel_of):
     yearly = registry.Request(panel_of({"a": wave(60)}), (month(60),), "y", 1)
     [row] = registry.errors(yearly, ["expo03"], registry.forecast(yearly, ["expo03"])).collect()
     assert row.text == "the model needs a frequency with seasons"
+
+
+@pytest.mark.parametrize("name", ["randomforestx01", "xgboostx01"])
+def test_external_series_that_move_against_each_other_are_told_apart(spark, panel_of, name):
+    """Two series whose mean never moves, and targets that follow the first one alone."""
+    rng = np.random.default_rng(4)
+    up = rng.choice([60.0, 140.0], 62)
+    y = panel_of({f"s{i}": [3 * v * (i + 1) for v in up[:60]] for i in range(4)})
+    x = panel_of({"left": list(up), "right": list(200 - up)}, value="x")
+    lag = spark.createDataFrame([(f"s{i}", k, 0) for i in range(4) for k in ("left", "right")], "id_y string, id_x string, lag int")
+    shifted = spark.createDataFrame([(f"s{i}", k, 2) for i in range(4) for k in ("left", "right")], "id_y string, id_x string, lag int")
+    assert log_of(y, [name], month(60), h=2, x=x, lag=lag).count() == 8
+    late = panel_of({f"s{i}": [3 * v * (i + 1) for v in (*up[:2], *up[:58])] for i in range(4)})
+    got = as_dict(log_of(late, [name], month(60), h=2, x=x, lag=shifted, options={"trees": 60, "rounds": 30}), "id", "period")
+    for i in range(4):
+        for k in range(2):  # the value two periods back decides
+            low, high = 180 * (i + 1), 420 * (i + 1)
+            want = 3 * up[58 + k] * (i + 1)
+            assert abs(got[(f"s{i}", k)] - want) < 0.3 * (high - low), (i, k)
+
+
+def test_external_columns_add_up_and_keep_unknown_positions(spark):
+    from tideloom.models import trees
+
+    rows = spark.createDataFrame([("a", [1.0, 2.0], ["p", "p"], [[2.0, 4.0, None], [10.0, 30.0, 20.0]]), ("b", [1.0, 2.0], [], [])], "id string, hist array<double>, x_ids array<string>, xs array<array<double>>")
+    got = {r.id: r.x_cols for r in trees._x_columns(rows, 1, 3).collect()}
+    assert sorted(got["a"], key=str) == [[0.0] * 3, [0.0] * 3, [pytest.approx(2 / 3 + 0.5), pytest.approx(4 / 3 + 1.5), None]]
+    assert got["b"] == [[0.0] * 3] * 3

@@ -69,7 +69,7 @@ def to_log(rows: DataFrame, forecasts: dict[str, Column], req: Request) -> DataF
 
 
 def with_external(rows: DataFrame, req: Request) -> DataFrame:
-    """Add ``xs``: the external series of each target as known at the origin.
+    """Add ``xs``, the external series of each target as known at the origin, and their ``x_ids``.
 
     One array per series, laid on the positions of ``hist`` and ``h`` positions beyond, after
     the lag is applied; NULL where there is no value. A target without external series has
@@ -101,7 +101,8 @@ def with_external(rows: DataFrame, req: Request) -> DataFrame:
 
     none = F.array().cast(dict(per_target.dtypes)["_x"])
     xs = F.transform(F.coalesce("_x", none), aligned)
-    return rows.join(per_target, "id", "left").withColumn("xs", xs).drop("_x")
+    ids = F.transform(F.coalesce("_x", none), lambda x: x["id_x"])
+    return rows.join(per_target, "id", "left").withColumns({"xs": xs, "x_ids": ids}).drop("_x")
 
 
 def needs_x(name: str) -> bool:
@@ -149,7 +150,7 @@ def pooled_models(req: Request, names: Sequence[str]) -> DataFrame:
     rows = req.history()
     if any(needs_x(n) for n in names):
         rows = with_external(rows, req)
-    rows = trees.prepared(rows, req.freq)
+    rows = trees.prepared(rows, req.freq, req.h, req.options)
     parts = []
     for n in names:
         f = trees.forecasts(rows, req.origins, n, req.freq, req.h, req.options)

@@ -32,8 +32,9 @@ MODELS = {
     "xgboostx02": ("boost", True, True),
 }
 # Options of a request. ``series_per_task`` decides how training rows are dealt: bootstrap samples follow the
-# partitions, so their number comes from the data and this option alone, never from the session.
-DEFAULTS = {"trees": 20, "rounds": 20, "depth": 5, "step": 0.1, "series_per_task": 500}
+# partitions, so their number comes from the data and this option alone, never from the session. ``x_columns`` are the features
+# that external series are hashed to.
+DEFAULTS = {"trees": 20, "rounds": 20, "depth": 5, "step": 0.1, "series_per_task": 500, "x_columns": 16}
 CUT_EVERY = 8  # steps of the recursion between two written tables
 
 
@@ -44,14 +45,26 @@ def _regressor(kind: str, opt: dict):
     return GBTRegressor(maxIter=opt["rounds"], maxDepth=opt["depth"], stepSize=opt["step"], **common)
 
 
-def _x_level(xs: Column, t: Column) -> Column:
-    """Mean of the external values at a position, each relative to its own level; NULL if one is unknown."""
-    values = F.transform(
-        xs,
-        lambda x: F.try_divide(sa.at(x, t), sa.array_mean(F.filter(x, lambda v: v.isNotNull()))),
+def _x_columns(rows: DataFrame, h: int, columns: int) -> DataFrame:
+    """``x_cols``: ``columns`` arrays on the positions of ``hist`` and ``h`` beyond: the external series by a hash of their id.
+
+    Every series is relative to its own level, and has the same column in all targets. Series of one target that meet in a column
+    are added up; an unknown value makes the position of its column NULL. A column without a series is zero.
+    """
+    level = lambda x: sa.array_mean(F.filter(x, lambda v: v.isNotNull()))
+    value = lambda m, t: F.try_divide(sa.at(m["x"], t), m["level"])
+    # series and level are bound by a lambda, so that they are computed once for all positions
+    meet = lambda c: F.filter("xs", lambda _, i: F.pmod(F.xxhash64(F.get("x_ids", i)), F.lit(columns)) == c)
+    members = F.transform(
+        F.array(*map(F.lit, range(columns))), lambda c: F.transform(meet(c), lambda x: F.struct(x.alias("x"), level(x).alias("level")))
     )
-    known = ~F.exists(values, lambda v: v.isNull())
-    return F.when(known, F.coalesce(sa.array_mean(values), sa.zero()))
+    positions = F.sequence(F.lit(0), F.size("hist") + h - 1)
+
+    def column(mine: Column) -> Column:
+        total = lambda t: F.aggregate(mine, sa.zero(), lambda acc, m: acc + F.coalesce(value(m, t), sa.zero()))
+        return F.transform(positions, lambda t: F.when(~F.exists(mine, lambda m: value(m, t).isNull()), total(t)))
+
+    return rows.withColumn("x_cols", F.transform(members, column)).drop("xs", "x_ids")
 
 
 def _features(d: dz.Design, hist: Column, t: Column, with_x: bool) -> Column:
@@ -63,8 +76,8 @@ def _features(d: dz.Design, hist: Column, t: Column, with_x: bool) -> Column:
         level[0] = numeric[0] if d.growth else numeric[0] / scale
         level[1:] = [v / scale for v in numeric[1:]]
     codes = [c.cast("double") for c in dz.codes(b0 + t, d.freq)]
-    extra = [_x_level(F.col("xs"), t)] if with_x else []
-    return F.array(*codes, *level, *extra)
+    own = F.array(*codes, *level)
+    return F.concat(own, F.transform("x_cols", lambda x: sa.at(x, t))) if with_x else own
 
 
 def _train(rows: DataFrame, d: dz.Design, with_x: bool, kind: str, opt: dict):
@@ -101,10 +114,12 @@ def _value(pred: Column, d: dz.Design) -> Column:
     return (1 + pred) * sa.at(past, F.size(past) - dz.anchor_back(F.col("b0") + F.size(past), d.freq))
 
 
-def prepared(rows: DataFrame, freq: str) -> DataFrame:
+def prepared(rows: DataFrame, freq: str, h: int, options: dict) -> DataFrame:
     """Histories with the columns that all tree models share, written once for all of them."""
     level = sa.array_mean(F.transform("hist", F.abs))
     long = rows.filter(F.size("hist") >= 8).withColumn("scale", F.when(level > 0, level).otherwise(1.0))
+    if "xs" in rows.columns:
+        long = _x_columns(long, h, {**DEFAULTS, **options}["x_columns"])
     return cut_lineage(dz.with_seasonal_means(long))
 
 
@@ -131,7 +146,7 @@ def forecasts(
             pred = F.col("p0")
             if with_x:
                 cur = _step(cur, rich, d, True, "p1")
-                unknown = _x_level(F.col("xs"), F.size("past")).isNull()
+                unknown = F.exists("x_cols", lambda x: sa.at(x, F.size("past")).isNull())
                 cur = cur.withColumn("off", F.col("off") | unknown)
                 pred = F.when(F.col("off"), F.col("p0")).otherwise(F.col("p1"))
             cur = cur.withColumn("past", F.array_append("past", _value(pred, d))).drop("p0", "p1")

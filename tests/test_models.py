@@ -407,6 +407,42 @@ def test_penalised_fits_converge_whatever_stands_beside_them():
         assert slope[w != 0] == pytest.approx(1e-2 * np.sign(w[w != 0]), abs=1e-6)
 
 
+@pytest.mark.parametrize("penalty", [1e-4, 1e-2, 1.0])
+def test_penalised_fits_are_optimal_also_for_collinear_columns(penalty):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 48, 20))
+    x[:, :, :12] = np.eye(12)[np.arange(48) % 12]  # sums to one
+    x[:, :, 14] = x[:, :, 13] + 1e-3 * rng.normal(size=(60, 48))
+    x[:, :, 15] = x[:, :, 13] + x[:, :, 12]
+    x[:, :, 16] = x[:, :, 17]
+    x[:, :, 18] = 3.0
+    y = np.einsum("bnp,bp->bn", x, rng.normal(size=(60, 20))) + rng.normal(size=(60, 48))
+    y[:20] *= 1e6
+    sd = x.std(axis=1, keepdims=True)
+    z = (x - x.mean(axis=1, keepdims=True)) / np.where(sd == 0, 1, sd)
+    gram, moment = np.einsum("bni,bnj->bij", z, z) / 48, np.einsum("bni,bn->bi", z, y - y.mean(axis=1, keepdims=True)) / 48
+    w = regression.lasso(gram, moment, penalty)
+    slope, size = moment - np.einsum("bij,bj->bi", gram, w), np.abs(moment).max(axis=1, keepdims=True)
+    assert (np.abs(slope) - penalty <= 1e-11 * size).all()
+    assert (np.abs(slope - penalty * np.sign(w))[w != 0] <= (1e-11 * size + 0 * w)[w != 0]).all()
+    assert not w[:, 18].any()
+
+
+def test_paths_whose_corners_meet_in_one_point_end():
+    rng = np.random.default_rng(6)
+    for _ in range(40):  # whole numbers: many columns reach the penalty together
+        x = rng.integers(-1, 2, size=(1, 12, 8)).astype(float)
+        y = rng.integers(-1, 2, size=(1, 12)).astype(float)
+        gram, moment = np.einsum("bni,bnj->bij", x, x), np.einsum("bni,bn->bi", x, y)
+        for penalty in (0.5, 1.0, 2.0):
+            w = regression.lasso(gram, moment, penalty)
+            slope = (moment - np.einsum("bij,bj->bi", gram, w))[0]
+            assert (np.abs(slope) <= penalty + 1e-8).all()
+            assert slope[w[0] != 0] == pytest.approx(penalty * np.sign(w[0][w[0] != 0]), abs=1e-8)
+    assert not regression.lasso(np.eye(3)[None], np.zeros((1, 3)), 1e-4).any()
+    assert regression.lasso(np.zeros((0, 3, 3)), np.zeros((0, 3)), 1e-4).shape == (0, 3)
+
+
 def test_unknown_model_is_an_error(world):
     with pytest.raises(ValueError, match="nosuch"):
         log_of(world[0], ["nosuch"], month(48))

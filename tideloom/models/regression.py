@@ -25,41 +25,63 @@ MODELS = {
     "linearx02": (True, True),
 }
 PENALTY = 1e-4
-SWEEPS = 500  # rounds at most
-TOLERANCE = 1e-9  # of the largest step of a round
+SPANNED = 1e-9  # a column with less than this part of its own is spanned by others
 MIN_BUCKETS = 8
 
 
-def lasso(gram: np.ndarray, moment: np.ndarray, penalty: float, sweeps: int = SWEEPS) -> np.ndarray:
-    """Coordinate descent for a batch of standardised problems (gram and moment per row count).
+def lasso(gram: np.ndarray, moment: np.ndarray, penalty: float) -> np.ndarray:
+    """Exact minima of ``w'Gw / 2 - m'w + penalty * |w|`` for a batch of standardised problems.
 
-    Every problem goes on by itself until it has converged, so its result doesn't depend on the others in the
-    batch. Where columns are nearly collinear the objective settles long before the coefficients do; such a
-    problem ends after ``sweeps`` rounds.
+    Follows the path of solutions from the penalty at which all coefficients are zero down to ``penalty``. Between two
+    of its corners the solution is linear in the penalty, so the next corner has a closed form: a column enters where its
+    correlation with the rest reaches the penalty, and leaves where its coefficient reaches zero. A path has finitely
+    many corners, so there is no limit of rounds. Every problem follows its own path; the solves of a round are stacked.
+
+    A column that the active ones span adds nothing and never enters; of equal columns the first carries the coefficient.
+    Corners that meet in one point can make a path walk in circles there. Such a path starts again with its moments moved
+    apart in the last digits, further with every start; the last stretch uses the given moments again.
     """
-    out = np.empty(moment.shape)
-    w = np.einsum("bpq,bq->bp", np.linalg.pinv(gram, rcond=1e-9, hermitian=True), moment)
-    live = np.arange(len(w))
+    count, width = moment.shape
+    out = np.zeros(moment.shape)
+    if not moment.size:
+        return out
     diag = np.einsum("bpp->bp", gram)
-    rest = moment - np.einsum("bpq,bq->bp", gram, w)
-    for _ in range(sweeps):
-        biggest = np.zeros(len(live))
-        for j in range(gram.shape[1]):
-            d = diag[:, j]
-            rho = rest[:, j] + d * w[:, j]
-            new = np.where(d > 1e-12, np.sign(rho) * np.maximum(np.abs(rho) - penalty, 0) / np.maximum(d, 1e-12), 0.0)
-            step = new - w[:, j]
-            rest -= gram[:, :, j] * step[:, None]
-            w[:, j] = new
-            biggest = np.maximum(biggest, np.abs(step) / (1 + np.abs(new)))
-        done = biggest < TOLERANCE
+    live = np.flatnonzero(np.abs(moment).max(axis=1) > penalty)
+    active, sign = np.zeros((count, width), dtype=bool), np.zeros((count, width))
+    level, still, starts = np.abs(moment).max(axis=1), np.zeros(count, dtype=int), np.zeros(count, dtype=int)
+    used = moment.copy()
+    while len(live):
+        on, s, m, g, top = active[live], sign[live], used[live], gram[live], level[live]
+        inner = g * on[:, :, None] * on[:, None, :] + np.eye(width) * ~on[:, None, :]
+        right = np.concatenate([(m * on)[:, :, None], s[:, :, None], g * on[:, :, None]], axis=2)
+        solved = np.linalg.solve(inner, right)
+        fit, slope, span = solved[:, :, 0], solved[:, :, 1], solved[:, :, 2:]  # coefficients are fit - penalty * slope
+        rest, pull = m - np.einsum("bpq,bq->bp", g, fit), np.einsum("bpq,bq->bp", g, slope)
+        own = diag[live] - np.einsum("bpq,bpq->bq", g, span)  # what the active columns don't explain of a column
+        free = ~on & (own > SPANNED * np.maximum(diag[live], SPANNED))
+        corners = np.stack([
+            np.where(free & (pull < 1), rest / np.where(pull < 1, 1 - pull, 1), -np.inf),
+            np.where(free & (pull > -1), -rest / np.where(pull > -1, 1 + pull, 1), -np.inf),
+            np.where(on & (s * slope < 0), fit / np.where(slope == 0, 1, slope), -np.inf),
+        ], axis=1).reshape(len(live), -1)
+        pick = corners.argmax(axis=1)
+        reached = np.minimum(corners[np.arange(len(live)), pick], top)
+        done = ~(reached > penalty)  # values that aren't finite end as well
         if done.any():
-            out[live[done]] = w[done]
-            left = ~done
-            live, w, gram, diag, rest = live[left], w[left], gram[left], diag[left], rest[left]
-            if not len(live):
-                return out
-    out[live] = w
+            exact = np.linalg.solve(inner[done], ((moment[live[done]] - penalty * s[done]) * on[done])[:, :, None])[:, :, 0]
+            out[live[done]] = np.where(on[done], exact, 0.0)
+        kind, column = np.divmod(pick, width)
+        go, rows = ~done, live[~done]
+        active[rows, column[go]] = kind[go] < 2
+        sign[rows, column[go]] = np.array([1.0, -1.0, 0.0])[kind[go]]
+        still[rows] = np.where(reached[go] < top[go] * (1 - 1e-13), 0, still[rows] + 1)
+        level[rows] = reached[go]
+        for i in rows[still[rows] > 2 * width]:
+            starts[i] += 1
+            apart = 10.0 ** (starts[i] - 14) * np.random.default_rng(int(starts[i])).uniform(-1, 1, width)
+            used[i] = moment[i] + apart * np.abs(moment[i]).max()
+            active[i], sign[i], still[i], level[i] = False, 0.0, 0, np.abs(used[i]).max()
+        live = rows
     return out
 
 

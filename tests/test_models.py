@@ -376,6 +376,35 @@ def test_tree_forecasts_do_not_depend_on_the_cluster(spark, panel_of, name):
     assert got[0] == pytest.approx(got[2], rel=1e-12)
 
 
+@pytest.mark.parametrize("freq, kind, growth", [("m", "forest", False), ("m", "boost", True), ("q", "boost", False), ("y", "forest", True), ("d", "forest", True)])
+def test_one_pass_over_all_steps_equals_a_chain_of_model_transforms(spark, freq, kind, growth):
+    from pyspark.ml.functions import array_to_vector
+
+    from tideloom.models import design, trees
+
+    h, opt, rng = 5, {**trees.DEFAULTS, "trees": 4, "rounds": 3, "depth": 3}, np.random.default_rng(8)
+    long = {"m": 50, "q": 20, "y": 14, "d": 800}[freq]
+    series = [(f"s{i}", 0, int(b0), [0.0 if i == 1 and k % 5 == 0 else float(v) for k, v in enumerate(50 + 9 * np.sin(np.arange(long - i)) + rng.normal(size=long - i))]) for i, b0 in enumerate((8000, 8003, 8005))]
+    rows = spark.createDataFrame(series, "id string, s0 int, b0 int, hist array<double>").withColumn("dsr", F.lit(month(60)))
+    rows = rows.withColumn("x_ids", F.array(F.lit("p"))).withColumn("xs", F.array(F.transform(F.sequence(F.lit(1), F.size("hist") + 3), lambda k: 10 + k % 7 * 1.0)))
+    rows = trees.prepared(rows, freq, h, {"x_columns": 3})
+    d = design.Design(freq, growth)
+    plain, rich = (trees._train(rows, d, with_x, kind, opt) for with_x in (False, True))
+    got = {r.id: r.f for r in trees._walked(rows, d, h, {month(60): (trees.exported(plain, kind), trees.exported(rich, kind))}, True).collect()}
+    cur, past = rows.withColumn("past", F.col("hist")), F.col("past")
+    for k in range(h):  # the external series ends after three steps
+        f = trees._features(d, past, F.size(past), k < 3)
+        cur = cur.withColumn("features", array_to_vector(F.transform(f, lambda v: F.coalesce(v, F.lit(0.0)))))
+        cur = (rich if k < 3 else plain).transform(cur)
+        back = design.anchor_back(F.col("b0") + F.size(past), freq)
+        value = (1 + F.col("prediction")) * F.get(past, (F.size(past) - back).cast("int")) if growth else F.col("prediction") * F.col("scale")
+        cur = cur.withColumn("past", F.array_append(past, value)).drop("features", "prediction")
+    want = {r.id: r.past[-h:] for r in cur.collect()}
+    assert len(got) == 3
+    for name, f in want.items():
+        assert got[name] == pytest.approx(f, rel=1e-9), name
+
+
 def test_one_bad_series_leaves_the_others_alone(panel_of):
     good = {"a": wave(48, 1), "b": wave(48, 2)}
     bad = {"nan": [float("nan") if i == 20 else v for i, v in enumerate(wave(48, 3))], "huge": [1e300 * (-1) ** i for i in range(48)]}

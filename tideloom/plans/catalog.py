@@ -490,11 +490,11 @@ def _(spark, d):
 
 
 # tree ensembles: every origin is a separate fit, so one origin here; all series, small ensembles
-SMALL = dict(origins=(PROD_START,), options={"trees": 10, "rounds": 5, "depth": 4})
-QUERIES["e11_randomforest"] = _with_x(["randomforest01", "randomforest02"], **SMALL)
-QUERIES["e12_randomforestx"] = _with_x(["randomforestx01", "randomforestx02"], **SMALL)
-QUERIES["e13_xgboost"] = _with_x(["xgboost01", "xgboost02"], **SMALL)
-QUERIES["e14_xgboostx"] = _with_x(["xgboostx01", "xgboostx02"], **SMALL)
+ENSEMBLE = {"trees": 10, "rounds": 5, "depth": 4}
+QUERIES["e11_randomforest"] = _with_x(["randomforest01", "randomforest02"], options=ENSEMBLE)
+QUERIES["e12_randomforestx"] = _with_x(["randomforestx01", "randomforestx02"], options=ENSEMBLE)
+QUERIES["e13_xgboost"] = _with_x(["xgboost01", "xgboost02"], options=ENSEMBLE)
+QUERIES["e14_xgboostx"] = _with_x(["xgboostx01", "xgboostx02"], options=ENSEMBLE)
 
 
 @query("e9_linear_customers")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .roles import ROLES
+from .roles import ROLES, check_schema
 
 
 def _typed(df: DataFrame, role: str) -> DataFrame:
@@ -26,14 +26,30 @@ def _typed(df: DataFrame, role: str) -> DataFrame:
     return df.select(*cols)
 
 
-def read_role(spark: SparkSession, path: str, role: str, fmt: str | None = None) -> DataFrame:
-    """Read a table of a role. A value that does not fit its type is an error."""
+def _raw(spark: SparkSession, path: str, fmt: str | None) -> DataFrame:
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     if fmt == "csv":
         # columns are matched by name, so the header decides, not the position
-        raw = spark.read.option("header", True).option("encoding", "utf-8").csv(path)
-    else:
-        raw = spark.read.format(fmt).load(path)
+        return spark.read.option("header", True).option("encoding", "utf-8").csv(path)
+    return spark.read.format(fmt).load(path)
+
+
+def read_role(spark: SparkSession, path: str, role: str, fmt: str | None = None) -> DataFrame:
+    """Read a table of a role. A value that does not fit its type is an error."""
+    return _typed(_raw(spark, path, fmt), role)
+
+
+class SchemaError(ValueError):
+    """Names every column that is missing or holds values of another type, with their number."""
+
+
+def read_checked(spark: SparkSession, path: str, role: str, fmt: str | None = None) -> DataFrame:
+    """Read a table of a role after one pass that checks every value of it."""
+    raw = _raw(spark, path, fmt)
+    wrong = [r for r in check_schema(raw, role).collect() if not r["present"] or r["bad"]]
+    if wrong:
+        told = [f"{r['column']}: " + (f"{r['bad']} values aren't {r['type']}" if r["present"] else "missing") for r in wrong]
+        raise SchemaError(f"{path} as {role}: {'; '.join(told)}")
     return _typed(raw, role)
 
 

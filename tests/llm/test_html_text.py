@@ -103,3 +103,33 @@ def test_a_head_ends_without_its_end_tag():
         for body in ("<p>One <b>text</b></p><p>more</p>", "One <b>text</b><p>more</p>", "<svg><title>no</title></svg><div>One text</div><ul><li>more</ul>"):
             nodes, runs = H.parse(f"{start}<head>\n{raw}{end}{body}")
             assert H.joined(runs, H.np.ones(len(nodes), bool)) == "One text\nmore", (start, end, body)
+
+
+LINE = "Some sentences, with words in them, that run for a while. And another sentence follows here."
+HAND_MADE = {
+    "an aside inside the article": (f"<nav><a href=/>Home</a></nav><article><h1>Title here</h1><p>{LINE}</p><aside>See also other things</aside><p>{LINE}</p></article>", ["Title here", LINE, LINE]),
+    "the title in a header": (f"<header><a href=/>Site</a></header><article><header><h1>Title here</h1></header><p>{LINE}</p><p>{LINE}</p></article><footer>(c)</footer>", ["Title here", LINE, LINE]),
+    "preformatted text": (f"<article><h1>Title here</h1><p>{LINE}</p><pre>code line here</pre><p>{LINE}</p></article>", ["Title here", LINE, "code line here", LINE]),
+    "responses of readers": (f"<main><h1>Title here</h1><p>{LINE}</p><p>{LINE}</p></main><section id=responses><h2>Comments</h2><p>Nice text, thanks</p></section>", ["Title here", LINE, LINE]),
+    "a short article": ("<nav><a href=/>Home</a></nav><article><p>Short text.</p></article>", ["Short text."]),
+    "a teaser article": (f"<article><h1>Title here</h1><p>{LINE}</p><p>{LINE}</p></article><article><h3><a href=/x>Other story</a></h3><p>Read more</p></article>", ["Title here", LINE, LINE]),
+}
+
+
+def test_hand_made_pages(spark):
+    trees = H.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    for name, (page, want) in HAND_MADE.items():
+        nodes, runs = H.parse(f"<html><head><title>t</title></head><body>{page}</body></html>")
+        assert H.joined(runs, H.decode(nodes, trees.score(H.features(nodes)))).split("\n") == want, name
+
+
+def test_many_siblings_are_counted_by_tag():
+    nodes, _ = H.parse("<div>" + "<p>a</p>" * 300 + "<ul><li>b</ul></div>")
+    same = np.expm1(H.features(nodes)[:, 9])
+    assert {n.tag: round(same[n.index]) for n in nodes[2:]} == {"p": 300, "ul": 1, "li": 1}
+
+
+def test_only_pages_with_an_article_are_drawn(spark, pages):
+    marked = pages.limit(2).select("page_id", "url", "html")
+    others = spark.range(400).selectExpr("id + 10000 AS page_id", "concat('u', id) AS url", "'<p>no article</p>' AS html")
+    assert H.training_rows(marked.union(others), 2).filter("label = 1").count() > 0

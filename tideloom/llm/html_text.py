@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +49,11 @@ TOKENS = [
     ("nav", r"nav|menu|breadcrumb|crumbs|pagination|pager|toc"), ("head", r"header|masthead|topbar|logo|brand"), ("foot", r"footer|copyright|colophon|legal"),
     ("side", r"sidebar|aside|widget|rail|related|recommend|popular|trending|complementary"), ("ad", r"(?:^|[\s_-])ads?(?:$|[\s_-])|advert|sponsor|promo|banner"),
     ("note", r"cookie|consent|notice|gdpr|alert|popup|modal|overlay|paywall"), ("form", r"form|login|signup|subscribe|newsletter|search"),
-    ("comment", r"comment|repl(?:y|ies)|disqus|discussion|respond|feedback"), ("share", r"share|social|follow"),
+    ("comment", r"comment|repl(?:y|ies)|disqus|discussion|respon(?:d|se)|feedback"), ("share", r"share|social|follow"),
     ("main", r"article|content|main|post|entry|story|prose|body"),
 ]
 TOKEN_RES = [re.compile(r, re.I) for _, r in TOKENS]
-TAGS = ["p", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul", "li", "table", "h", "blockquote", "body"]
+TAGS = ["p", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul", "li", "table", "h", "blockquote", "body", "pre", "figure", "dl"]
 
 
 class Node:
@@ -198,6 +199,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     root, rows = nodes[0], []
     above = {}  # by node: the names and tags of its ancestors
     total, length = max(1, root.text), max(1, nodes[-1].begin)
+    alike = Counter((n.parent.index, n.tag) for n in nodes[1:])
     for n in nodes:
         p = n.parent
         inherited = above[p.index] if p else (False,) * (len(TOKENS) + 8)
@@ -205,7 +207,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         above[n.index] = tuple(map(max, inherited, (*n.names, *sect)))
         siblings = p.children if p else [n]
         place = n.index - siblings[0].index
-        same = sum(s.tag == n.tag for s in siblings) if len(siblings) < 200 else len(siblings)
+        same = alike[p.index, n.tag] if p else 1
         rows.append((
             n.depth, np.log1p(n.text), n.links / max(1, n.text), np.log1p(n.text / n.tags), n.commas / max(1, n.text) * 10, np.log1p(n.paragraphs),
             n.text / total, n.begin / length, np.log1p(len(siblings)), np.log1p(same), np.log1p(place), np.log1p(len(n.children)),
@@ -278,15 +280,18 @@ def layout(blocks: list[str], rng: random.Random) -> str:
         "note": lambda: no(pick(["div", "section", "p", "aside"]), ["cookie-notice", "notice", "consent", "alert", "gdpr-popup"], wrap(say(4, 40))),
         "form": lambda: pick([no("form", pick([None, ["newsletter", "login", "search-form"]]), f"<label>{say(1, 4)}</label><input>{wrap(say(1, 12))}<button>{say(1, 2)}</button>"), no("div", ["newsletter", "subscribe", "login-form"], wrap(say(3, 20)) + f"<form><input>{say(1, 3)}</form>")]),
         "comments": lambda: no(pick(["div", "section", "ol", "ul"]), ["comments", "comment-list", "replies", "disqus_thread", "discussion"], pick(["", "<h3>" + say(1, 4) + "</h3>"]) + talk()),
+        "teasers": lambda: "".join(no("article", pick([None, ["teaser", "card"]]), f"<{t}>{link()}</{t}>" + pick(["", wrap(say(3, 25))])) for t in [pick(["h2", "h3", "h4"])] for _ in range(rng.randint(1, 4))),
         "share": lambda: no("div", ["share", "social", "follow-us"], " ".join(link() for _ in range(4))),
     }
     inner = []
+    yes = lambda tags, own: "".join(f'<{t} data-y="1">' for t in tags) + own + "".join(f"</{t}>" for t in reversed(tags))
+    nested = {"li": ["ul", "li"], "dl": ["dl", "dd"], "figure": ["figure", "figcaption"], "table": ["table", "tr", "td"], "head": ["header", "h1"], "lead": ["div", "h1"]}
     for i, b in enumerate(blocks):
-        tag = pick(["h1", "h2", "p"]) if i == 0 else pick(["p"] * 7 + ["div", "h2", "blockquote", "li"])
+        tag = pick(["h1", "h1", "h2", "p", "head", "lead"]) if i == 0 else pick(["p"] * 12 + ["div", "div", "h2", "h2", "blockquote", "li", "li", "pre", "figure", "dl", "table"])
         own = e(b) if rng.random() < 0.8 else f"<b>{e(b)}</b>"
-        inner.append(f"<ul data-y='1'><li data-y='1'>{own}</li></ul>" if tag == "li" else f'<{tag} data-y="1">{own}' + ("" if tag == "p" and rng.random() < 0.2 else f"</{tag}>"))
-        if rng.random() < 0.08:
-            inner.append(parts[pick(["ad", "ad", "side", "note", "form", "share"])]())
+        inner.append(f'<p data-y="1">{own}' if tag == "p" and rng.random() < 0.2 else yes(nested.get(tag, [tag]), own))
+        if rng.random() < 0.1:
+            inner.append(parts[pick(["ad", "ad", "side", "side", "note", "form", "share"])]())
     tag, names = pick([("article", None), ("main", None), ("div", ["content", "post", "entry-content", "article-body", "story"]), ("section", ["post-content", "main"]), ("article", ["post", "h-entry"]), ("div", None), ("td", None)])
     named = f' class="{pick(names)}"' if names else ""
     after = [parts["comments"]()] if rng.random() < 0.5 else []
@@ -294,7 +299,7 @@ def layout(blocks: list[str], rng: random.Random) -> str:
     if tag == "td":
         body = f'<table data-y="1"><tr data-y="1">{no("td", None, listed(5))}{body}</tr></table>'
     before = [parts[k]() for k in ("head", "nav", "ad", "note", "side", "form") if rng.random() < 0.5]
-    behind = [*after, *(parts[k]() for k in ("side", "ad", "form", "share", "comments", "note", "foot", "foot") if rng.random() < 0.4)]
+    behind = [*after, *(parts[k]() for k in ("side", "ad", "form", "share", "teasers", "comments", "note", "foot", "foot") if rng.random() < 0.4)]
     rng.shuffle(before)
     page = "".join([*before, body, *behind])
     for _ in range(rng.randint(0, 2)):
@@ -313,29 +318,28 @@ def labelled(nodes: list[Node]) -> np.ndarray:
 def training_rows(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(x, label) of the nodes of sampled pages and of their new layouts."""
 
+    def batch(nodes: list[Node], y: np.ndarray) -> pa.RecordBatch:
+        x = pa.array(features(nodes).ravel())
+        lists = pa.FixedSizeListArray.from_arrays(x, SIZE).cast(pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([lists, pa.array(y)], ["x", "label"])
+
     def run(batches):
         for b in slices(batches, 20):
-            xs, ys = [], []
             for page, number in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
                 nodes, runs = parse(page)
                 y = article_labels(nodes)
                 if y is None:
                     continue
-                xs.append(features(nodes))
-                ys.append(y)
+                yield batch(nodes, y)
                 rng = random.Random(SEED * 1_000_003 + number)
                 blocks = joined(runs, y > 0).split("\n")
                 for _ in range(LAYOUTS):
-                    some = blocks[: rng.randint(1, 40)]
-                    nodes, _ = parse(layout(some, rng))
-                    xs.append(features(nodes))
-                    ys.append(labelled(nodes))
-            x = np.concatenate(xs) if xs else np.zeros((0, SIZE))
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), SIZE).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([lists, pa.array(np.concatenate(ys) if ys else np.zeros(0))], ["x", "label"])
+                    new, _ = parse(layout(blocks[: rng.randint(1, len(blocks))], rng))
+                    yield batch(new, labelled(new))
 
     number = F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 40))
-    own = pages.filter("html is not null").select("html", number.alias("number"))
+    one = F.regexp_count("html", F.lit(r"(?i)<article[\s>]")) == 1  # the others can't teach, so they aren't drawn
+    own = pages.filter(one).select("html", number.alias("number"))
     # the sample's numbers come first, and alone; then only its pages leave their tasks
     numbers = own.select("number").orderBy("number").limit(sample).collect()
     last = max((r["number"] for r in numbers), default=-1)

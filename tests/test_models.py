@@ -210,6 +210,29 @@ def test_arima_batches_equal_single_series():
     assert arima.forecasts([np.array([1.0, np.nan, 3, 4, 5]), []], None, 3, 1, None, 3) == [None, None]
 
 
+def test_an_order_is_solved_and_fitted_once_for_all_series_of_a_round(monkeypatch):
+    rng = np.random.default_rng(8)
+    y, n = arima.packed([rng.normal(size=60).cumsum() for _ in range(200)])
+    calls = {"solved": [], "fitted": []}
+    for name, at in (("solved", 1), ("fitted", 2)):
+        real = getattr(arima, name)
+        monkeypatch.setattr(arima, name, lambda *a, real=real, name=name, at=at: calls[name].append(a[at]) or real(*a))
+    arima.batch(y, n, None, 4, None, arima.Search(12, 12))
+    for name, most in (("solved", 3), ("fitted", 2)):  # calls for an order, about one for each round that asks for it
+        assert len(calls[name]) <= most * len(set(calls[name])), name
+
+
+def test_slopes_are_those_of_single_sets_of_coefficients():
+    rng = np.random.default_rng(9)
+    for order in ((2, 0, 0, 0), (0, 9, 0, 0), (4, 4, 0, 0), (2, 1, 1, 1)):
+        w, coef = rng.normal(size=(3, 50)), rng.uniform(-0.2, 0.2, (3, sum(order)))
+        e = arima.errors_of(w, coef, order, 12)
+        got = arima.slopes(w, coef, e, order, 12)
+        for k in range(sum(order)):
+            turned = coef + 1e-6 * (np.arange(sum(order)) == k)
+            assert np.array_equal(got[:, k], (arima.errors_of(w, turned, order, 12) - e) / 1e-6)
+
+
 def test_one_lag_is_a_regression():
     y = wave(50, 3)
     w = np.diff(y)

@@ -45,6 +45,8 @@ STABLE = 0.999  # largest partial autocorrelation
 ROUNDS = 12  # of least squares with damping, at most
 SETTLED = 1e-6  # a series settles when a round lowers its squares by no more than this share
 CELLS = 4_000_000  # numbers of a tensor of lags that a task holds
+SLOPES = 500_000  # numbers of the slopes of the series that are fitted together
+NEAR = 32_768  # numbers that are worked on at once, so that they stay in a core's cache
 FEWER = [(-1, 0, 0, 0), (0, -1, 0, 0), (-1, -1, 0, 0), (0, 0, -1, 0), (0, 0, 0, -1)]
 STEPS = [(a, b, 0, 0) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b] + [(0, 0, a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
@@ -152,8 +154,12 @@ def long_errors(w: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def lag_products(w: np.ndarray, e: np.ndarray, lags: list[int]) -> np.ndarray:
     """Sums of products of the series itself, its ``lags``, and those of its errors: one matrix for each series."""
-    z = np.stack([w, *(back(w, k) for k in lags), *(back(e, k) for k in lags)], axis=1)
-    return z @ z.transpose(0, 2, 1)
+    def of(w, e):
+        z = np.stack([w, *(back(w, k) for k in lags), *(back(e, k) for k in lags)], axis=1)
+        return z @ z.transpose(0, 2, 1)
+
+    count = -(-w.size * (2 * len(lags) + 1) // CELLS) or 1
+    return np.concatenate([of(*x) for x in zip(np.array_split(w, count), np.array_split(e, count), strict=True)])
 
 
 def block(order: tuple, lags: list[int]) -> list[int]:
@@ -181,6 +187,18 @@ def aicc(squares: np.ndarray, n: np.ndarray, terms: int) -> np.ndarray:
     return np.where(room > 0, n * np.log(np.maximum(squares, 1e-300) / np.maximum(n, 1)) + 2 * k + 2 * k * (k + 1) / np.maximum(room, 1), np.inf)
 
 
+def asked(orders: np.ndarray, ask: np.ndarray) -> list[tuple[tuple, tuple[np.ndarray, np.ndarray]]]:
+    """The different orders among ``orders`` (series, place, term) where asked, none of them negative, and the (series, place) of each."""
+    at = np.nonzero(ask)
+    found = orders[at]
+    base = int(found.max(initial=0)) + 1
+    code = found @ base ** np.arange(3, -1, -1)
+    by_code = np.argsort(code, kind="stable")
+    cuts = np.flatnonzero(np.diff(code[by_code])) + 1
+    parts = np.split(by_code, cuts) if len(code) else []
+    return [(tuple(found[x[0]].tolist()), (at[0][x], at[1][x])) for x in parts]
+
+
 def searched(products: np.ndarray, n: np.ndarray, lags: list[int], search: Search, seasonal: np.ndarray) -> np.ndarray:
     """The order (p, q, P, Q) of every series: from the best of four, in steps to the best neighbour until none has a lower AICc.
 
@@ -188,50 +206,47 @@ def searched(products: np.ndarray, n: np.ndarray, lags: list[int], search: Searc
     """
     season, known = search.season, {}
 
-    def allowed(o):
-        inside = (o[:, :2] >= 0).all(axis=1) & (o[:, :2] <= search.top).all(axis=1) & (o[:, 2:] >= 0).all(axis=1) & (o[:, 2:] <= 1).all(axis=1)
-        return inside & ((o[:, 2:] == 0).all(axis=1) | (seasonal & (o[:, :2] < season).all(axis=1)))
-
-    def scores(orders, ask):
-        """AICc of one order for each series, where asked."""
-        out = np.full(len(n), np.inf)
-        ask = ask & allowed(orders)
-        for o in map(tuple, np.unique(orders[ask], axis=0).tolist()):
-            mine = ask & (orders == o).all(axis=1)
-            score = known.setdefault(o, np.full(len(n), np.nan))
-            new = np.flatnonzero(mine & np.isnan(score))
+    def allowed(o, rows):
+        inside = (o >= 0).all(axis=2) & (o[:, :, :2] <= search.top).all(axis=2) & (o[:, :, 2:] <= 1).all(axis=2)
+        return inside & ((o[:, :, 2:] == 0).all(axis=2) | (seasonal[rows, None] & (o[:, :, :2] < season).all(axis=2)))
+
+    def scores(orders, rows):
+        """AICc of several orders for each series in ``rows``. An order is solved once for all series that ask for it."""
+        out = np.full(orders.shape[:2], np.inf)
+        for o, (at, place) in asked(orders, allowed(orders, rows)):
+            score, mine = known.setdefault(o, np.full(len(n), np.nan)), rows[at]
+            new = mine[np.isnan(score[mine])]
             if len(new):
                 left = solved(products[new], o, lags)[1]
                 score[new] = aicc(left, n[new], sum(o))
-            out[mine] = score[mine]
+            out[at, place] = score[mine]
         return out
 
-    now = np.zeros((len(n), 4), np.int64)
-    least = scores(now, np.ones(len(n), bool))
+    now, every = np.zeros((len(n), 4), np.int64), np.arange(len(n))
+    least = scores(now[:, None], every)[:, 0]
     s = seasonal[:, None].astype(np.int64)
     top = min(2, search.top, season - 1) if season > 1 else min(2, search.top)
     for p, q in ((1, 0), (0, 1), (top, top)):
         start = np.concatenate([np.full_like(s, p), np.full_like(s, q), s * (p > 0), s * (q > 0)], axis=1)
-        score = scores(start, np.ones(len(n), bool))
+        score = scores(start[:, None], every)[:, 0]
         better = score < least
         now, least = np.where(better[:, None], start, now), np.where(better, score, least)
-    moving = np.ones(len(n), bool)
-    while moving.any():
-        found, nxt = least.copy(), now.copy()
-        for step in STEPS:
-            order = now + step
-            score = scores(order, moving)
-            better = score < found
-            found, nxt = np.where(better, score, found), np.where(better[:, None], order, nxt)
-        moving &= found < least
-        now, least = nxt, found
+    moving = every
+    while len(moving):
+        orders = now[moving][:, None] + np.array(STEPS)
+        score = scores(orders, moving)
+        best = np.where(np.isnan(score), np.inf, score).argmin(axis=1)  # the first of equal ones
+        found = score[np.arange(len(moving)), best]
+        better = found < least[moving]
+        orders, moving = orders[better, best[better]], moving[better]
+        now[moving], least[moving] = orders, found[better]
     return now
 
 
 def polynomials(coef: np.ndarray, order: tuple, season: int) -> tuple[list[tuple[int, np.ndarray]], list[tuple[int, np.ndarray]]]:
-    """(lag, coefficients) of the multiplied autoregressive and moving-average polynomials."""
+    """(lag, coefficients) of the multiplied autoregressive and moving-average polynomials. Terms lie along the last axis of ``coef``."""
     p, q, sp, sq = order
-    ar, far, ma, fma = np.split(coef.T, np.cumsum([p, sp, q]))
+    ar, far, ma, fma = np.split(np.moveaxis(coef, -1, 0), np.cumsum([p, sp, q]))
     out_ar = [(k + 1, ar[k]) for k in range(p)]
     out_ma = [(k + 1, ma[k]) for k in range(q)]
     for f in far:
@@ -241,25 +256,54 @@ def polynomials(coef: np.ndarray, order: tuple, season: int) -> tuple[list[tuple
     return out_ar, out_ma
 
 
-def errors_of(w: np.ndarray, coef: np.ndarray, order: tuple, season: int) -> np.ndarray:
-    """One-step errors; values and errors before a series are 0."""
+def errors_by_time(w: np.ndarray, coef: np.ndarray, order: tuple, season: int) -> np.ndarray:
+    """One-step errors of series that are columns of ``w``, a row per place; values and errors before a series are 0.
+
+    ``coef`` may have several sets of coefficients for every series, along its first axis; so may the result, along its second. With the
+    places in front, every step works on neighbouring numbers.
+    """
     ar, ma = polynomials(coef, order, season)
-    e = w.copy()
-    for k, c in ar:
-        e -= c[:, None] * back(w, k)
+    places, most = len(w), max((k for k, _ in ma), default=0)
+    out = np.zeros((most + places, *coef.shape[:-1]))
+    w = w.reshape(places, *[1] * (coef.ndim - 2), -1)
+    e, step = out[most:], max(1, NEAR // max(1, out[0].size))
+    e += w
+    for at in range(0, places, step):
+        for k, c in ar:
+            e[max(at, k) : at + step] -= c * w[max(at - k, 0) : max(min(at + step, places) - k, 0)]
     if not ma:
         return e
-    most = max(k for k, _ in ma)
-    out = np.zeros((len(w), most + w.shape[1]))
-    c, places = np.stack([x for _, x in ma], axis=1), most - np.array([k for k, _ in ma])
-    for t in range(w.shape[1]):
-        out[:, most + t] = e[:, t] - (c * out[:, places + t]).sum(axis=1)
-    return out[:, most:]
+    c, lags = np.stack([x for _, x in ma]), np.array([k for k, _ in ma])
+    in_turn, flipped, product, total = most == len(lags), out[::-1], np.empty_like(c), np.empty_like(c[0])
+    for t in range(places):
+        past = flipped[places - t : places - t + most] if in_turn else out[most + t - lags]
+        np.add.reduce(np.multiply(c, past, out=product), axis=0, out=total)
+        e[t] -= total
+    return e
+
+
+def errors_of(w: np.ndarray, coef: np.ndarray, order: tuple, season: int) -> np.ndarray:
+    """errors_by_time() of series that are rows."""
+    return np.ascontiguousarray(errors_by_time(np.ascontiguousarray(w.T), coef, order, season).T)
+
+
+def slopes(w: np.ndarray, coef: np.ndarray, e: np.ndarray, order: tuple, season: int) -> np.ndarray:
+    """How the errors ``e`` of every series change with each of its coefficients: a matrix (coefficient, place) for each series."""
+    k, small = coef.shape[1], 1e-6
+    turn = errors_by_time(np.ascontiguousarray(w.T), coef + np.eye(k)[:, None] * small, order, season)
+    turn -= e.T[:, None]
+    turn /= small
+    out = np.ascontiguousarray(turn.transpose(2, 1, 0))
+    if not (out.size and np.abs(out).max() <= 1e100):  # or one isn't a number
+        out = np.clip(np.nan_to_num(out, posinf=0, neginf=0), -1e100, 1e100)
+    return out
 
 
 def reflected(coef: np.ndarray) -> np.ndarray:
     """Autoregressive coefficients with every partial autocorrelation outside the unit circle turned into its inverse."""
     p = coef.shape[1]
+    if not p:
+        return coef
     down, partial = coef.copy(), np.zeros_like(coef)
     for k in range(p, 0, -1):
         r = down[:, k - 1]
@@ -289,16 +333,14 @@ def fitted(w: np.ndarray, coef: np.ndarray, order: tuple, season: int) -> np.nda
     coef = stable(coef, order)
     if not (order[1] or order[2] or order[3]):
         return coef
-    k, small = coef.shape[1], 1e-6
+    k = coef.shape[1]
     loss = lambda e: np.nan_to_num((e**2).sum(axis=1), nan=np.inf)
     e = errors_of(w, coef, order, season)
     least, damp, live = loss(e), np.full(len(w), 1e-3), np.arange(len(w))
     for _ in range(ROUNDS):
         # every series goes on by itself until it has settled, so its fit doesn't depend on the others in the batch
         own, at, now = w[live], coef[live], e[live]
-        turn = np.repeat(at, k, axis=0) + np.tile(np.eye(k) * small, (len(live), 1))
-        slope = (errors_of(np.repeat(own, k, axis=0), turn, order, season).reshape(len(live), k, -1) - now[:, None, :]) / small
-        slope = np.clip(np.nan_to_num(slope, posinf=0, neginf=0), -1e100, 1e100)
+        slope = slopes(own, at, now, order, season)
         grad, bend = slope @ now[:, :, None], slope @ slope.transpose(0, 2, 1)
         size = np.einsum("bkk->bk", bend)
         bend = bend + np.eye(k) * (damp[live, None] * (size + 1e-9 * size.max(axis=1, keepdims=True)))[:, None, :]
@@ -347,26 +389,23 @@ def arma(w: np.ndarray, n: np.ndarray, h: int, search: Search | None, order: tup
         score, coef = known.setdefault(order, (np.full(len(n), np.nan), np.zeros((len(n), sum(order)))))
         new = rows[np.isnan(score[rows])]
         # slopes are held for every coefficient
-        for part in np.array_split(new, -(-len(new) * max(1, sum(order)) * w.shape[1] // CELLS)) if len(new) else ():
+        for part in np.array_split(new, -(-len(new) * max(1, sum(order)) * w.shape[1] // SLOPES)) if len(new) else ():
             coef[part] = fitted(w[part], solved(products[part], order, lags)[0], order, season)
             squares = (errors_of(w[part], coef[part], order, season) ** 2).sum(axis=1)
             score[part] = aicc(np.maximum(np.nan_to_num(squares, nan=np.inf), 1e-12 * products[part, 0, 0]), n[part], sum(order))
         return score
 
-    each = lambda o: [(tuple(x), np.flatnonzero((o == x).all(axis=1))) for x in np.unique(o, axis=0).tolist()]
     moving = np.arange(len(n)) if search else np.zeros(0, np.int64)
     while len(moving):
-        least, nxt = np.full(len(n), np.inf), orders.copy()
-        for step in [(0, 0, 0, 0), *FEWER]:
-            for o, at in each(orders[moving] + step):
-                if min(o) >= 0:
-                    rows = moving[at]
-                    better = rows[fit(o, rows)[rows] < least[rows]]
-                    least[better], nxt[better] = known[o][0][better], o
-        moving = moving[(nxt[moving] != orders[moving]).any(axis=1)]
-        orders = nxt
+        fewer = orders[moving][:, None] + np.array([(0, 0, 0, 0), *FEWER])
+        score = np.full(fewer.shape[:2], np.inf)
+        for o, (at, place) in asked(fewer, (fewer >= 0).all(axis=2)):  # an order is fitted once to all series that ask for it
+            score[at, place] = fit(o, moving[at])[moving[at]]
+        best = np.where(np.isnan(score), np.inf, score).argmin(axis=1)  # the first of equal ones
+        orders[moving] = fewer[np.arange(len(moving)), best]
+        moving = moving[best > 0]
     out = np.zeros((len(w), h))
-    for o, rows in each(orders):
+    for o, (rows, _) in asked(orders[:, None], np.ones((len(n), 1), bool)):
         fit(o, rows)
         coef = known[o][1][rows]
         out[rows] = continued(w[rows], errors_of(w[rows], coef, o, season), coef, o, season, h)
@@ -433,8 +472,8 @@ def forecasts(series: list, xs: list | None, h: int, d: int | None, search: Sear
     series = [np.asarray(s, dtype=float) for s in series]
     fit = np.flatnonzero([len(s) >= need and bool(np.isfinite(s).all()) for s in series])
     longest = max((len(series[i]) for i in fit), default=1)
-    cells = longest * (3 + 2 * (search.top + 1 if search else max(order)))
-    for part in np.array_split(fit, max(1, -(-len(fit) * cells // CELLS))):
+    cells = (3 + 2 * (search.top if search else max(order))) ** 2 + 10 * longest  # products of lags, and what is held beside them
+    for part in np.array_split(fit, max(1, -(-len(fit) * cells // (4 * CELLS)))):
         if not len(part):
             continue
         with np.errstate(all="ignore"):

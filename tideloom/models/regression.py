@@ -26,6 +26,9 @@ MODELS = {
 }
 PENALTY = 1e-4
 SPANNED = 1e-9  # a column with less than this part of its own is spanned by others
+CLEAR = 1e-7  # corners that differ by no more than this share aren't told apart after eliminations
+CLOSE = 1e-3  # a column that enters with less than this part of its own is eliminated from scratch
+TOGETHER = 256  # problems whose paths are followed at once, so that they stay in a core's cache
 MIN_BUCKETS = 8
 
 
@@ -35,53 +38,99 @@ def lasso(gram: np.ndarray, moment: np.ndarray, penalty: float) -> np.ndarray:
     Follows the path of solutions from the penalty at which all coefficients are zero down to ``penalty``. Between two
     of its corners the solution is linear in the penalty, so the next corner has a closed form: a column enters where its
     correlation with the rest reaches the penalty, and leaves where its coefficient reaches zero. A path has finitely
-    many corners, so there is no limit of rounds. Every problem follows its own path; the solves of a round are stacked.
+    many corners, so there is no limit of rounds. Every problem follows its own path; the steps of a round are stacked.
 
     A column that the active ones span adds nothing and never enters; of equal columns the first carries the coefficient.
     Corners that meet in one point can make a path walk in circles there. Such a path starts again with its moments moved
     apart in the last digits, further with every start; the last stretch uses the given moments again.
     """
+    out = np.zeros(moment.shape)
+    for at in range(0, len(moment) if moment.size else 0, TOGETHER):
+        part = slice(at, at + TOGETHER)
+        out[part] = _paths(gram[part], moment[part], penalty)
+    return out
+
+
+def _solved(gram: np.ndarray, moment: np.ndarray, on: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """What a path is followed by, from scratch: for every column its row of (moment, sign, gram) without the active columns' part;
+    for an active one the coefficients in it of the moment, of the signs and of the other columns."""
+    inner = gram * on[:, :, None] * on[:, None, :] + np.eye(gram.shape[1]) * ~on[:, None, :]
+    right = np.concatenate([(moment * on)[:, :, None], sign[:, :, None], gram * on[:, :, None]], axis=2)
+    found = np.linalg.solve(inner, right)
+    fit, slope, span = found[:, :, 0], found[:, :, 1], found[:, :, 2:]
+    left = np.concatenate([(moment - np.einsum("bpq,bq->bp", gram, fit))[:, :, None], -np.einsum("bpq,bq->bp", gram, slope)[:, :, None], gram - gram @ span], axis=2)
+    at = np.arange(gram.shape[1])
+    left[:, at, at + 2] = np.einsum("bpp->bp", gram) - np.einsum("bpq,bpq->bq", gram, span)
+    return np.where(on[:, :, None], found, left)
+
+
+def _corners(rows: np.ndarray, on: np.ndarray, sign: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The penalties at which each column would enter with a positive or a negative sign, or leave."""
+    at = np.arange(rows.shape[1])
+    rest, pull = rows[:, :, 0], -rows[:, :, 1]  # the coefficient of an active column is rest + penalty * pull
+    free = ~on & (rows[:, at, at + 2] > least)  # what the active columns don't explain of a column
+    return np.stack([
+        np.where(free & (pull < 1), rest / np.where(pull < 1, 1 - pull, 1), -np.inf),
+        np.where(free & (pull > -1), -rest / np.where(pull > -1, 1 + pull, 1), -np.inf),
+        np.where(on & (sign * pull > 0), -rest / np.where(pull == 0, 1, pull), -np.inf),
+    ], axis=1).reshape(len(rows), -1)
+
+
+def _paths(gram: np.ndarray, moment: np.ndarray, penalty: float) -> np.ndarray:
+    """lasso() for a few problems. A column that enters is eliminated from the rows of the others. Where one leaves, or enters almost
+    spanned, or the next corner isn't clear, the rows are solved from scratch, so that rounding neither adds up nor decides."""
     count, width = moment.shape
     out = np.zeros(moment.shape)
-    if not moment.size:
-        return out
-    diag = np.einsum("bpp->bp", gram)
-    live = np.flatnonzero(np.abs(moment).max(axis=1) > penalty)
+    level = np.abs(moment).max(axis=1)
+    live = np.flatnonzero(level > penalty)
     active, sign = np.zeros((count, width), dtype=bool), np.zeros((count, width))
-    level, still, starts = np.abs(moment).max(axis=1), np.zeros(count, dtype=int), np.zeros(count, dtype=int)
+    still, starts = np.zeros(count, dtype=int), np.zeros(count, dtype=int)
     used = moment.copy()
+    least = SPANNED * np.maximum(np.einsum("bpp->bp", gram), SPANNED)
+    rows = np.concatenate([moment[:, :, None], np.zeros((count, width, 1)), gram], axis=2)[live]
     while len(live):
-        on, s, m, g, top = active[live], sign[live], used[live], gram[live], level[live]
-        inner = g * on[:, :, None] * on[:, None, :] + np.eye(width) * ~on[:, None, :]
-        right = np.concatenate([(m * on)[:, :, None], s[:, :, None], g * on[:, :, None]], axis=2)
-        solved = np.linalg.solve(inner, right)
-        fit, slope, span = solved[:, :, 0], solved[:, :, 1], solved[:, :, 2:]  # coefficients are fit - penalty * slope
-        rest, pull = m - np.einsum("bpq,bq->bp", g, fit), np.einsum("bpq,bq->bp", g, slope)
-        own = diag[live] - np.einsum("bpq,bpq->bq", g, span)  # what the active columns don't explain of a column
-        free = ~on & (own > SPANNED * np.maximum(diag[live], SPANNED))
-        corners = np.stack([
-            np.where(free & (pull < 1), rest / np.where(pull < 1, 1 - pull, 1), -np.inf),
-            np.where(free & (pull > -1), -rest / np.where(pull > -1, 1 + pull, 1), -np.inf),
-            np.where(on & (s * slope < 0), fit / np.where(slope == 0, 1, slope), -np.inf),
-        ], axis=1).reshape(len(live), -1)
+        on, s, top, each = active[live], sign[live], level[live], np.arange(len(live))
+        corners = _corners(rows, on, s, least[live])
         pick = corners.argmax(axis=1)
-        reached = np.minimum(corners[np.arange(len(live)), pick], top)
+        first = corners[each, pick]
+        corners[each, pick] = -np.inf
+        close = (first > penalty) & (corners.max(axis=1) >= first - CLEAR * np.abs(first))
+        corners[each, pick] = first
+        if close.any():
+            at = live[close]
+            rows[close] = _solved(gram[at], used[at], on[close], s[close])
+            corners[close] = _corners(rows[close], on[close], s[close], least[at])
+            pick = corners.argmax(axis=1)
+        reached = np.minimum(corners[each, pick], top)
         done = ~(reached > penalty)  # values that aren't finite end as well
         if done.any():
-            exact = np.linalg.solve(inner[done], ((moment[live[done]] - penalty * s[done]) * on[done])[:, :, None])[:, :, 0]
-            out[live[done]] = np.where(on[done], exact, 0.0)
+            at, its = live[done], on[done]
+            inner = gram[at] * its[:, :, None] * its[:, None, :] + np.eye(width) * ~its[:, None, :]
+            exact = np.linalg.solve(inner, ((moment[at] - penalty * s[done]) * its)[:, :, None])[:, :, 0]
+            out[at] = np.where(its, exact, 0.0)
+            go = ~done
+            live, rows, pick, reached, top, each = live[go], rows[go], pick[go], reached[go], top[go], np.arange(go.sum())
         kind, column = np.divmod(pick, width)
-        go, rows = ~done, live[~done]
-        active[rows, column[go]] = kind[go] < 2
-        sign[rows, column[go]] = np.array([1.0, -1.0, 0.0])[kind[go]]
-        still[rows] = np.where(reached[go] < top[go] * (1 - 1e-13), 0, still[rows] + 1)
-        level[rows] = reached[go]
-        for i in rows[still[rows] > 2 * width]:
+        enters = kind < 2
+        active[live, column] = enters
+        sign[live, column] = np.array([1.0, -1.0, 0.0])[kind]
+        still[live] = np.where(reached < top * (1 - 1e-13), 0, still[live] + 1)
+        level[live] = reached
+        own = rows[each, column, column + 2]
+        anew = ~enters | (own < CLOSE)
+        rows[each, column, 1] += sign[live, column]
+        lead = rows[each, column] / np.where(anew, 1.0, own)[:, None]
+        rows -= (rows[each, :, column + 2] * ~anew[:, None])[:, :, None] * lead[:, None, :]
+        rows[each, column] = lead
+        for i in live[still[live] > 2 * width]:
             starts[i] += 1
             apart = 10.0 ** (starts[i] - 14) * np.random.default_rng(int(starts[i])).uniform(-1, 1, width)
             used[i] = moment[i] + apart * np.abs(moment[i]).max()
             active[i], sign[i], still[i], level[i] = False, 0.0, 0, np.abs(used[i]).max()
-        live = rows
+            anew |= live == i
+        if anew.any():
+            at = live[anew]
+            rows[anew] = _solved(gram[at], used[at], active[at], sign[at])
     return out
 
 
@@ -93,12 +142,14 @@ def _equations(num: np.ndarray, cat: np.ndarray, y: np.ndarray, dummies: int):
     num, cat, y = num[use], cat[use], y[use]
     x = np.zeros((len(y), dummies + num.shape[1]))
     if cat.shape[1]:
-        np.put_along_axis(x, cat, 1.0, axis=1)
+        x[np.arange(len(y))[:, None], cat] = 1.0
     x[:, dummies:] = num
-    mean, sd = x.mean(axis=0), x.std(axis=0)
+    mean, y_mean = x.sum(axis=0) / len(y), y.sum() / len(y)
+    z = x - mean
+    sd = np.sqrt((z * z).sum(axis=0) / len(y))
     sd[sd == 0] = 1.0
-    z = (x - mean) / sd
-    return z.T @ z / len(y), z.T @ (y - y.mean()) / len(y), mean, sd, y.mean()
+    z /= sd
+    return z.T @ z / len(y), z.T @ (y - y_mean) / len(y), mean, sd, y_mean
 
 
 def fit_rows(num, cat, y, xs, first: int, h: int, n_numeric: int, n_codes: int, dummies: int):
@@ -116,8 +167,8 @@ def fit_rows(num, cat, y, xs, first: int, h: int, n_numeric: int, n_codes: int,
             a = np.asarray(a, dtype=float).reshape(n, n_numeric)
             c = np.asarray(c, dtype=int).reshape(n, n_codes)
             x = np.asarray(x, dtype=float).reshape(-1, first + n + h).T[first : first + n]
-            eq = _equations(np.hstack([a, x]), c, t, dummies)
-            if eq is not None and all(np.isfinite(v).all() for v in eq):
+            eq = _equations(np.hstack([a, x]) if x.shape[1] else a, c, t, dummies)
+            if eq is not None and np.isfinite(np.concatenate(eq, axis=None)).all():
                 by_width.setdefault(x.shape[1], []).append((i, *eq))
     for members in by_width.values():
         gram = np.stack([m[1] for m in members])

@@ -47,7 +47,8 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have no ids. Columns of the documents that have these names already are replaced.
     """
     bounded_batches(spark)
-    return pieces.decode(pieces.encode(docs, PIECES), PIECES)
+    # written between, so that a task holds one Python worker with the codec, not two
+    return pieces.decode(written(pieces.encode(docs, PIECES), "encoded"), PIECES)
 
 
 STAGES = [

@@ -102,3 +102,10 @@ def test_stages_take_any_rows(spark, at):
     else:
         assert set(texts) <= set(rows)
     assert stage(spark, docs.limit(0), DIR).count() == 0
+
+
+def test_a_task_holds_one_python_worker(spark):
+    docs = spark.createDataFrame([(1, "write to ann@example.org"), (2, None), (2, "key=ab12cd34")], "doc_id long, text string")
+    for stage in (corpus_pipeline.personal_data, corpus_pipeline.sentencepiece):
+        plan = stage(spark, docs, DIR)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1

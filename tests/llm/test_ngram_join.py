@@ -93,3 +93,11 @@ def test_a_very_long_text(spark, docs_of):
     long = [f"w{rng.randrange(10**6)}" for _ in range(60000)]
     rows = [(1, " ".join(long)), (2, " ".join(long[:55000])), (3, " ".join(long[:40000])), (4, "x " * 50000)]
     assert [c for *_, c in sorted(found(docs_of(rows)))] == [1, 1, 3, 4]
+
+
+def test_only_texts_that_share_a_shingle_are_looked_up(spark):
+    docs = spark.createDataFrame([(i, f"alone {i} " * 8) for i in range(300)] + [(900, "a b c d e f g h"), (901, "a b c d e f g h i"), (None, None)], "doc_id long, text string")
+    chosen = docs.filter("doc_id >= 900").select(F.xxhash64("text").alias("raw"))
+    kept = [r.doc_id for r in nj.perhaps_in(docs, chosen).collect()]
+    assert {900, 901} <= set(kept) and len(kept) < 10
+    assert not nj.perhaps_in(docs, chosen.limit(0)).take(1)

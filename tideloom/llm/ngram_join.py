@@ -6,7 +6,7 @@ send their shingles in blocks that were sorted and counted in the map task; a bu
 often. (2) The shared shingles of each set give its prefix. (3) Sets that share a prefix shingle, fit in length and by their places, are candidates.
 
 Classes of linked sets are asked for, so a large group isn't expanded into pairs: first every set meets a few random neighbours in its
-lists, and links that hold join their labels. Then all pairs of different labels that share a prefix shingle
+lists, and links that hold join their labels, again and again until few are found. Then all pairs of different labels that share a prefix shingle
 are compared by the filters, the suffix filter last: sets that differ in more counts of shingles by hash range than linked ones
 can differ in shingles aren't linked. What is left is verified. So no link between labels is lost, whatever the rounds have found.
 """
@@ -16,13 +16,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import list_array, slices, texts, written
+from .common import fixed_filter, list_array, passes, slices, texts, written
 from .components import components
 from .substrings import rolled
 
@@ -32,7 +33,8 @@ BUCKET = 1 << 17  # counted shingles of a bucket, about
 CHUNK = 1 << 20  # shingles that a map task sorts at once
 HOT = 8  # sets of a chunk from which a shingle's sets don't go to its bucket, only their number
 PART = 2048  # sets of a list that meet in one task; longer lists are dealt into parts
-ROUNDS = 1  # of random neighbours
+ROUNDS = 8  # of random neighbours, at most
+FEW = 20  # rounds end when one finds less than this part of the first one's links
 MOST = 1 << 20  # candidates that a task holds before it gives them out
 RANGES = 128  # of hashes, for the suffix filter
 
@@ -83,6 +85,17 @@ def chosen_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return own.join(chosen, (own["raw"] == chosen["raw"]) & own["doc_id"].eqNullSafe(chosen["doc_id"])).select("set_id", "text")
 
 
+def perhaps_in(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text may be in ``chosen``, by a filter of fixed size: other texts needn't be shuffled to be dropped."""
+    bits = fixed_filter(chosen, "raw")
+
+    @F.pandas_udf("boolean")
+    def perhaps(raw: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits, raw.to_numpy().view(np.uint64)))
+
+    return docs.filter(perhaps(F.xxhash64("text")))
+
+
 def _runs(x: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin, and the end."""
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))) if len(x) else np.zeros(1, np.int64)
@@ -222,7 +235,8 @@ def whole_sets(docs: DataFrame, chosen: DataFrame, lists: DataFrame, words: int)
             yield pa.RecordBatch.from_arrays([b.column("set_id"), list_array([s.view(np.int64) for s in own], pa.int64()), pa.array(counts, pa.binary())], ["set_id", "own", "ranges"])
 
     wanted = chosen.join(lists.select("set_id").distinct(), "set_id", "left_semi")
-    found = chosen_texts(docs, written(wanted.select("set_id", "raw", "doc_id"), "wanted")).mapInArrow(run, "set_id bigint, own array<bigint>, ranges binary")
+    wanted = written(wanted.select("set_id", "raw", "doc_id"), "wanted")
+    found = chosen_texts(perhaps_in(docs, wanted), wanted).mapInArrow(run, "set_id bigint, own array<bigint>, ranges binary")
     return written(found.groupBy("set_id").agg(F.first("own").alias("own"), F.first("ranges").alias("ranges")), "sets")
 
 
@@ -342,18 +356,23 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple
     shared = shared_classes(blocks(chosen_texts(docs, chosen.select("set_id", "raw", "doc_id")), words, bits))
     lists = prefix_lists(chosen, shared, percent)
     found = whole_sets(docs, chosen, lists, words)
-    links, root_of = None, None
-    for r in range(ROUNDS + 1):
+    links, root_of, first, r, more = None, None, 0, 0, True
+    while True:
         label = F.col("set_id") if root_of is None else F.coalesce("root", "set_id")
         told = lists if root_of is None else lists.join(root_of, lists["set_id"] == root_of["node"], "left")
         told = told.select("token", "rows", "set_id", "n", "pos", label.alias("label"))
         if r:
             several = told.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.xxhash64("set_id")).alias("home"))
             told = written(told.join(several.filter("low != high").select("token", "home"), "token"), "told")
-        pairs = neighbours(told, percent, r) if r < ROUNDS else apart(told, found, percent)
+        pairs = neighbours(told, percent, r) if more else apart(told, found, percent)
         new = verified(pairs, found, percent)
         links = new if links is None else links.unionByName(new)
         root_of = components(links)
+        if not more:
+            break
+        count, r = new.count(), r + 1
+        first = first or count
+        more = count * FEW > first and r < ROUNDS
     return rows.select("doc_id", "set_id", "n"), root_of
 
 
